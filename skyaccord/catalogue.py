@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skyaccord.plans import imaging, matching, visibility
+
+_MODULES = (matching, visibility, imaging)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: q for m in _MODULES for name, (q, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for m in _MODULES for name, (_, text) in m.QUERIES.items() if text}
