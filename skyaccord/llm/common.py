@@ -24,6 +24,13 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], sch
     return df.mapInArrow(run, schema)
 
 
+def fresh_names(df: DataFrame, n: int) -> list[str]:
+    """Names that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    free = (name for k in range(len(taken) + n) if (name := f"__own_{k}") not in taken)
+    return [next(free) for _ in range(n)]
+
+
 def text_bytes(name: str) -> Column:
     """A text column as its UTF-8 bytes; null stays null."""
     return F.col(f"`{name}`").cast("binary")

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyaccord.lineage import checkpointed
-from skyaccord.llm.common import SLICE_ROWS
+from skyaccord.lineage import checkpointed, stored
+from skyaccord.llm.common import SLICE_ROWS, fresh_names
 
 RULE_VERSION = "2"
 #: Kinds in the order in which spans with one start are listed; the first three are the base rules.
@@ -118,10 +118,11 @@ def redact_secrets(docs: DataFrame, ledger: DataFrame | None = None, text_col: s
     Only blobs with findings are joined back; texts without any are left as they are.
     """
     ledger = update_ledger(docs, ledger, text_col, rule_version)
-    dirty = checkpointed(ledger.filter((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")))
+    blob, spans = fresh_names(docs, 2)
+    dirty = stored(ledger.filter((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select(F.col("blob").alias(blob), F.col("spans").alias(spans)))
     if dirty.count() <= BROADCAST_ROWS:
         dirty = F.broadcast(dirty)
-    joined = docs.join(dirty, blob_of(text_col) == F.col("__blob"), "left").drop("__blob")
+    joined = docs.join(dirty, blob_of(text_col) == F.col(blob), "left").drop(blob)
     at, spans_at, names = docs.columns.index(text_col), len(docs.columns), docs.columns
     chars_at = names.index("n_chars") if "n_chars" in names else None
 

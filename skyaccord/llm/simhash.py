@@ -16,8 +16,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyaccord.lineage import checkpointed
-from skyaccord.llm.common import map_rows, text_bytes
+from skyaccord.lineage import checkpointed, stored
+from skyaccord.llm.common import fresh_names, map_rows, text_bytes
 
 BITS, SEGMENTS, SEGMENT_BITS = 64, 2, 32
 #: Members of one key that one task compares; a fuller key is dealt out as pairs of blocks.
@@ -171,15 +171,15 @@ def similarity_edges(prints: DataFrame, bits: int = 3, max_run: int = MAX_RUN) -
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root): root is one node for each connected part. Minimum labels with pointer jumping.
 
-    Every round is a grouped minimum (summed before its shuffle) that is checkpointed in the shared folder.
+    Every round is a grouped minimum (summed before its shuffle) that is stored in the shared folder.
     """
-    both = checkpointed(edges.select(F.col("a").alias("node"), F.col("b").alias("peer")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("peer"))))
-    labels = checkpointed(both.groupBy("node").agg(F.least(F.col("node"), F.min("peer")).alias("root")))
+    both = stored(edges.select(F.col("a").alias("node"), F.col("b").alias("peer")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("peer"))))
+    labels = stored(both.groupBy("node").agg(F.least(F.col("node"), F.min("peer")).alias("root")))
     while True:
         told = both.join(labels.select(F.col("node").alias("peer"), "root"), "peer").groupBy("node").agg(F.min("root").alias("near"))
         step = labels.join(told, "node").select("node", "root", F.least("root", "near").alias("new"))
         jump = step.join(labels.select(F.col("node").alias("new"), F.col("root").alias("far")), "new")
-        nxt = checkpointed(jump.select("node", F.least("new", "far").alias("root"), (F.least("new", "far") < F.col("root")).alias("moved")))
+        nxt = stored(jump.select("node", F.least("new", "far").alias("root"), (F.least("new", "far") < F.col("root")).alias("moved")))
         moved = nxt.filter("moved").limit(1).count()
         labels = nxt.select("node", "root")
         if not moved:
@@ -206,22 +206,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 3, width: int = 3) -> DataFrame:
     """docs without all but one document (the one with the least id) of each near-duplicate group; same columns.
 
-    Rows that repeat an id and its text are kept once. Rows with null ids are never dropped: nothing names them.
+    Of several texts under that id the one with the least hash stays, and rows that repeat an id and its text
+    stay once. Rows with null ids are never dropped: nothing names them.
     """
-    groups = checkpointed(near_duplicates(docs, id_col, text_col, bits, width))
-    key = [F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")), F.xxhash64(F.col(f"`{text_col}`")) == F.col("__text")]
-    named = groups.filter("id IS NOT NULL").groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__text"))
-    named = checkpointed(named.agg(F.count("*").alias("__n"), F.min(F.struct("component_id", "fingerprint")).alias("__c")))
-    # Of several texts under the least id of a group, the one with the least hash stays.
-    first = named.filter("__id = __c.component_id").groupBy("__c.component_id").agg(F.min("__text").alias("first"))
-    named = checkpointed(named.select("__id", "__text", "__n", F.col("__c.component_id").alias("component_id")).join(first, "component_id", "left"))
-    gone = named.filter("__id <> component_id OR __text <> first").select("__id", "__text")
+    groups = stored(near_duplicates(docs, id_col, text_col, bits, width))
+    named = groups.filter("id IS NOT NULL").groupBy("id", "text_hash").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
+    keepers = named.filter("id = component_id").groupBy("id").agg(F.min(F.struct("text_hash", "n")).alias("k")).select("id", "k.text_hash", "k.n")
+    i, t = fresh_names(docs, 2)
+    gone = named.select("id", "text_hash").join(keepers, ["id", "text_hash"], "left_anti")
+    again = keepers.filter("n > 1")
+    gone, again = (stored(df.select(F.col("id").alias(i), F.col("text_hash").alias(t))) for df in (gone, again))
+    key = [F.col(f"`{id_col}`").cast("long") == F.col(i), F.xxhash64(F.col(f"`{text_col}`")) == F.col(t)]
     kept = docs.join(_small(gone), key, "left_anti")
-    again = named.filter("__n > 1 AND __id = component_id AND __text = first").select("__id", "__text")
     if again.limit(1).count():
         again = _small(again)
-        once = kept.join(again, key, "left_semi")
-        once = once.withColumns({"__id": F.col(f"`{id_col}`").cast("long"), "__text": F.xxhash64(F.col(f"`{text_col}`"))}).dropDuplicates(["__id", "__text"]).drop("__id", "__text")
+        once = kept.join(again, key, "inner").dropDuplicates([i, t]).drop(i, t)
         kept = kept.join(again, key, "left_anti").unionByName(once)
     return kept
 
