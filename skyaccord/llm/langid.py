@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyaccord.lineage import stored
 from skyaccord.llm.common import id_crc32, map_rows
 
 HASH_BITS = 13
@@ -103,7 +104,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     if fold:
         rows = rows.filter(id_crc32("id") % fold != 1)
-    shares = rows.groupBy("lang").agg(F.count("*").alias("n")).withColumn("share", F.lit(float(per_language)) / F.col("n"))
+    shares = stored(rows.groupBy("lang").agg(F.count("*").alias("n")).withColumn("share", F.lit(float(per_language)) / F.col("n")))
+    if shares.count() <= 10_000:  # else Spark chooses
+        shares = F.broadcast(shares)
     draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.join(shares, "lang").filter(draw < F.col("share")).select("lang", "text")
 
