@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyaccord.plans import imaging, matching, visibility
+from skyaccord.plans import imaging, matching, reports, visibility
 
-_MODULES = (matching, visibility, imaging)
+_MODULES = (matching, visibility, imaging, reports)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
