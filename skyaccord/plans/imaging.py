@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from skyaccord.functions import flux, headers
 from skyaccord.operators import fit, image, sources, stats
-from skyaccord.plans.common import rounded, sql
+from skyaccord.plans.common import rounded9 as rounded
+from skyaccord.plans.common import sql9 as sql
 from skyaccord.plans.fixtures import view
 
 
@@ -38,7 +39,7 @@ def mode_stats(spark, sf_dir):
 
 def _robust(rule):
     def query(spark, sf_dir):
-        return rounded(image.robust_image_stats(_pixels(spark, sf_dir), rule), 5)
+        return rounded(image.robust_image_stats(_pixels(spark, sf_dir), rule), 9)
 
     return query
 
@@ -47,11 +48,11 @@ def selected_planes(spark, sf_dir):
     pixels = _pixels(spark, sf_dir)
     # The first and the last plane of each image, named by its own plane numbers.
     roles = pixels.agg(F.min("plane").alias("low")).select(F.explode(F.array(F.struct(F.lit("low").alias("role"), F.col("low").alias("plane")), F.struct(F.lit("high").alias("role"), F.lit(-1).alias("plane")))).alias("x")).select("x.*")
-    return rounded(image.select_planes(pixels, roles).groupBy("image_id", "role").agg(F.count("*").alias("n"), F.avg("value").alias("mean")))
+    return rounded(image.select_planes(pixels, roles).groupBy("image_id", "role").agg(F.count("*").alias("n"), F.sum("value").alias("total")))
 
 
 def sed_slope(spark, sf_dir):
-    return rounded(fit.sed_summary(_sed(spark, sf_dir)), 5)
+    return rounded(fit.sed_summary(_sed(spark, sf_dir)), 9)
 
 
 def curved_sed(spark, sf_dir):
@@ -61,7 +62,7 @@ def curved_sed(spark, sf_dir):
 def lin_pol(spark, sf_dir):
     p, angle = flux.lin_pol(F.col("q_peak"), F.col("u_peak"))
     rows = _sed(spark, sf_dir).withColumns({"p": p, "pa": angle})
-    return rounded(rows.groupBy("source_id").agg(F.count("*").alias("n"), F.avg("p").alias("p"), F.max("p").alias("p_max")), 5)
+    return rounded(rows.groupBy("source_id").agg(F.count("*").alias("n"), F.avg("p").alias("p"), F.max("p").alias("p_max")), 9)
 
 
 def pol_summary(spark, sf_dir):
@@ -73,7 +74,7 @@ def pol_summary(spark, sf_dir):
 def pb_corrected(spark, sf_dir):
     gain = flux.primary_beam_gain(F.pmod("source_id", F.lit(10)) * 0.02, F.col("freq_hz"))
     rows = _sed(spark, sf_dir).withColumn("corrected", F.try_divide(F.col("i_peak"), gain))
-    return rounded(rows.groupBy("source_id").agg(F.avg("corrected").alias("corrected")), 5)
+    return rounded(rows.groupBy("source_id").agg(F.avg("corrected").alias("corrected")), 11)
 
 
 def sed_compare(spark, sf_dir):
@@ -82,7 +83,7 @@ def sed_compare(spark, sf_dir):
     half = F.pmod((F.col("freq_hz") / 1e8).cast("long") + F.col("source_id"), F.lit(3))
     keyed = rows.withColumns({"half": half, "key": F.concat_ws("@", F.col("source_id").cast("string"), F.col("freq_hz").cast("long").cast("string"))})
     both = sources.zip_full(keyed.filter("half < 2").select("key", "i_peak"), keyed.filter("half > 0").select("key", "i_peak"), "key")
-    return rounded(both, 6)
+    return rounded(both, 11)
 
 
 def last_wins(spark, sf_dir):
@@ -112,7 +113,7 @@ def noise_model(spark, sf_dir):
 
 
 _STD = "count(*) AS n_total, count(value) AS n_finite, R(min(value)) AS min, R(max(value)) AS max, R(avg(value)) AS mean, R(stddev_pop(value)) AS std, R(median(value)) AS median, R(quantile_cont(value, 0.05)) AS p5, R(quantile_cont(value, 0.95)) AS p95, R(quantile_cont(value, 0.99)) AS p99"
-_CLASSIC = "count(value) AS n, round(avg(value), 5) + 0.0 AS mean, round(stddev_samp(value), 5) + 0.0 AS sigma, round(median(value), 5) + 0.0 AS median"
+_CLASSIC = "count(value) AS n, round(avg(value), 9) + 0.0 AS mean, round(stddev_samp(value), 9) + 0.0 AS sigma, round(median(value), 9) + 0.0 AS median"
 _PB = "1.18896*radians((source_id % 10)*0.02)/(0.0167261*1.5e9/freq_hz)"
 
 QUERIES = {
@@ -128,16 +129,16 @@ QUERIES = {
     "robust_fit_half": (_robust("fit-half"), sql(f"SELECT image_id, {_CLASSIC} FROM (SELECT image_id, value FROM pixels WHERE value <= 0 UNION ALL SELECT image_id, -value FROM pixels WHERE value <= 0) AS p GROUP BY 1", "pixels")),
     "robust_biweight": (_robust("biweight"), sql("""WITH c AS (SELECT image_id, median(value) AS m FROM pixels GROUP BY 1), o AS (SELECT image_id, value - m AS d, m FROM pixels JOIN c USING (image_id) WHERE value IS NOT NULL), s AS (SELECT image_id, median(abs(d)) AS s FROM o GROUP BY 1),
       u AS (SELECT image_id, d, m, d/(6*s) AS u FROM o JOIN s USING (image_id)), w AS (SELECT *, CASE WHEN abs(u) < 1 THEN pow(1 - u*u, 2) ELSE 0 END AS w FROM u)
-      SELECT image_id, CAST(sum(CASE WHEN abs(u) < 1 THEN 1 ELSE 0 END) AS BIGINT) AS n, round(any_value(m) + sum(w*d)/sum(w), 5) + 0.0 AS mean,
-      round(sqrt(count(*)*sum(CASE WHEN abs(u) < 1 THEN d*d*pow(1 - u*u, 4) END))/abs(sum(CASE WHEN abs(u) < 1 THEN (1 - u*u)*(1 - 5*u*u) END)), 5) + 0.0 AS sigma, round(any_value(m), 5) + 0.0 AS median FROM w GROUP BY 1""", "pixels")),
-    "selected_planes": (selected_planes, sql("WITH l AS (SELECT image_id, max(plane) AS hi FROM pixels GROUP BY 1), r AS (SELECT image_id, 'low' AS role, (SELECT min(plane) FROM pixels) AS plane FROM l UNION ALL SELECT image_id, 'high', hi FROM l) SELECT image_id, role, count(*) AS n, R(avg(value)) AS mean FROM pixels JOIN r USING (image_id, plane) GROUP BY 1, 2", "pixels")),
-    "sed_slope": (sed_slope, sql("SELECT source_id, count(*) AS n, " + ", ".join(f"round({e}, 5) + 0.0 AS {n}" for n, e in (("median_i", "median(i_peak)"), ("std_i", "stddev_pop(i_peak)"), ("alpha", "regr_slope(log10(i_peak), log10(freq_hz))"), ("median_v", "median(v_peak)"), ("std_v", "stddev_pop(v_peak)"))) + " FROM sed_points WHERE i_peak > 0 GROUP BY 1", "sed_points")),
+      SELECT image_id, CAST(sum(CASE WHEN abs(u) < 1 THEN 1 ELSE 0 END) AS BIGINT) AS n, round(any_value(m) + sum(w*d)/sum(w), 9) + 0.0 AS mean,
+      round(sqrt(count(*)*sum(CASE WHEN abs(u) < 1 THEN d*d*pow(1 - u*u, 4) END))/abs(sum(CASE WHEN abs(u) < 1 THEN (1 - u*u)*(1 - 5*u*u) END)), 9) + 0.0 AS sigma, round(any_value(m), 9) + 0.0 AS median FROM w GROUP BY 1""", "pixels")),
+    "selected_planes": (selected_planes, sql("WITH l AS (SELECT image_id, max(plane) AS hi FROM pixels GROUP BY 1), r AS (SELECT image_id, 'low' AS role, (SELECT min(plane) FROM pixels) AS plane FROM l UNION ALL SELECT image_id, 'high', hi FROM l) SELECT image_id, role, count(*) AS n, R(sum(value)) AS total FROM pixels JOIN r USING (image_id, plane) GROUP BY 1, 2", "pixels")),
+    "sed_slope": (sed_slope, sql("SELECT source_id, count(*) AS n, " + ", ".join(f"round({e}, 9) + 0.0 AS {n}" for n, e in (("median_i", "median(i_peak)"), ("std_i", "stddev_pop(i_peak)"), ("alpha", "regr_slope(log10(i_peak), log10(freq_hz))"), ("median_v", "median(v_peak)"), ("std_v", "stddev_pop(v_peak)"))) + " FROM sed_points WHERE i_peak > 0 GROUP BY 1", "sed_points")),
     "curved_sed": (curved_sed, None),
-    "lin_pol": (lin_pol, sql("SELECT source_id, count(*) AS n, round(avg(sqrt(q_peak*q_peak+u_peak*u_peak)), 5) + 0.0 AS p, round(max(sqrt(q_peak*q_peak+u_peak*u_peak)), 5) + 0.0 AS p_max FROM sed_points GROUP BY 1", "sed_points")),
+    "lin_pol": (lin_pol, sql("SELECT source_id, count(*) AS n, round(avg(sqrt(q_peak*q_peak+u_peak*u_peak)), 9) + 0.0 AS p, round(max(sqrt(q_peak*q_peak+u_peak*u_peak)), 9) + 0.0 AS p_max FROM sed_points GROUP BY 1", "sed_points")),
     "pol_summary": (pol_summary, sql("WITH s AS (SELECT freq_hz, round(q_peak, 6) + 0.0 AS q, round(u_peak, 6) + 0.0 AS u FROM sed_points) SELECT freq_hz, round(avg(sqrt(q*q+u*u)), 4) + 0.0 AS mean_p, round(stddev_pop(sqrt(q*q+u*u)), 4) + 0.0 AS std_p, round(avg(degrees(atan2(u, q))/2), 4) + 0.0 AS mean_pa FROM s GROUP BY 1", "sed_points")),
-    "pb_corrected": (pb_corrected, sql(f"SELECT source_id, round(avg(i_peak/pow(cos(pi()*{_PB})/(1 - 4*{_PB}*{_PB}), 2)), 5) + 0.0 AS corrected FROM sed_points GROUP BY 1", "sed_points")),
+    "pb_corrected": (pb_corrected, sql(f"SELECT source_id, round(avg(i_peak/pow(cos(pi()*{_PB})/(1 - 4*{_PB}*{_PB}), 2)), 11) + 0.0 AS corrected FROM sed_points GROUP BY 1", "sed_points")),
     "sed_compare": (sed_compare, sql("""WITH r AS (SELECT source_id, freq_hz, avg(i_peak) AS i, (CAST(freq_hz/1e8 AS BIGINT) + source_id) % 3 AS h FROM sed_points GROUP BY 1, 2), k AS (SELECT CAST(source_id AS VARCHAR) || '@' || CAST(CAST(freq_hz AS BIGINT) AS VARCHAR) AS key, i, h FROM r)
-      SELECT key, R(a.i) AS i_peak_1, R(b.i) AS i_peak_2 FROM (SELECT * FROM k WHERE h < 2) AS a FULL JOIN (SELECT * FROM k WHERE h > 0) AS b USING (key)""", "sed_points")),
+      SELECT key, round(a.i, 11) + 0.0 AS i_peak_1, round(b.i, 11) + 0.0 AS i_peak_2 FROM (SELECT * FROM k WHERE h < 2) AS a FULL JOIN (SELECT * FROM k WHERE h > 0) AS b USING (key)""", "sed_points")),
     "last_wins": (last_wins, "WITH l AS (SELECT l_orderkey AS path, l_linenumber AS ord, max(l_extendedprice) AS f FROM lineitem GROUP BY 1, 2) SELECT path, round(arg_max(f, ord), 3) + 0.0 AS freq_hz, min(ord) AS ord FROM l GROUP BY 1"),
     "auto_bins": (auto_bins, sql("SELECT image_id, CAST(2*floor(sqrt(count(value))) AS BIGINT) AS bins FROM pixels GROUP BY 1", "pixels")),
     "header_frequencies": (header_frequencies, "SELECT p_partkey, round(CAST(CASE WHEN p_partkey % 3 = 0 THEN p_partkey*1000 WHEN p_partkey % 3 = 1 THEN p_partkey*10 ELSE (900 + p_partkey % 800)*1000000 END AS DOUBLE), 3) + 0.0 AS freq_hz, 'img_' || CAST(900 + p_partkey % 800 AS VARCHAR) || 'MHz_' || CAST(p_partkey AS VARCHAR) AS stem FROM part"),

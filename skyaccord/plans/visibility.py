@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyaccord.operators import vis
-from skyaccord.plans.common import rounded, sql
+from skyaccord.plans.common import rounded9 as rounded
+from skyaccord.plans.common import sql9 as sql
 from skyaccord.plans.fixtures import view
 
 
