@@ -8,20 +8,26 @@ are located by sampled suffix positions, and overlapping ones are merged to remo
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyaccord.llm.common import SLICE_ROWS, map_rows, text_bytes
+from skyaccord.lineage import stored
+from skyaccord.llm.common import SLICE_ROWS, fresh_names, map_rows, text_bytes
 
 WINDOW = 13
 #: Text bytes of benchmark items that one pass over the corpus searches for; more take more passes.
 BLOCK_BYTES = 8_000_000
+#: Rows of a counted table up to which it is broadcast.
+BROADCAST_ROWS = 20_000
+SPANS = "array<struct<start: long, end: long>>"
+FOUND = f"spans {SPANS}, items array<string>"
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -196,34 +202,52 @@ class Windows:
         return out
 
 
-def load_benchmark(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[Windows]:
-    """The stated set of test items in blocks of bounded size. Null items and texts without a word have no window."""
+def _parts(text: bytes, width: int, most: int) -> list[bytes]:
+    """A text in parts of about `most` bytes that overlap, so that their windows together are the windows of the text."""
+    if len(text) <= most:
+        return [text]
+    words = words_of(text)
+    step = max(1, len(words) * most // len(text))
+    return [b" ".join(words[k : k + step + width - 1]) for k in range(0, max(1, len(words) - width + 1), step)]
+
+
+def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[Windows]:
+    """The windows of the test items in blocks of about block_bytes of text, one after the other.
+
+    Null items and texts without a word have no window. A longer item stands in several blocks.
+    """
     rows = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("id"), text_bytes(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
-    blocks: list[list[tuple[str, bytes]]] = [[]]
+    held: list[tuple[str, bytes]] = []
     size = 0
     for row in rows.orderBy("id", "text").toLocalIterator():
-        if size + len(row.text) > block_bytes and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row.id, bytes(row.text)))
-        size += len(row.text)
-    return [Windows.of(b, width) for b in blocks]
-
-
-def _merged(parts: list[tuple[int, list[tuple[int, int]], set[str]]]) -> tuple[int, list[tuple[int, int]], set[str]]:
-    spans: list[tuple[int, int]] = []
-    for b, e in sorted(s for p in parts for s in p[1]):
-        if spans and b <= spans[-1][1]:
-            spans[-1] = (spans[-1][0], max(e, spans[-1][1]))
+        for part in _parts(bytes(row.text), width, block_bytes):
+            if held and size + len(part) > block_bytes:
+                yield Windows.of(held, width)
+                held, size = [], 0
+            held.append((row.id, part))
+            size += len(part)
+    if held:
+        yield Windows.of(held, width)
+
+
+def _first_two(blocks: Iterator[Windows]) -> tuple[Windows, Windows | None]:
+    """The first block, empty without a benchmark, and the second if there is one."""
+    return next(blocks, None) or Windows.of([]), next(blocks, None)
+
+
+def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for b, e in sorted(spans):
+        if out and b <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
         else:
-            spans.append((b, e))
-    return parts[0][0], spans, set().union(*(p[2] for p in parts))
+            out.append((b, e))
+    return out
 
 
-def search(texts: list[bytes | None], blocks: list[Windows]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
-    if len(blocks) == 1:
-        return blocks[0].find(texts)
-    return [_merged(list(p)) for p in zip(*(b.find(texts) for b in blocks))]
+def _found_columns(spans: list[list[tuple[int, int]]], items: list[set[str]]) -> dict[str, pa.Array]:
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    return {"spans": pa.array([[{"start": b, "end": e} for b, e in s] for s in spans], span), "items": pa.array([sorted(i) for i in items], pa.list_(pa.string()))}
 
 
 def is_contaminated(n_words: int, spans: list[tuple[int, int]]) -> bool:
@@ -231,44 +255,95 @@ def is_contaminated(n_words: int, spans: list[tuple[int, int]]) -> bool:
     return hit > 0 and 20 * hit >= n_words
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_hit, n_items, items, items_sha256, spans, contaminated), a row for each row; no shuffle.
+def _blob(text_col: str) -> Column:
+    return F.sha2(text_bytes(text_col), 256)
 
-    spans are merged [start, end) word positions of removal. Null and empty texts have no words; an empty
-    benchmark finds nothing. Items that share a window count each; repeated item ids count once.
+
+def hits_of_blocks(docs: DataFrame, blocks: Iterable[Windows], text_col: str = "text") -> DataFrame:
+    """(blob, n_words, spans, items) for each distinct text in which a window of any block occurs.
+
+    One pass over docs for each block: the driver and the workers hold one block at a time, and what a pass
+    finds is stored under the SHA-256 of its text. A text has at most one row for each block to merge.
     """
-    blocks = load_benchmark(benchmark)
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(blocks)
-
-    def fn(batch: pa.RecordBatch) -> dict:
-        got = search(batch.column(1).to_pylist(), held.value)
-        items = [sorted(g[2]) for g in got]
-        return {
-            "id": batch.column(0),
-            "n_words": pa.array([g[0] for g in got], pa.int64()),
-            "n_hit": pa.array([sum(e - b for b, e in g[1]) for g in got], pa.int64()),
-            "n_items": pa.array([len(i) for i in items], pa.int64()),
-            "items": pa.array(items, pa.list_(pa.string())),
-            "items_sha256": pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items], pa.string()),
-            "spans": pa.array([[{"start": b, "end": e} for b, e in g[1]] for g in got], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-            "contaminated": pa.array([is_contaminated(g[0], g[1]) for g in got], pa.bool_()),
-        }
-
-    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_bytes(text_col).alias("text"))
-    return map_rows(narrow, fn, "id long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, spans array<struct<start: long, end: long>>, contaminated boolean")
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without the contaminated ones, all columns as they are; no shuffle."""
-    held = docs.sparkSession.sparkContext.broadcast(load_benchmark(benchmark))
+    rows = docs.select(_blob(text_col).alias("blob"), text_bytes(text_col).alias("text"))
+    passes = []
+    for windows in blocks:
+        held = spark.sparkContext.broadcast(windows)
+
+        def fn(batch: pa.RecordBatch, held=held) -> dict:
+            got = held.value.find(batch.column(1).to_pylist())
+            at = [i for i, g in enumerate(got) if g[1]]
+            hit = [got[i] for i in at]
+            return {"blob": batch.column(0).take(pa.array(at, pa.int32())), "n_words": pa.array([g[0] for g in hit], pa.int64())} | _found_columns([g[1] for g in hit], [g[2] for g in hit])
+
+        found = map_rows(rows, fn, f"blob string, n_words long, {FOUND}")
+        passes.append(stored(found.groupBy("blob").agg(*[F.first(c).alias(c) for c in ("n_words", "spans", "items")])))
+        held.destroy()
+    every = reduce(DataFrame.unionByName, passes)
+    gathered = every.groupBy("blob").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+
+    def merge(batch: pa.RecordBatch) -> dict:
+        spans = [_merged((s["start"], s["end"]) for s in row) for row in batch.column(2).to_pylist()]
+        return {"blob": batch.column(0), "n_words": batch.column(1)} | _found_columns(spans, [set(i) for i in batch.column(3).to_pylist()])
+
+    return stored(map_rows(gathered, merge, f"blob string, n_words long, {FOUND}"))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast if its counted rows are few; else Spark chooses."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id, n_words, n_hit, n_items, items, items_sha256, spans, contaminated), a row for each row.
+
+    spans are merged [start, end) word positions of removal. Null and empty texts have no words; an empty
+    benchmark finds nothing. Items that share a window count each; repeated item ids count once. A benchmark
+    of one block takes one pass without a shuffle; of more, a pass for each and a join of what they found.
+    """
+    blocks = benchmark_blocks(benchmark, block_bytes=block_bytes)
+    first, second = _first_two(blocks)
+    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), _blob(text_col).alias("blob"), text_bytes(text_col).alias("text"))
+    if second is None:
+        held = docs.sparkSession.sparkContext.broadcast(first)
+
+        def fn(batch: pa.RecordBatch) -> dict:
+            got = held.value.find(batch.column(1).to_pylist())
+            return {"id": batch.column(0), "n_words": pa.array([g[0] for g in got], pa.int64())} | _found_columns([g[1] for g in got], [g[2] for g in got])
+
+        found = map_rows(narrow.select("id", "text"), fn, f"id long, n_words long, {FOUND}")
+    else:
+        hits = hits_of_blocks(docs, chain([first, second], blocks), text_col).select("blob", "spans", "items")
+
+        def count(batch: pa.RecordBatch) -> dict:
+            return {"id": batch.column(0), "blob": batch.column(1), "n_words": pa.array([len(words_of(t)) for t in batch.column(2).to_pylist()], pa.int64())}
+
+        none = [F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("spans", SPANS), ("items", "array<string>"))]
+        found = map_rows(narrow, count, "id long, blob string, n_words long").join(_small(hits), "blob", "left").select("id", "n_words", *none)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    found = found.withColumn("n_hit", n_hit)
+    contaminated = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    return found.select("id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "spans", contaminated.alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without the contaminated ones, all columns as they are; without a shuffle if the benchmark is one block."""
+    blocks = benchmark_blocks(benchmark, block_bytes=block_bytes)
+    first, second = _first_two(blocks)
+    if second is not None:
+        n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+        (blob,) = fresh_names(docs, 1)
+        gone = hits_of_blocks(docs, chain([first, second], blocks), text_col).filter(20 * n_hit >= F.col("n_words")).select(F.col("blob").alias(blob))
+        return docs.join(_small(gone), _blob(text_col) == F.col(blob), "left_anti")
+    held = docs.sparkSession.sparkContext.broadcast(first)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, SLICE_ROWS):
                 batch = whole.slice(k, SLICE_ROWS)
-                got = search([t.encode() if t else None for t in batch.column(at).to_pylist()], held.value)
+                got = held.value.find([t.encode() if t else None for t in batch.column(at).to_pylist()])
                 yield batch.filter(pa.array([not is_contaminated(n, spans) for n, spans, _ in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

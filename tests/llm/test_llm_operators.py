@@ -383,10 +383,26 @@ def test_contamination_equals_brute_force(spark):
         assert (r.n_words, r.n_hit, r.n_items, list(r.items)) == (n, hit, len(found), found)
         assert r.items_sha256 == hashlib.sha256(",".join(found).encode()).hexdigest()
         assert r.contaminated == (hit > 0 and 20 * hit >= n)
-    blocks = decontam.load_benchmark(benchmark, block_bytes=100)
-    assert len(blocks) > 3
-    raw = [t.encode() if t else None for t in texts]
-    assert decontam.search(raw, blocks) == decontam.search(raw, decontam.load_benchmark(benchmark))
+    doubled = docs.unionByName(docs.limit(3))
+    assert len(list(decontam.benchmark_blocks(benchmark, block_bytes=600))) > 2
+    in_turn = decontam.find_contamination(doubled, benchmark, block_bytes=600)
+    assert sorted(map(repr, in_turn.collect())) == sorted(repr(got[r.doc_id]) for r in doubled.collect())
+    clean = {r.id for r in got.values() if not r.contaminated}
+    for most in (600, 10**6):
+        assert {r.doc_id for r in decontam.drop_contaminated(docs, benchmark, block_bytes=most).collect()} == clean
+
+
+def test_long_items_are_cut_without_losing_windows():
+    rng = np.random.default_rng(5)
+    text = " ".join(rng.choice([f"w{k}" for k in range(50)], 300)).encode()
+
+    def windows(parts):
+        return {tuple(w[k : k + 13]) for w in map(decontam.words_of, parts) for k in range(len(w) - 12)}
+
+    for most in (1, 40, 200, 5000):
+        parts = decontam._parts(text, 13, most)
+        assert windows(parts) == windows([text]) and all(len(decontam.words_of(p)) >= 13 for p in parts)
+    assert decontam._parts(b"one, two", 13, 3) == [b"one two"]
 
 
 def test_fm_index_counts_and_locates():
