@@ -119,6 +119,39 @@ SELECT doc.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM doc LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
+# Starts follow from the lengths of the matches and of the stretches between them. The white space is Python's.
+_ASSIGN_BY = (
+    r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+    r"""["'']?\x20*[:=]\x20*["'']?"""
+)
+_PRIVATE_KEY = r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:[A-Za-z0-9+/=\t-\r\x1C-\x1F\x{85}\p{Z}]*-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----)?"
+_OP9 = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), matched AS (
+  SELECT r, 0 AS k, 'assign' AS kind, regexp_extract_all(t, 'ASSIGN_BY[A-Za-z0-9+/_.=-]+') AS m, string_split_regex(t, 'ASSIGN_BY[A-Za-z0-9+/_.=-]+') AS gaps FROM doc
+  UNION ALL
+  SELECT r, 1 AS k, 'access' AS kind, regexp_extract_all(t, 'AKIA[A-Z0-9]+') AS m, string_split_regex(t, 'AKIA[A-Z0-9]+') AS gaps FROM doc
+  UNION ALL
+  SELECT r, 2 AS k, 'hex' AS kind, regexp_extract_all(t, '[0-9a-f]{24,}') AS m, string_split_regex(t, '[0-9a-f]{24,}') AS gaps FROM doc
+  UNION ALL
+  SELECT r, 3 AS k, 'private_key' AS kind, regexp_extract_all(t, 'PRIVATE_KEY') AS m, string_split_regex(t, 'PRIVATE_KEY') AS gaps FROM doc
+), placed AS (
+  SELECT r, k, kind, m[i] AS w, (coalesce(list_sum([length(x) for x in gaps[1:i]]), 0) + coalesce(list_sum([length(x) for x in m[1:i - 1]]), 0))::BIGINT AS s
+  FROM matched, unnest(range(1, len(m) + 1)) AS u(i)
+), span AS (
+  SELECT r, k, kind, s, kind || ':' || s || ':' || (s + length(w)) AS txt FROM placed
+  WHERE CASE k WHEN 0 THEN length(regexp_extract(w, '^ASSIGN_BY([A-Za-z0-9+/_.=-]+)', 1)) >= 6 WHEN 1 THEN length(w) >= 20 ELSE true END
+), digest AS (
+  SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    string_agg(txt, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(txt, ',' ORDER BY s, k) AS spans
+  FROM span GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM doc LEFT JOIN digest USING (r)
+""".replace("ASSIGN_BY", _ASSIGN_BY).replace("PRIVATE_KEY", _PRIVATE_KEY)
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": _OP2, "op8_decontamination": _OP8}
+    return {"op2_sharding": _OP2, "op8_decontamination": _OP8, "op9_secrets": _OP9}

@@ -66,3 +66,21 @@ def test_every_operator_has_one_query():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
     assert decontam.WINDOW == 13
+
+
+def test_secret_sql_agrees_on_odd_texts():
+    import pandas as pd
+
+    texts = [
+        None, "", "paſsword=abcdefgh toKEN: \"abc\" Password=1234567", "é\U0001f600token=token=token=abcdef, api_key: 'a' apikey=zzzzzz",
+        "AKIA" + "A" * 16 + " AKIA12 " + "ab" * 12 + "x" + "0" * 23, "-----BEGIN RSA PRIVATE KEY----- AA　\x85\x1d\x0b==\n-----END RSA PRIVATE KEY-----x",
+        "-----BEGIN PRIVATE KEY-----A​A-----END PRIVATE KEY-----", "secret:token=abc secret=password:abcdefgh", "a" * 24 + "g" + "b" * 30, "passwordpassword=======",
+        "passwordpassword=======", "secret = \"" + "q" * 50_000 + "\"",
+    ]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    got = sorted(con.execute(queries.oracle_sql()["op9_secrets"]).fetchall())
+    for row, text in zip(got, texts, strict=True):
+        spans = secrets.find_spans(text)
+        counts = tuple(sum(s[0] == k for s in spans) for k in secrets.KINDS[:3])
+        assert row[1:] == (*counts, secrets.brute_sha256(spans), ",".join(f"{k}:{s}:{e}" for k, s, e in spans))
