@@ -69,3 +69,23 @@ def matched_sql(text: str) -> str:
     rest = text.strip()
     rest = ", " + rest[5:] if rest.upper().startswith("WITH ") else " " + rest
     return sql("WITH " + MATCHED + rest, "cat_ref", "cat_test")
+
+
+def harmonic_sql(points: str, key: str, digits: int) -> str:
+    """Common tables after `points` (key, phi, y) and the fit of y by first and second harmonics of phi.
+
+    Each basis column loses what the columns before it explain, so that the squares it explains add up.
+    """
+    def less(column: str, by: str) -> str:
+        return f"{column} - {by}*sum({column}*{by}) OVER w/sum({by}*{by}) OVER w AS {column}"
+
+    def r(e: str) -> str:
+        return f"round(CASE WHEN n >= 5 THEN {e} END, {digits}) + 0.0"
+
+    return f""", h0 AS (SELECT {key}, radians(phi) AS t, y FROM {points} WHERE phi IS NOT NULL AND y IS NOT NULL),
+h1 AS (SELECT {key}, y - avg(y) OVER w AS y, cos(t) - avg(cos(t)) OVER w AS c, sin(t) - avg(sin(t)) OVER w AS s, cos(2*t) - avg(cos(2*t)) OVER w AS c2, sin(2*t) - avg(sin(2*t)) OVER w AS s2 FROM h0 WINDOW w AS (PARTITION BY {key})),
+h2 AS (SELECT {key}, y, c, {less('s', 'c')}, {less('c2', 'c')}, {less('s2', 'c')} FROM h1 WINDOW w AS (PARTITION BY {key})),
+h3 AS (SELECT {key}, y, c, s, {less('c2', 's')}, {less('s2', 's')} FROM h2 WINDOW w AS (PARTITION BY {key})),
+h4 AS (SELECT {key}, y, c, s, c2, {less('s2', 'c2')}, sum(s2*c2) OVER w/sum(c2*c2) OVER w AS k FROM h3 WINDOW w AS (PARTITION BY {key})),
+h5 AS (SELECT {key}, count(*) AS n, sum(y*y) AS tss, max(k) AS k, {', '.join(f'sum(y*{b})/sum({b}*{b}) AS b_{b}, pow(sum(y*{b}), 2)/sum({b}*{b}) AS e_{b}' for b in ('c', 's', 'c2', 's2'))} FROM h4 GROUP BY {key})
+SELECT {key}, n, {r('sqrt(pow(b_c2 - k*b_s2, 2) + b_s2*b_s2)')} AS a2, {r('degrees(atan2(b_s2, b_c2 - k*b_s2))/2')} AS psi2, {r('(e_c2 + e_s2)/tss')} AS d_r2, {r('(e_c + e_s + e_c2 + e_s2)/tss')} AS r2 FROM h5"""

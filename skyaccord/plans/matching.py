@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skyaccord.functions import flux, sky
 from skyaccord.operators import fit, match, sources, stats
-from skyaccord.plans.common import matched, matched_sql, rounded, sql
+from skyaccord.plans.common import harmonic_sql, matched, matched_sql, rounded, sql
 from skyaccord.plans.fixtures import view
 
 BMAJ, BMIN, X0, Y0 = 0.002483482 * 3600, 0.002133589 * 3600, 2048.0, 2048.0
@@ -249,6 +249,7 @@ _FRAC = "count(frac) AS n_frac, R(avg(frac)) AS mean_frac, R(stddev_pop(frac)) A
 _F = "WITH f AS (SELECT *, (peak_flux_2 - peak_flux_1)/peak_flux_1 AS frac, peak_flux_2/peak_flux_1 AS ratio FROM m)"
 _ELLIPSE = ", ".join(f"{_r5(e)} AS {n}" for n, e in (("x0", "avg(d_ra)"), ("y0", "avg(d_dec)"), ("rx", "greatest(max(d_ra)-avg(d_ra), avg(d_ra)-min(d_ra))"), ("ry", "greatest(max(d_dec)-avg(d_dec), avg(d_dec)-min(d_dec))"), ("sx", "stddev_pop(d_ra)"), ("sy", "stddev_pop(d_dec)")))
 _Z = "((c*c+s*s)/n)"
+_UNIT = "cos(radians(dec))*cos(radians(ra)) AS x, cos(radians(dec))*sin(radians(ra)) AS y, sin(radians(dec)) AS z"
 
 QUERIES = {
     "match_one_to_one": (match_one_to_one, matched_sql("SELECT source_id_1, source_id_2, R(sep) AS sep_arcsec FROM m")),
@@ -259,7 +260,8 @@ QUERIES = {
     "unmatched_test": (unmatched_test, matched_sql("SELECT source_id FROM cat_test WHERE ra IS NOT NULL AND source_id NOT IN (SELECT source_id_2 FROM m)")),
     "match_jobs": (match_jobs, matched_sql("""WITH p2 AS (SELECT * FROM pairs WHERE source_id_1 % 2 = source_id_2 % 2), n2 AS (SELECT * FROM (SELECT source_id_1, source_id_2, sep, row_number() OVER (PARTITION BY source_id_1 ORDER BY sep, source_id_2) AS j FROM p2) AS t WHERE j = 1),
       m2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id_2 ORDER BY sep, source_id_1) AS j2 FROM n2) AS t WHERE j2 = 1) SELECT 'job' || CAST(source_id_1 % 2 AS VARCHAR) AS job_id, count(*) AS n FROM m2 GROUP BY 1""")),
-    "nearest_any": (nearest_any, None),
+    "nearest_any": (nearest_any, sql(f"""WITH a AS (SELECT source_id, {_UNIT} FROM cat_ref WHERE ra IS NOT NULL), b AS (SELECT {_UNIT} FROM cat_test WHERE ra IS NOT NULL)
+      SELECT a.source_id AS source_id_1, round(degrees(2*asin(least(1.0, sqrt(min((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)))/2)))*3600, 3) AS sep_arcsec FROM a, b GROUP BY 1""", "cat_ref", "cat_test")),
     "frac_summary": (frac_summary, matched_sql(_F + f", md AS (SELECT median(ratio) AS md FROM f) SELECT {_FRAC}, count(ratio) AS n_ratio, R(median(ratio)) AS median_ratio, R(1.4826*median(abs(ratio - md))) AS nmad_ratio FROM f, md")),
     "nmad": (nmad, matched_sql(_F + ", md AS (SELECT median(ratio) AS md FROM f) SELECT count(ratio) AS n, R(median(ratio)) AS median, R(1.4826*median(abs(ratio - md))) AS nmad FROM f, md")),
     "flux_report": (flux_report, matched_sql(f"""WITH l AS (SELECT 'peak_flux' AS flux_type, peak_flux_1 AS r, peak_flux_2 AS t FROM m UNION ALL SELECT 'total_flux', total_flux_1, total_flux_2 FROM m),
@@ -271,7 +273,7 @@ QUERIES = {
     "circular": (circular, matched_sql(_OFFSETS + f""", g AS (SELECT source_id_1 % 4 AS part, count(theta) AS n, sum(cos(radians(theta))) AS c, sum(sin(radians(theta))) AS s FROM q GROUP BY 1),
       t AS (SELECT part, n, sqrt(c*c+s*s)/n AS r, (degrees(atan2(s, c)) + 360) % 360 AS mean_deg, greatest(0.0, least(1.0, exp(-{_Z})*(1 + (2*{_Z} - {_Z}*{_Z})/(4*n) - (24*{_Z} - 132*{_Z}*{_Z} + 76*pow({_Z},3) - 9*pow({_Z},4))/(288.0*n*n)))) AS p FROM g)
       SELECT part, n, {_r5('r')} AS r, {_r5('mean_deg')} AS mean_deg, {_r5('p')} AS p, CASE WHEN p <= 0.01 THEN 'directional' WHEN p <= 0.05 THEN 'weak' ELSE 'uniform' END AS verdict FROM t""")),
-    "harmonic": (harmonic, None),
+    "harmonic": (harmonic, matched_sql(_OFFSETS + ", pts AS (SELECT source_id_1 % 4 AS part, phi, d_ra AS y FROM q)" + harmonic_sql("pts", "part", 5))),
     "ellipse": (ellipse, matched_sql(_OFFSETS + f" SELECT {_ELLIPSE} FROM q")),
     "astrometry_overlays": (astrometry_overlays, matched_sql(_OFFSETS + f", s AS (SELECT 'main' AS series, d_ra, d_dec FROM q UNION ALL SELECT 'scan' || CAST(source_id_1 % 3 AS VARCHAR), d_ra, d_dec FROM q) SELECT series, {_ELLIPSE} FROM s GROUP BY series")),
     "gain_origin": (gain_origin, matched_sql(_gain_sql())),
@@ -302,6 +304,10 @@ QUERIES = {
     "axis_limits": (axis_limits, matched_sql(_OFFSETS + f" SELECT {_r5('1.05*greatest(max(abs(d_ra)), max(abs(d_dec)))')} AS \"limit\" FROM q")),
     "source_errors": (source_errors, sql(f"""WITH r AS (SELECT *, radians(CAST(source_id % 180 AS DOUBLE)) AS pa, sqrt(pi()/(8*ln(2.0))*9.0*7.5/({BMIN}*{BMIN}/4)*peak_flux*peak_flux/(e_peak_flux*e_peak_flux)) AS rho FROM cat_test)
       SELECT source_id, R(sqrt(2.0)*total_flux/rho) AS e_flux, R(sqrt(2.0)*peak_flux/rho) AS e_peak, R(sqrt(9.0/rho/(4*ln(2.0))*pow(sin(pa),2) + 7.5/rho/(4*ln(2.0))*pow(cos(pa),2))) AS e_ra, R(sqrt(9.0/rho/(4*ln(2.0))*pow(cos(pa),2) + 7.5/rho/(4*ln(2.0))*pow(sin(pa),2))) AS e_dec FROM r""", "cat_test")),
-    "deconvolved": (deconvolved, None),
-    "sexagesimal": (sexagesimal, None),
+    "deconvolved": (deconvolved, sql(f"""WITH c AS (SELECT source_id, 9.0::DOUBLE + source_id % 7 AS p, 7.0::DOUBLE + source_id % 3 AS q, radians(2*((source_id % 180) - 30.0::DOUBLE)) AS tw, {BMAJ}::DOUBLE AS bp, {BMIN}::DOUBLE AS bq FROM cat_test),
+      v AS (SELECT *, p*p - q*q AS src, bp*bp - bq*bq AS beam, (p*p + q*q - bp*bp - bq*bq)/2 AS mean FROM c),
+      h AS (SELECT *, sqrt(src*src + beam*beam - 2*src*beam*cos(tw))/2 AS half FROM v)
+      SELECT source_id, {_r5('sqrt(greatest(mean + half, 0))')} AS maj, {_r5('sqrt(greatest(mean - half, 0))')} AS min, CAST(mean + half < 0 AS INTEGER) + CAST(mean - half < 0 AS INTEGER) AS n_clipped FROM h""", "cat_test")),
+    "sexagesimal": (sexagesimal, sql("""WITH c AS (SELECT source_id, dec, round(((ra % 360) + 360) % 360 / 15 * 36000000)::BIGINT % 864000000 AS t, round(abs(dec) * 36000000)::BIGINT AS d FROM cat_test)
+      SELECT source_id, printf('%02d:%02d:%07.4f, ', t // 36000000, t % 36000000 // 600000, (t % 600000)/10000.0::DOUBLE) || CASE WHEN dec < 0 THEN '-' ELSE '' END || printf('%02d:%02d:%07.4f', d // 36000000, d % 36000000 // 600000, (d % 600000)/10000.0::DOUBLE) AS position FROM c""", "cat_test")),
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skyaccord.functions import flux, sky
 from skyaccord.operators import fit, sources, stats, vis
-from skyaccord.plans.common import matched, matched_sql, rounded, rounded9, sql, sql9
+from skyaccord.plans.common import harmonic_sql, matched, matched_sql, rounded, rounded9, sql, sql9
 from skyaccord.plans.fixtures import view
 from skyaccord.sources.sinks import metrics_table
 
@@ -161,7 +161,9 @@ QUERIES = {
     "beam_offsets": (_beams, matched_sql(_OFF + " SELECT count(*) AS n, " + ", ".join(f"round({e}, 4) + 0.0 AS {n}" for n, e in (
         ("d_ra_bmin", "avg(d_ra/(0.002133589*3600))"), ("d_dec_bmaj", "avg(d_dec/(0.002483482*3600))"), ("phi_1", "avg(degrees(atan2(yposn_1-2048, xposn_1-2048)))"),
         ("phi_2", "avg(degrees(atan2(yposn_2-2048, xposn_2-2048)))"), ("theta_bmaj", "avg(degrees(atan2(d_dec, d_ra))/(0.002483482*3600))"))) + " FROM o")),
-    "astrometry_harmonics": (_harmonics, None),
+    "astrometry_harmonics": (_harmonics, matched_sql(_OFF + ", pts AS (" + " UNION ALL ".join(
+        f"SELECT '{y} vs phi_{k}' AS label, degrees(atan2(yposn_{k}-2048, xposn_{k}-2048)) AS phi, {e} AS y FROM o"
+        for y, e in (("d_ra_bmaj", "d_ra/(0.002483482*3600)"), ("d_dec_bmaj", "d_dec/(0.002483482*3600)")) for k in (1, 2)) + ")" + harmonic_sql("pts", "label", 4))),
     "vis_report": (_overall, sql9("SELECT 'vis' AS label, 'flag_frac' AS metric, R(avg(flag_frac)) AS value FROM vis_rows UNION ALL SELECT 'vis', 'n_rows', CAST(count(*) AS DOUBLE) FROM vis_rows", "vis_rows")),
     "calibrator_catalog": (_calibrators, sql("SELECT catalog, source_id, R(CASE WHEN ra <= 0 THEN ra + 360 ELSE ra END) AS ra, R(peak_flux) AS peak_flux FROM (SELECT *, source_id % 50 AS catalog, row_number() OVER (PARTITION BY source_id % 50 ORDER BY peak_flux DESC, source_id) AS k FROM cat_ref WHERE ra IS NOT NULL) AS t WHERE k = 1", "cat_ref")),
     "source_filter_report": (_filtered, sql("""WITH r AS (SELECT *, sqrt(pi()/(8*ln(2.0))*9.0*7.5/(7.68*7.68/4)*peak_flux*peak_flux/(e_peak_flux*e_peak_flux)) AS rho FROM cat_test)
