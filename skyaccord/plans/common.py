@@ -89,3 +89,27 @@ h3 AS (SELECT {key}, y, c, s, {less('c2', 's')}, {less('s2', 's')} FROM h2 WINDO
 h4 AS (SELECT {key}, y, c, s, c2, {less('s2', 'c2')}, sum(s2*c2) OVER w/sum(c2*c2) OVER w AS k FROM h3 WINDOW w AS (PARTITION BY {key})),
 h5 AS (SELECT {key}, count(*) AS n, sum(y*y) AS tss, max(k) AS k, {', '.join(f'sum(y*{b})/sum({b}*{b}) AS b_{b}, pow(sum(y*{b}), 2)/sum({b}*{b}) AS e_{b}' for b in ('c', 's', 'c2', 's2'))} FROM h4 GROUP BY {key})
 SELECT {key}, n, {r('sqrt(pow(b_c2 - k*b_s2, 2) + b_s2*b_s2)')} AS a2, {r('degrees(atan2(b_s2, b_c2 - k*b_s2))/2')} AS psi2, {r('(e_c2 + e_s2)/tss')} AS d_r2, {r('(e_c + e_s + e_c2 + e_s2)/tss')} AS r2 FROM h5"""
+
+
+def huber_sql(points: str, key: str, name: str, passes: int = 20) -> str:
+    """Common tables after `points` (id, key, x, y, base): a line reweighted pass by pass until no weight of its group moves.
+
+    `{name}_fit` has the line of each group, `{name}_in` the points within 1.345 of the last scale.
+    """
+    line = f"""AS MATERIALIZED (SELECT {key}, count(*) AS n, sum(u) AS s, sum(u*x) AS sx, sum(u*x*x) AS sxx, (sum(u)*sum(u*x*y) - sum(u*x)*sum(u*y))/(sum(u)*sum(u*x*x) - sum(u*x)*sum(u*x)) AS slope,
+  (sum(u*x*x)*sum(u*y) - sum(u*x)*sum(u*x*y))/(sum(u)*sum(u*x*x) - sum(u*x)*sum(u*x)) AS intercept, bool_and(abs(w - old) <= 1e-6 + 1e-6*abs(old)) AS settled FROM (SELECT *, greatest(w, 1e-12) AS u FROM {name}_r{{}}) AS t GROUP BY {key})"""
+    scale = f"""AS MATERIALIZED (SELECT {key}, CASE WHEN a > 1e-12 THEN a WHEN b > 1e-12 THEN b ELSE 1.0 END AS scale FROM (
+  SELECT {key}, median(abs(y - intercept - slope*x)*sqrt(w))/0.6745 AS a, sqrt(sum(w*pow(y - intercept - slope*x, 2))/sum(w)) AS b FROM {name}_r{{0}} JOIN {name}_l{{0}} USING ({key}) GROUP BY {key}) AS t)"""
+    out = [f", {name}_r0 AS MATERIALIZED (SELECT *, base AS w, CAST(NULL AS DOUBLE) AS old FROM {points})"]
+    for k in range(passes + 1):
+        out.append(f"{name}_l{k} {line.format(k)}")
+        out.append(f"{name}_s{k} {scale.format(k)}")
+        if k < passes:
+            z = "(abs(y - intercept - slope*x)*sqrt(w)/scale)"
+            step = f"CASE WHEN settled THEN w WHEN {z} > 1.345 THEN base*1.345/{z} ELSE base END"
+            out.append(f"{name}_r{k + 1} AS MATERIALIZED (SELECT r.id, {key}, r.x, r.y, r.base, {step} AS w, r.w AS old FROM {name}_r{k} AS r JOIN {name}_l{k} USING ({key}) JOIN {name}_s{k} USING ({key}))")
+    every = f"{name}_r{passes} JOIN {name}_l{passes} USING ({key})"
+    var = "sum(greatest(w, 1e-12)*pow(y - intercept - slope*x, 2))/greatest(count(*) - 2, 1)"
+    out.append(f"""{name}_fit AS (SELECT {key}, count(*) AS n, max(slope) AS slope, max(intercept) AS intercept, sqrt({var}*max(s)/(max(s)*max(sxx) - max(sx)*max(sx))) AS slope_err, sqrt({var}*max(sxx)/(max(s)*max(sxx) - max(sx)*max(sx))) AS intercept_err FROM {every} GROUP BY {key})""")
+    out.append(f"{name}_in AS (SELECT id, {key}, x, y, base FROM {every} JOIN {name}_s{passes} USING ({key}) WHERE abs(y - intercept - slope*x)*sqrt(w)/scale <= 1.345)")
+    return ",\n".join(out)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skyaccord.functions import flux, sky
 from skyaccord.operators import fit, match, sources, stats
-from skyaccord.plans.common import harmonic_sql, matched, matched_sql, rounded, sql
+from skyaccord.plans.common import harmonic_sql, huber_sql, matched, matched_sql, rounded, sql
 from skyaccord.plans.fixtures import view
 
 BMAJ, BMIN, X0, Y0 = 0.002483482 * 3600, 0.002133589 * 3600, 2048.0, 2048.0
@@ -249,6 +249,7 @@ _FRAC = "count(frac) AS n_frac, R(avg(frac)) AS mean_frac, R(stddev_pop(frac)) A
 _F = "WITH f AS (SELECT *, (peak_flux_2 - peak_flux_1)/peak_flux_1 AS frac, peak_flux_2/peak_flux_1 AS ratio FROM m)"
 _ELLIPSE = ", ".join(f"{_r5(e)} AS {n}" for n, e in (("x0", "avg(d_ra)"), ("y0", "avg(d_dec)"), ("rx", "greatest(max(d_ra)-avg(d_ra), avg(d_ra)-min(d_ra))"), ("ry", "greatest(max(d_dec)-avg(d_dec), avg(d_dec)-min(d_dec))"), ("sx", "stddev_pop(d_ra)"), ("sy", "stddev_pop(d_dec)")))
 _Z = "((c*c+s*s)/n)"
+_LINE = ", ".join(f"{_r5(c)} AS {c}" for c in ("slope", "intercept", "slope_err", "intercept_err"))
 _UNIT = "cos(radians(dec))*cos(radians(ra)) AS x, cos(radians(dec))*sin(radians(ra)) AS y, sin(radians(dec)) AS z"
 
 QUERIES = {
@@ -283,8 +284,11 @@ QUERIES = {
       v AS (SELECT i.part, sum(w*pow(y - intercept - slope*x, 2))/greatest(max(n) - 2, 1) AS var FROM p JOIN i USING (part) GROUP BY i.part)
       SELECT part, n, {_r5('slope')} AS slope, {_r5('intercept')} AS intercept, {_r5('sqrt(var*s/det)')} AS slope_err, {_r5('sqrt(var*sxx/det)')} AS intercept_err FROM i JOIN v USING (part)""")),
     "mad_inliers": (mad_inliers, matched_sql(_F + ", md AS (SELECT median(ratio) AS md FROM f), sc AS (SELECT 1.4826*median(abs(ratio - md)) AS sc FROM f, md) SELECT abs(ratio - md)/sc <= 2.0 AS inlier, count(*) AS n FROM f, md, sc GROUP BY 1")),
-    "huber_fit": (huber_fit, None),
-    "flux_fit": (flux_fit, None),
+    "huber_fit": (huber_fit, matched_sql("WITH p AS (SELECT source_id_1 AS id, source_id_1 % 2 AS part, peak_flux_1 AS x, peak_flux_2 AS y, pow(greatest(e_peak_flux_2, 1e-8), -2.0) AS base FROM m)"
+      + huber_sql("p", "part", "h") + f" SELECT part, n, {_LINE} FROM h_fit")),
+    "flux_fit": (flux_fit, matched_sql(f"""WITH p AS (SELECT source_id_1 AS id, 0 AS part, peak_flux_1 AS x, peak_flux_2 AS y, 1.0::DOUBLE AS base FROM m), mid AS (SELECT median(x) AS mx, median(y) AS my FROM p),
+      sc AS (SELECT 1.4826*median(abs(x - mx)) AS sx, 1.4826*median(abs(y - my)) AS sy FROM p, mid), q AS (SELECT p.* FROM p, mid, sc WHERE abs(x - mx)/sx <= 4 AND abs(y - my)/sy <= 4)"""
+      + huber_sql("q", "part", "g") + huber_sql("g_in", "part", "h") + f" SELECT (SELECT count(*) FROM p) AS n, n AS n_inlier, (SELECT count(*) FROM p) - n AS n_outlier, {_LINE} FROM h_fit")),
     "scan_fracdiff": (scan_fracdiff, matched_sql(_F + " SELECT source_id_1 % 5 AS scan_id, count(frac) AS n, R(avg(frac)) AS mean, R(stddev_pop(frac)) AS std FROM f GROUP BY 1")),
     "fracdiff_hist": (fracdiff_hist, matched_sql(_F + " SELECT source_id_1 % 2 AS series, CAST(least(floor((frac + 1)/(2.0/59)), 58) AS BIGINT) AS bin, count(*) AS n FROM f WHERE frac BETWEEN -1 AND 1 GROUP BY 1, 2")),
     "pair_offsets": (pair_offsets, matched_sql("WITH d AS (SELECT source_id_1 % 3 AS pair, (ra_2-ra_1)*cos(radians(dec_1))*3600 AS d_ra, (dec_2-dec_1)*3600 AS d_dec, sep AS sep_arcsec FROM pairs) SELECT pair, " + ", ".join(f"{_r5(e.format(c))} AS {n}_{c}" for c in ("d_ra", "d_dec", "sep_arcsec") for n, e in (("avg", "avg({})"), ("std", "stddev_pop({})"), ("rms", "sqrt(avg({0}*{0}))"))) + " FROM d GROUP BY pair")),
