@@ -209,7 +209,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Of several texts under that id the one with the least hash stays, and rows that repeat an id and its text
     stay once. Rows with null ids are never dropped: nothing names them.
     """
-    groups = stored(near_duplicates(docs, id_col, text_col, bits, width))
+    return drop_by_groups(docs, near_duplicates(docs, id_col, text_col, bits, width), id_col, text_col)
+
+
+def drop_by_groups(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """drop_near_duplicates for given groups (id, text_hash, component_id), one row for each row of docs."""
+    groups = stored(groups)
     named = groups.filter("id IS NOT NULL").groupBy("id", "text_hash").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
     keepers = named.filter("id = component_id").groupBy("id").agg(F.min(F.struct("text_hash", "n")).alias("k")).select("id", "k.text_hash", "k.n")
     i, t = fresh_names(docs, 2)
@@ -217,14 +222,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     again = keepers.filter("n > 1")
     gone, again = (stored(df.select(F.col("id").alias(i), F.col("text_hash").alias(t))) for df in (gone, again))
     key = [F.col(f"`{id_col}`").cast("long") == F.col(i), F.xxhash64(F.col(f"`{text_col}`")) == F.col(t)]
-    kept = docs.join(_small(gone), key, "left_anti")
+    kept = docs.join(small(gone), key, "left_anti")
     if again.limit(1).count():
-        again = _small(again)
+        again = small(again)
         once = kept.join(again, key, "inner").dropDuplicates([i, t]).drop(i, t)
         kept = kept.join(again, key, "left_anti").unionByName(once)
     return kept
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """Broadcast if its counted rows are few; else Spark chooses."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
