@@ -103,7 +103,7 @@ class FMIndex:
         alive = np.arange(len(patterns))
         for column in range(patterns.shape[1] - 1, -1, -1):
             symbol = patterns[alive, column]
-            known = (symbol > 0) & (symbol < len(self.first) - 1)
+            known = (symbol > 0) & (symbol < len(self.first) - 2)  # first has max + 3 entries
             low[alive[(symbol > 0) & ~known]] = high[alive[(symbol > 0) & ~known]] = 0
             step, symbol = alive[known], symbol[known]
             low[step] = self.first[symbol] + self.wavelet.rank(symbol, low[step])
