@@ -1,150 +1,170 @@
 """Quality rules with n-gram perplexity under a modified Kneser-Ney model.
 
-Text is folded to 32 byte classes. All 4-grams of the whole corpus are counted by Spark (there are at most
-32^4 of them, so the model has a fixed bound however large the corpus is). The model holds, for each order,
-hashes in sorted arrays with discounted probabilities and backoff weights. Each language gets a band of
-perplexity from all its documents: median and median absolute deviation of the log perplexity.
+Tokens are the bytes of the text as they stand, so no script or case is folded. Every language has two models,
+counted by Spark over the two halves of its documents (split by a hash of the text, so exact copies share a
+half); a document is scored by the model of the half it does not belong to. Counts, discounts, backoff and
+probabilities are tables of distinct n-grams that grow with the corpus: no task, and not the driver, holds them
+whole. Documents travel in compressed slices; each slice meets the n-grams that occur in it as hash arrays,
+sorted for binary search. Each language gets a band of perplexity from all its documents.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyaccord.lineage import checkpointed
-from skyaccord.llm.common import CLASS_TABLE, CLASSES, SLICE_ROWS, map_rows, text_bytes
+from skyaccord.lineage import stored
+from skyaccord.llm.common import SLICE_ROWS
 
-ORDER = 4
+ORDER = 5
+#: Text bytes of a slice; a longer text is a slice of its own.
+SLICE_BYTES = 16_000_000
+#: Rows of a counted table up to which it is broadcast.
+BROADCAST_ROWS = 10_000
 #: Odd, so that multiplying by it modulo 2^64 maps different n-grams to different hashes.
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def ngram_codes(text: bytes) -> np.ndarray:
-    """The code of the ORDER-gram that ends at each byte; the text begins after white space."""
-    c = np.frombuffer(b"\0" * (ORDER - 1) + text.translate(CLASS_TABLE), np.uint8).astype(np.int32)
-    n, code = len(text), np.zeros(len(text), np.int32)
+    """The ORDER bytes that end at each byte, packed in an integer; the text begins after blanks."""
+    b = np.frombuffer(b" " * (ORDER - 1) + text, np.uint8).astype(np.int64)
+    code = np.zeros(len(text), np.int64)
     for k in range(ORDER):
-        code = code * CLASSES + c[k : k + n]
+        code = code << 8 | b[k : k + len(text)]
     return code
 
 
-def count_ngrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(code, n) over all texts; tasks send sums, never single n-grams."""
+_LETTER = bytes(1 if b >= 128 or 65 <= b <= 90 or 97 <= b <= 122 else 0 for b in range(256))
+
+
+def n_letters(text: bytes) -> int:
+    """ASCII letters and bytes of longer characters, at least 1."""
+    return max(1, text.translate(_LETTER).count(1))
+
+
+def half_of(text: bytes) -> int:
+    """The half of the corpus that a text belongs to."""
+    return zlib.crc32(text) & 1
+
+
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """(key, rows) of slices of about SLICE_BYTES of text; column 2 is the text.
+
+    The key follows from the task, the place in it and the content, so reading the same table again gives the same keys.
+    """
+    task, held, size, place = TaskContext.get().partitionId(), [], 0, 0
+
+    def cut() -> tuple[int, pa.Table]:
+        rows = pa.Table.from_batches(held)
+        content = xxhash.xxh64(f"{task}:{place}:")
+        for text in rows.column(2).to_pylist():
+            content.update(f"{-1 if text is None else len(text)}:".encode())
+            content.update(text or b"")
+        return int(np.uint64(content.intdigest()).view(np.int64)), rows
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            part = batch.slice(at, SLICE_ROWS)
+            held.append(part)
+            size += sum(len(t) for t in part.column(2).to_pylist() if t)
+            if size >= SLICE_BYTES:
+                yield cut()
+                held, size, place = [], 0, place + 1
+    if held:
+        yield cut()
+
+
+def _sorted_counts(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and their counts; parts are reduced before they are joined, so memory follows the distinct ones."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    at = 0
+    while at < len(codes):
+        end, size = at, 0
+        while end < len(codes) and (size < 1 << 20 or end == at):
+            size += len(codes[end])
+            end += 1
+        parts.append(np.unique(np.concatenate(codes[at:end]), return_counts=True))
+        at = end
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    if len(parts) == 1:
+        return parts[0]
+    every, where = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    return every, np.bincount(where, np.concatenate([n for _, n in parts])).astype(np.int64)
+
+
+def count_slices(narrow: DataFrame) -> DataFrame:
+    """(slice, lang, half, gram, n): the n-grams of every slice by language and half. narrow: (id, lang, text as bytes)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES**ORDER, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                codes = [ngram_codes(t) for t in batch.column(0).slice(at, SLICE_ROWS).to_pylist() if t]
-                if codes:
-                    seen, n = np.unique(np.concatenate(codes), return_counts=True)
-                    total[seen] += n
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"code": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64())})
-
-    return docs.select(text_bytes(text_col).alias("text")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def _hashes(codes: np.ndarray) -> np.ndarray:
-    return codes.astype(np.uint64) * _MIX
-
-
-@dataclass
-class _Level:
-    """Sorted hashes of the n-grams of one order with their discounted share, and of their contexts with the backoff weight."""
-
-    grams: np.ndarray
-    share: np.ndarray
-    contexts: np.ndarray
-    backoff: np.ndarray
-
-
-def _find(table: np.ndarray, values: np.ndarray, hashes: np.ndarray, missing: float) -> np.ndarray:
-    if not len(table):
-        return np.full(len(hashes), missing)
-    at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
-    return np.where(table[at] == hashes, values[at], missing)
-
-
-def _level(codes: np.ndarray, counts: np.ndarray) -> _Level:
-    """Modified Kneser-Ney: three discounts from the counts of counts 1 to 4."""
-    n1, n2, n3, n4 = (max(int((counts == k).sum()), 1) for k in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2)
-    discounts = np.array([0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
-    discounts = np.clip(discounts, [0, 0.05, 0.05, 0.05], [0, 0.95, 1.95, 2.95])
-    taken = discounts[np.minimum(counts, 3)]
-    contexts, where = np.unique(codes // CLASSES, return_inverse=True)
-    total = np.bincount(where, counts, len(contexts))
-    lost = np.bincount(where, taken, len(contexts))
-    g, c = _hashes(codes), _hashes(contexts)
-    by_g, by_c = np.argsort(g), np.argsort(c)
-    return _Level(g[by_g], ((counts - taken) / total[where])[by_g], c[by_c], (lost / total)[by_c])
-
-
-class KneserNey:
-    """Interpolated model of ORDER classes from the counts of all ORDER-grams."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        self.levels: list[_Level] = []
-        order = np.argsort(codes)
-        codes, counts = codes[order].astype(np.int64), counts[order].astype(np.int64)
-        self.codes, self.counts = codes, counts
-        self.keys = _hashes(codes)
-        self.by_key = np.argsort(self.keys)
-        for k in range(ORDER, 0, -1):
-            self.levels.append(_level(codes, counts))
-            # Continuation counts: how many different classes stand before the shorter n-gram.
-            codes, counts = np.unique(codes % CLASSES ** (k - 1), return_counts=True)
-        self.levels.reverse()
-        self.prepare()
-
-    def log_probs(self, codes: np.ndarray) -> np.ndarray:
-        p = np.full(len(codes), 1 / CLASSES)
-        for k, level in enumerate(self.levels, 1):
-            gram = codes.astype(np.int64) % CLASSES**k
-            p = _find(level.grams, level.share, _hashes(gram), 0.0) + _find(level.contexts, level.backoff, _hashes(gram // CLASSES), 1.0) * p
-        return np.log(p)
-
-    def prepare(self) -> None:
-        """Shares, backoff weights and counts of every order, side by side for each n-gram of the corpus."""
-        self.shares, self.backoffs, self.totals = [], [], []
-        for k, level in enumerate(self.levels, 1):
-            gram = self.codes % CLASSES**k
-            self.shares.append(_find(level.grams, level.share, _hashes(gram), 0.0).astype(np.float32))
-            self.backoffs.append(_find(level.contexts, level.backoff, _hashes(gram // CLASSES), 1.0).astype(np.float32))
-            self.totals.append(np.bincount(gram, self.counts, CLASSES**k)[gram].astype(np.int64))
-
-    def log_perplexity(self, text: bytes | None) -> float | None:
-        """Mean negative log probability of a text's bytes; null without a byte.
-
-        An n-gram that stands in no other text of the corpus tells nothing about this one, so its share is left
-        out and the shorter n-gram decides: a text does not look likely because it was counted itself.
-        """
-        if not text:
-            return None
-        seen, n = np.unique(ngram_codes(text), return_counts=True)
-        at = np.searchsorted(self.keys, _hashes(seen), sorter=self.by_key)
-        at = self.by_key[np.minimum(at, len(self.by_key) - 1)]
-        if (self.codes[at] != seen).any():
-            raise ValueError("the text is not of the counted corpus")
-        p = np.full(len(seen), 1 / CLASSES)
-        for k, (share, backoff, total) in enumerate(zip(self.shares, self.backoffs, self.totals), 1):
-            gram = seen % CLASSES**k
-            own = np.bincount(gram, n, CLASSES**k)[gram] if k < ORDER else n
-            p = np.where(own < total[at], share[at], 0) + backoff[at] * p
-        return float(-(np.log(p) * n).sum() / n.sum())
-
-
-def train(docs: DataFrame, text_col: str = "text") -> KneserNey:
-    """From all texts. At most 32^4 counts reach the driver."""
-    got = count_ngrams(docs, text_col).toArrow()
-    return KneserNey(got["code"].to_numpy(), got["n"].to_numpy())
+        for key, rows in _slices(batches):
+            groups: dict[tuple[str | None, int], list[np.ndarray]] = {}
+            for lang, text in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist()):
+                if text:
+                    groups.setdefault((lang, half_of(text)), []).append(ngram_codes(text))
+            for (lang, half), codes in groups.items():
+                grams, n = _sorted_counts(codes)
+                codes.clear()
+                for at in range(0, len(grams), 100_000):
+                    part = grams[at : at + 100_000]
+                    size = len(part)
+                    yield pa.RecordBatch.from_pydict({"slice": pa.array(np.full(size, key), pa.int64()), "lang": pa.array([lang] * size, pa.string()), "half": pa.array(np.full(size, half), pa.int32()), "gram": pa.array(part, pa.int64()), "n": pa.array(n[at : at + 100_000], pa.int64())})
+
+    return narrow.mapInArrow(run, "slice long, lang string, half int, gram long, n long")
+
+
+def _taken(c: Column, d: list[Column]) -> Column:
+    return F.when(c <= 0, F.lit(0.0)).when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
+
+
+def _discounts(t: DataFrame, half: int) -> list[Column]:
+    """Three discounts of a half from its counts of counts 1 to 4 (each at least 1), kept within [0.05, j - 0.05]."""
+    n = [F.greatest(F.count(F.when(t[f"c{half}"] == j, 1)), F.lit(1)).cast("double") for j in (1, 2, 3, 4)]
+    y = n[0] / (n[0] + 2 * n[1])
+    return [F.least(F.greatest(j - (j + 1) * y * n[j] / n[j - 1], F.lit(0.05)), F.lit(j - 0.05)).alias(f"d{half}{j}") for j in (1, 2, 3)]
+
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """(lang, gram, p0, p1): interpolated probability of an n-gram's last byte after the others, under the model of each half.
+
+    counts: (lang, gram, c0, c1), a row for each distinct n-gram with its count in either half. Lower orders count
+    the different bytes that stand before. A group of a context has at most 256 rows, so no key is hot. A context that a half has not met
+    gives the probability of the shorter one; before any byte all 256 are alike.
+    """
+    levels = [stored(counts)]
+    for k in range(ORDER - 1, 0, -1):
+        shorter = levels[-1].withColumn("gram", F.col("gram").bitwiseAND((1 << 8 * k) - 1))
+        levels.append(stored(shorter.groupBy("lang", "gram").agg(*[F.count(F.when(F.col(c) > 0, 1)).alias(c) for c in ("c0", "c1")])))
+    lower = None
+    for k, t in enumerate(reversed(levels), 1):
+        d = t.groupBy("lang").agg(*_discounts(t, 0), *_discounts(t, 1))
+        if lower is None:
+            few = levels[-1].select("lang").distinct().count() <= BROADCAST_ROWS
+        d = d.withColumnRenamed("lang", "d_lang")
+        rows = t.join(F.broadcast(d) if few else d, t.lang.eqNullSafe(d.d_lang)).drop("d_lang")
+        context = Window.partitionBy("lang", F.shiftright("gram", 8))
+        held = []
+        for h in "01":
+            taken = _taken(F.col(f"c{h}"), [F.col(f"d{h}{j}") for j in (1, 2, 3)])
+            rows = rows.withColumns({f"left{h}": F.col(f"c{h}") - taken, f"taken{h}": taken})
+            held += [F.sum(f"c{h}").over(context).alias(f"all{h}"), F.sum(f"taken{h}").over(context).alias(f"lost{h}")]
+        rows = rows.select("lang", "gram", "left0", "left1", *held)
+        if lower is None:
+            rows = rows.withColumns({"q0": F.lit(1 / 256), "q1": F.lit(1 / 256)})
+        else:
+            low = lower.select(F.col("lang").alias("l"), F.col("gram").alias("g"), F.col("p0").alias("q0"), F.col("p1").alias("q1"))
+            rows = rows.join(low, rows.lang.eqNullSafe(low.l) & (F.col("gram").bitwiseAND((1 << 8 * (k - 1)) - 1) == low.g))
+        p = [F.when(F.col(f"all{h}") > 0, (F.col(f"left{h}") + F.col(f"lost{h}") * F.col(f"q{h}")) / F.col(f"all{h}")).otherwise(F.col(f"q{h}")).alias(f"p{h}") for h in "01"]
+        lower = stored(rows.select("lang", "gram", *p))
+    return lower
 
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -170,21 +190,78 @@ def base_rules(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), chars, sum(text.count(s) for s in SYMBOLS), len(lines) - len(set(lines)), repeated
 
 
-def measure(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, lang, base columns, log_ppl), a row for each row."""
-    lang = F.col(f"`{lang_col}`").cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
-    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), lang.alias("lang"), F.col(f"`{text_col}`").alias("text"))
-
-    def fn(batch: pa.RecordBatch) -> dict:
-        texts = batch.column(2).to_pylist()
-        base = [base_rules(t) for t in texts]
-        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-        return {"id": batch.column(0), "lang": batch.column(1)} | {n: pa.array([b[k] for b in base], pa.int64()) for k, n in enumerate(names)} | {"log_ppl": pa.array([model.log_perplexity(t.encode() if t else None) for t in texts], pa.float64())}
-
-    return map_rows(narrow, fn, "id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double")
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(id, lang, base columns, log_ppl), a row for each row; log_ppl is null without a byte.
 
+    log_ppl: the negative log probability of the whole text over its letters (at least 1), so that what is spent
+    on marks, digits and blanks weighs on the letters that they go with.
 
-def bands(measured: DataFrame, width: float = 8.0, least: float = 0.15) -> DataFrame:
+    docs is read twice and must give the same rows in the same order, as a table does.
+    """
+    lang = F.col(f"`{lang_col}`").cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), lang.alias("lang"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    grams = stored(count_slices(narrow))
+    halves = [F.coalesce(F.sum(F.when(F.col("half") == h, F.col("n"))), F.lit(0)).alias(f"c{h}") for h in (0, 1)]
+    model = kneser_ney(grams.groupBy("lang", "gram").agg(*halves)).select(F.col("lang").alias("l"), F.col("gram").alias("g"), "p0", "p1")
+    other = F.when(F.col("half") == 0, F.col("p1")).otherwise(F.col("p0"))
+    wanted = grams.join(model, grams.lang.eqNullSafe(model.l) & (grams.gram == model.g)).select("slice", "lang", "half", "gram", F.log(other).alias("log_p"))
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in _slices(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(rows)
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([key], pa.int64()), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    def score(packed: pa.Table, found: pa.Table) -> pa.Table:
+        model = _by_group(found)
+        parts = [_scored(pa.ipc.open_stream(row).read_all(), model) for row in packed.column("rows").to_pylist()]
+        return pa.concat_tables(parts) if parts else MEASURED.empty_table()
+
+    packed = narrow.mapInArrow(pack, "slice long, rows binary")
+    return packed.groupBy("slice").cogroup(wanted.groupBy("slice")).applyInArrow(score, MEASURED_DDL)
+
+
+MEASURED_DDL = "id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double"
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+MEASURED = pa.schema([("id", pa.int64()), ("lang", pa.string()), *[(n, pa.int64()) for n in BASE], ("log_ppl", pa.float64())])
+
+
+def _by_group(found: pa.Table) -> dict[tuple[str | None, int], tuple[np.ndarray, np.ndarray]]:
+    """Sorted hashes of the n-grams of each language and half, with their log probabilities."""
+    langs = found.column("lang").combine_chunks().dictionary_encode()
+    names = [*langs.dictionary.to_pylist(), None]
+    lang = langs.indices.fill_null(len(names) - 1).to_numpy(zero_copy_only=False)
+    half, hashes, log_p = found.column("half").to_numpy(), found.column("gram").to_numpy().astype(np.uint64) * _MIX, found.column("log_p").to_numpy()
+    out = {}
+    for k, name in enumerate(names):
+        for h in (0, 1):
+            at = np.flatnonzero((lang == k) & (half == h))
+            if len(at):
+                at = at[np.argsort(hashes[at])]
+                out[name, h] = hashes[at], log_p[at]
+    return out
+
+
+def _scored(rows: pa.Table, model: dict[tuple[str | None, int], tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    base, logs = [], []
+    langs = rows.column(1).to_pylist()
+    for lang, text in zip(langs, rows.column(2).to_pylist()):
+        base.append(base_rules(text.decode() if text else None))
+        if not text:
+            logs.append(None)
+            continue
+        hashes, log_p = model[lang, half_of(text)]
+        seen, n = np.unique(ngram_codes(text).view(np.uint64) * _MIX, return_counts=True)
+        at = np.minimum(np.searchsorted(hashes, seen), len(hashes) - 1)
+        if (hashes[at] != seen).any():
+            raise RuntimeError("the table gave other rows when it was read again")
+        logs.append(float(-(log_p[at] * n).sum() / n_letters(text)))
+    columns = [pa.array([b[k] for b in base], pa.int64()) for k in range(len(BASE))]
+    return pa.Table.from_arrays([rows.column(0).combine_chunks(), pa.array(langs, pa.string()), *columns, pa.array(logs, pa.float64())], schema=MEASURED)
+
+
+def bands(measured: DataFrame, width: float = 8.0, least: float = 0.02) -> DataFrame:
     """(lang, low, high) of the log perplexity from all documents that pass the base rules: median +- max(width x 1.4826 MAD, least).
 
     Exact medians over values rounded to 0.001, weighted by their counts. Null lang is a language of its own.
@@ -203,13 +280,13 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, base columns, base_failed, log_ppl, low, high, kept), a row for each row.
 
     kept: the base rules pass and the perplexity lies in the language's band. Null and empty texts have no
-    words, so they fail the base rules; a text of a language without a band is kept.
+    words, so they fail the base rules; a text of a language without a band is kept. Repeated rows are scored
+    alike. A language whose texts all lie in one half has no model for them: all its bytes are alike.
     """
-    model = train(docs, text_col)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = checkpointed(measure(docs, model, id_col, text_col, lang_col).withColumn("base_failed", failed))
-    limits = checkpointed(bands(rows, width))  # a row for each language
-    if limits.count() <= 10_000:
+    rows = stored(measure(docs, id_col, text_col, lang_col).withColumn("base_failed", failed))
+    limits = stored(bands(rows, width))  # a row for each language
+    if limits.count() <= BROADCAST_ROWS:
         limits = F.broadcast(limits)
     inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
     joined = rows.alias("a").join(limits.alias("b"), F.col("a.lang").eqNullSafe(F.col("b.lang")), "left")

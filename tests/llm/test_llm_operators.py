@@ -2,8 +2,10 @@
 
 import hashlib
 import itertools
+import math
 import re
-from bisect import bisect_left  # noqa: F401  (brute force below does without)
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -118,8 +120,6 @@ def test_repeated_row_of_a_kept_id_stays_once(spark):
 
 
 def test_shards_equal_brute_force(docs, rows):
-    import zlib
-
     got = {r.id: r for r in sharding.balanced_shards(docs, 8).collect()}
     ordered = sorted(rows, key=lambda r: r.doc_id)
     sizes = [len(r.text.encode()) + 1 for r in ordered]
@@ -156,8 +156,6 @@ def test_quality_on_held_out_labels(spark):
     big = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
     fm = quality_fm.train(docs, labels)
-    import zlib
-
     truth = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}
     scores = {r.id: r.score for r in quality_fm.score(docs, fm).collect()}
     good = [scores[i] for i, q in truth.items() if q == 1]
@@ -198,14 +196,86 @@ def test_base_rules_equal_brute_force(rows):
         assert perplexity.base_rules(t) == brute_base(t)
 
 
-def test_kneser_ney_is_a_distribution_and_counts_everything(docs, rows):
-    model = perplexity.train(docs)
-    counted = {r.code: r.n for r in perplexity.count_ngrams(docs).collect()}
-    every = np.concatenate([perplexity.ngram_codes(r.text.encode()) for r in rows if r.text])
-    assert counted == dict(zip(*(x.tolist() for x in np.unique(every, return_counts=True))))
-    for context in list(counted)[:20]:
-        base = context // 32 * 32
-        assert np.exp(model.log_probs(np.arange(base, base + 32))).sum() == pytest.approx(1, abs=1e-9)
+def brute_kneser_ney(texts, order=5):
+    """log p(byte | bytes before) by the recursive definition, from plain dictionaries of tuples."""
+    grams = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        padded = b" " * (order - 1) + t
+        grams[order].update(padded[i : i + order] for i in range(len(t)))
+    for k in range(order - 1, 0, -1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
+    discounts, follow = {}, {}
+    for k in range(1, order + 1):
+        n = [0, *(max(sum(c == j for c in grams[k].values()), 1) for j in (1, 2, 3, 4))]
+        y = n[1] / (n[1] + 2 * n[2])
+        discounts[k] = [0.0] + [min(max(j - (j + 1) * y * n[j + 1] / n[j], 0.05), j - 0.05) for j in (1, 2, 3)]
+        for g, c in grams[k].items():
+            follow.setdefault(g[:-1], []).append(c)
+
+    def p(gram, k):
+        if k == 0:
+            return 1 / 256
+        lower, counts = p(gram[1:], k - 1), follow.get(gram[:-1])
+        if not counts:
+            return lower
+        take = lambda c: discounts[k][min(c, 3)]
+        c = grams[k][gram]
+        return (c - take(c) + sum(map(take, counts)) * lower) / sum(counts)
+
+    return p
+
+
+TWO_SCRIPTS = [f"{a} {b} {c}. {b} {a}" for a in ("привет", "мир", "дом") for b in ("река", "поле") for c in ("лес", "гора", "снег")] + [f"γη {a} {b} ουρανός" for a in ("νερό", "φως") for b in ("δρόμος", "πέτρα", "θάλασσα")]
+
+
+def test_log_perplexity_equals_brute_force_kneser_ney(spark):
+    """Of each language and half apart; two non-Latin scripts, a null language, repeated and empty texts."""
+    rows = [(k, t, ["ru", "el", None][k % 3]) for k, t in enumerate(TWO_SCRIPTS * 2 + ["x", "aaa aaa", "", None])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.id: r for r in perplexity.measure(frame).collect()}
+    for lang in ("ru", "el", None):
+        own = [(k, t.encode()) for k, t, x in rows if x == lang and t]
+        for half in (0, 1):
+            p = brute_kneser_ney([t for _, t in own if zlib.crc32(t) & 1 != half])
+            for k, t in own:
+                if zlib.crc32(t) & 1 == half:
+                    padded = b"    " + t
+                    want = -sum(math.log(p(padded[i : i + 5], 5)) for i in range(len(t)))
+                    letters = max(1, sum(b >= 128 or chr(b).isalpha() for b in t))
+                    assert got[k].log_ppl == pytest.approx(want / letters, rel=1e-9)
+    assert all(got[k].log_ppl is None for k, t, _ in rows if not t) and len(got) == len(rows)
+
+
+def test_probabilities_of_a_context_sum_to_one(spark):
+    texts = [t.encode() for t in TWO_SCRIPTS]
+    p = brute_kneser_ney(texts)
+    for context in (texts[0][:4], texts[-1][1:5], b"    ", b"zzzz"):
+        assert sum(p(context + bytes([b]), 5) for b in range(256)) == pytest.approx(1)
+
+
+def test_slices_do_not_change_scores(docs, monkeypatch):
+    whole = {r.id: r for r in perplexity.measure(docs).collect()}
+    narrow = docs.select(F.col("doc_id").alias("id"), "lang", F.col("text").cast("binary").alias("text"))
+    want = Counter()
+    for r in docs.collect():
+        want.update((r.lang, perplexity.half_of(r.text.encode()), int(c)) for c in perplexity.ngram_codes(r.text.encode()))
+    counted = perplexity.count_slices(narrow).groupBy("lang", "half", "gram").agg(F.sum("n").alias("n")).collect()
+    assert {(r.lang, r.half, r.gram): r.n for r in counted} == dict(want)
+    again = {r.id: r for r in perplexity.measure(docs.repartition(5, "doc_id").sortWithinPartitions("doc_id")).collect()}
+    assert all(again[k].log_ppl == pytest.approx(r.log_ppl, rel=1e-12) for k, r in whole.items())
+
+
+def test_verdict_follows_the_bands(docs):
+    """Median and deviation by numpy; the verdict of each document by its definition."""
+    got = perplexity.apply_rules(docs).collect()
+    for lang in {r.lang for r in got}:
+        x = np.round([r.log_ppl for r in got if r.lang == lang and not r.base_failed], 3)
+        middle = np.median(x)
+        half = max(8 * 1.4826 * np.median(np.abs(x - middle)), 0.02)
+        for r in got:
+            if r.lang == lang:
+                assert (r.low, r.high) == pytest.approx((middle - half, middle + half), abs=2e-3)
+                assert r.kept == (not r.base_failed and r.low <= r.log_ppl <= r.high)
 
 
 def test_perplexity_bands_reject_noise_and_keep_clean_text(spark, docs):
@@ -328,8 +398,6 @@ def test_tokens_odd_input(odd, empty):
 
 
 def test_languages_on_held_out_documents(docs, rows):
-    import zlib
-
     model = langid.train(docs)
     got = {r.id: r for r in langid.identify(docs, model).collect()}
     held = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
