@@ -1,4 +1,4 @@
-"""What the corpus operators share: Arrow mapping, text splitting and byte classes."""
+"""What the corpus operators share: Arrow mapping, slices of documents, names and column expressions."""
 
 from __future__ import annotations
 
@@ -6,11 +6,16 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows that a Python worker holds as objects at a time; only memory depends on it.
 SLICE_ROWS = 256
+#: Text bytes of a slice of documents; a longer text is a slice of its own.
+SLICE_BYTES = 16_000_000
 
 
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], schema: str) -> DataFrame:
@@ -41,23 +46,46 @@ def id_crc32(name: str) -> Column:
     return F.crc32(F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")).cast("binary"))
 
 
-def byte_classes() -> bytes:
-    """A 256-byte table that folds UTF-8 bytes to 32 classes.
+def cut_slices(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """(key, rows) of slices of about SLICE_BYTES of text; column 2 is the text.
 
-    0: white space and controls, 1 to 26: a to z in either case, 27: digits, 28: sentence marks,
-    29: other ASCII marks, 30: first bytes of longer characters, 31: their later bytes.
+    The key follows from the task, the place in it and the content, so reading the same table again gives the same keys.
     """
-    table = np.zeros(256, np.uint8)
-    table[33:127] = 29
-    for k in range(26):
-        table[ord("a") + k] = table[ord("A") + k] = k + 1
-    table[ord("0") : ord("9") + 1] = 27
-    for mark in b".,;:!?'\"()-":
-        table[mark] = 28
-    table[192:] = 30
-    table[128:192] = 31
-    return table.tobytes()
-
-
-CLASSES = 32
-CLASS_TABLE = byte_classes()
+    task, held, size, place = TaskContext.get().partitionId(), [], 0, 0
+
+    def cut() -> tuple[int, pa.Table]:
+        rows = pa.Table.from_batches(held)
+        content = xxhash.xxh64(f"{task}:{place}:")
+        for text in rows.column(2).to_pylist():
+            content.update(f"{-1 if text is None else len(text)}:".encode())
+            content.update(text or b"")
+        return int(np.uint64(content.intdigest()).view(np.int64)), rows
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            part = batch.slice(at, SLICE_ROWS)
+            held.append(part)
+            size += sum(len(t) for t in part.column(2).to_pylist() if t)
+            if size >= SLICE_BYTES:
+                yield cut()
+                held, size, place = [], 0, place + 1
+    if held:
+        yield cut()
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Compressed byte by byte: equal bytes of sorted or small numbers lie together."""
+    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def ipc_bytes(rows: pa.Table) -> bytes:
+    """A table as one compressed value; pa.ipc.open_stream reads it."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()

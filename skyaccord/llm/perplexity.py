@@ -4,8 +4,9 @@ Tokens are the bytes of the text as they stand, so no script or case is folded.
 counted by Spark over the two halves of its documents (split by a hash of the text, so exact copies share a
 half); a document is scored by the model of the half it does not belong to. Counts, discounts, backoff and
 probabilities are tables of distinct n-grams that grow with the corpus: no task, and not the driver, holds them
-whole. Documents travel in compressed slices; each slice meets the n-grams that occur in it as hash arrays,
-sorted for binary search. Each language gets a band of perplexity from all its documents.
+whole. Hashes of n-grams are dealt out by their prefix; what a slice of documents wants of a block travels as one
+sorted hash array, is looked up there in the model's sorted hash array, and comes back to the slice, whose texts
+travel once, compressed. Each language gets a band of perplexity from all its documents.
 """
 
 from __future__ import annotations
@@ -13,35 +14,42 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyaccord.lineage import stored
-from skyaccord.llm.common import SLICE_ROWS
+from skyaccord.lineage import checkpointed, stored
+from skyaccord.llm.common import cut_slices, ipc_bytes, packed, unpacked
 
 ORDER = 5
-#: Text bytes of a slice; a longer text is a slice of its own.
-SLICE_BYTES = 16_000_000
 #: Rows of a counted table up to which it is broadcast.
 BROADCAST_ROWS = 10_000
-#: Odd, so that multiplying by it modulo 2^64 maps different n-grams to different hashes.
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Odd, so that multiplying by it modulo 2^40 maps different n-grams to different hashes; with its inverse.
+_MIX, _BITS = 0x9E3779B97F, 8 * ORDER
+_UNMIX, _MASK = pow(_MIX, -1, 1 << _BITS), np.uint64((1 << _BITS) - 1)
 
 
 def ngram_codes(text: bytes) -> np.ndarray:
     """The ORDER bytes that end at each byte, packed in an integer; the text begins after blanks."""
-    b = np.frombuffer(b" " * (ORDER - 1) + text, np.uint8).astype(np.int64)
-    code = np.zeros(len(text), np.int64)
+    b = np.frombuffer(b" " * (ORDER - 1) + text, np.uint8).astype(np.uint64)
+    code = np.zeros(len(text), np.uint64)
     for k in range(ORDER):
-        code = code << 8 | b[k : k + len(text)]
+        code = code << np.uint64(8) | b[k : k + len(text)]
     return code
 
 
+def hashes(codes: np.ndarray) -> np.ndarray:
+    return codes * np.uint64(_MIX) & _MASK
+
+
+def unhashed(values: np.ndarray) -> np.ndarray:
+    return values * np.uint64(_UNMIX) & _MASK
+
+
 _LETTER = bytes(1 if b >= 128 or 65 <= b <= 90 or 97 <= b <= 122 else 0 for b in range(256))
 
 
@@ -55,35 +63,8 @@ def half_of(text: bytes) -> int:
     return zlib.crc32(text) & 1
 
 
-def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """(key, rows) of slices of about SLICE_BYTES of text; column 2 is the text.
-
-    The key follows from the task, the place in it and the content, so reading the same table again gives the same keys.
-    """
-    task, held, size, place = TaskContext.get().partitionId(), [], 0, 0
-
-    def cut() -> tuple[int, pa.Table]:
-        rows = pa.Table.from_batches(held)
-        content = xxhash.xxh64(f"{task}:{place}:")
-        for text in rows.column(2).to_pylist():
-            content.update(f"{-1 if text is None else len(text)}:".encode())
-            content.update(text or b"")
-        return int(np.uint64(content.intdigest()).view(np.int64)), rows
-
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            part = batch.slice(at, SLICE_ROWS)
-            held.append(part)
-            size += sum(len(t) for t in part.column(2).to_pylist() if t)
-            if size >= SLICE_BYTES:
-                yield cut()
-                held, size, place = [], 0, place + 1
-    if held:
-        yield cut()
-
-
 def _sorted_counts(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes and their counts; parts are reduced before they are joined, so memory follows the distinct ones."""
+    """Distinct hashes in order and their counts; parts are reduced before they are joined, so memory follows the distinct ones."""
     parts: list[tuple[np.ndarray, np.ndarray]] = []
     at = 0
     while at < len(codes):
@@ -91,34 +72,81 @@ def _sorted_counts(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         while end < len(codes) and (size < 1 << 20 or end == at):
             size += len(codes[end])
             end += 1
-        parts.append(np.unique(np.concatenate(codes[at:end]), return_counts=True))
+        parts.append(np.unique(hashes(np.concatenate(codes[at:end])), return_counts=True))
         at = end
+    return _merged(parts)
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     if not parts:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     if len(parts) == 1:
-        return parts[0]
-    every, where = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-    return every, np.bincount(where, np.concatenate([n for _, n in parts])).astype(np.int64)
+        return parts[0][0], parts[0][1].astype(np.int64)
+    every, n = np.concatenate([c for c, _ in parts]), np.concatenate([n for _, n in parts])
+    order = np.argsort(every, kind="stable")
+    every, upto = every[order], np.concatenate(([0], np.cumsum(n[order], dtype=np.int64)))
+    new = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+    return every[new], np.diff(upto[np.append(new, len(every))])
+
+
+def _groups(rows: pa.Table) -> dict[tuple[str | None, int], list[np.ndarray]]:
+    """Codes of a slice by language and half."""
+    groups: dict[tuple[str | None, int], list[np.ndarray]] = {}
+    for lang, text in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist()):
+        if text:
+            groups.setdefault((lang, half_of(text)), []).append(ngram_codes(text))
+    return groups
 
 
-def count_slices(narrow: DataFrame) -> DataFrame:
-    """(slice, lang, half, gram, n): the n-grams of every slice by language and half. narrow: (id, lang, text as bytes)."""
+def _block_starts(blocks: int) -> np.ndarray:
+    """The least hash of each block; blocks are equal ranges of hashes."""
+    return np.array([-(-(b << _BITS) // blocks) for b in range(blocks)], np.uint64)
+
+
+def gather_ngrams(narrow: DataFrame, blocks: int) -> DataFrame:
+    """(block, slice, lang, half, hashes, n): sorted hash arrays of the n-grams of every slice by language and half, dealt out by block in the shared folder.
+
+    narrow: (id, lang, text as bytes).
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in cut_slices(batches):
+            groups = _groups(rows)
+            while groups:
+                (lang, half), codes = groups.popitem()
+                found, n = _sorted_counts(codes)
+                cuts = [*np.searchsorted(found, _block_starts(blocks)), len(found)]
+                some = [(b, lo, hi) for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
+                size = len(some)
+                yield pa.RecordBatch.from_pydict({
+                    "block": pa.array([b for b, _, _ in some], pa.int32()), "slice": pa.array([key] * size, pa.int64()), "lang": pa.array([lang] * size, pa.string()), "half": pa.array([half] * size, pa.int32()),
+                    "hashes": pa.array([packed(np.diff(found[lo:hi], prepend=np.uint64(0))) for _, lo, hi in some], pa.binary()), "n": pa.array([packed(n[lo:hi]) for _, lo, hi in some], pa.binary()),
+                })
+
+    dealt = narrow.mapInArrow(run, "block int, slice long, lang string, half int, hashes binary, n binary").repartition(blocks, "block")
+    return checkpointed(dealt.sortWithinPartitions("block", "lang", "half"))
+
+
+def count_ngrams(gathered: DataFrame) -> DataFrame:
+    """(lang, gram, c0, c1): each distinct n-gram of a language with its count in either half. No shuffle: a block lies in one partition."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, rows in _slices(batches):
-            groups: dict[tuple[str | None, int], list[np.ndarray]] = {}
-            for lang, text in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist()):
-                if text:
-                    groups.setdefault((lang, half_of(text)), []).append(ngram_codes(text))
-            for (lang, half), codes in groups.items():
-                grams, n = _sorted_counts(codes)
-                codes.clear()
-                for at in range(0, len(grams), 100_000):
-                    part = grams[at : at + 100_000]
-                    size = len(part)
-                    yield pa.RecordBatch.from_pydict({"slice": pa.array(np.full(size, key), pa.int64()), "lang": pa.array([lang] * size, pa.string()), "half": pa.array(np.full(size, half), pa.int32()), "gram": pa.array(part, pa.int64()), "n": pa.array(n[at : at + 100_000], pa.int64())})
-
-    return narrow.mapInArrow(run, "slice long, lang string, half int, gram long, n long")
+        rows = (r for b in batches for r in b.to_pylist())
+        for (_, lang), group in groupby(rows, key=lambda r: (r["block"], r["lang"])):
+            parts: tuple[list, list] = ([], [])
+            for r in group:
+                parts[r["half"]].append((np.cumsum(unpacked(r["hashes"], np.uint64)), unpacked(r["n"], np.int64)))
+            found = [_merged(p) for p in parts]
+            every = np.union1d(found[0][0], found[1][0])
+            counts = np.zeros((2, len(every)), np.int64)
+            for h, (values, n) in enumerate(found):
+                counts[h, np.searchsorted(every, values)] = n
+            for at in range(0, len(every), 100_000):
+                part = slice(at, at + 100_000)
+                grams = unhashed(every[part]).astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(grams), pa.string()), "gram": pa.array(grams), "c0": pa.array(counts[0, part]), "c1": pa.array(counts[1, part])})
+
+    return gathered.mapInArrow(run, "lang string, gram long, c0 long, c1 long")
 
 
 def _taken(c: Column, d: list[Column]) -> Column:
@@ -200,26 +228,42 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """
     lang = F.col(f"`{lang_col}`").cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), lang.alias("lang"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    grams = stored(count_slices(narrow))
-    halves = [F.coalesce(F.sum(F.when(F.col("half") == h, F.col("n"))), F.lit(0)).alias(f"c{h}") for h in (0, 1)]
-    model = kneser_ney(grams.groupBy("lang", "gram").agg(*halves)).select(F.col("lang").alias("l"), F.col("gram").alias("g"), "p0", "p1")
-    other = F.when(F.col("half") == 0, F.col("p1")).otherwise(F.col("p0"))
-    wanted = grams.join(model, grams.lang.eqNullSafe(model.l) & (grams.gram == model.g)).select("slice", "lang", "half", "gram", F.log(other).alias("log_p"))
+    blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    gathered = gather_ngrams(narrow, blocks)
+    model = _with_blocks(kneser_ney(count_ngrams(gathered)), blocks)
+    found = gathered.select("block", "slice", "lang", "half", "hashes").groupBy("block").cogroup(model.groupBy("block")).applyInArrow(_looked_up, "slice long, lang string, half int, block int, logs binary")
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, rows in _slices(batches):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(rows)
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([key], pa.int64()), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+        for key, rows in cut_slices(batches):
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([key], pa.int64()), "rows": pa.array([ipc_bytes(rows)], pa.binary())})
+
+    texts = narrow.mapInArrow(pack, "slice long, rows binary")
+    return texts.groupBy("slice").cogroup(found.groupBy("slice")).applyInArrow(_scored, MEASURED_DDL)
+
+
+def _with_blocks(model: DataFrame, blocks: int) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = hashes(b.column(1).to_numpy().astype(np.uint64))
+            block = np.searchsorted(_block_starts(blocks), values, "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), b.column(0), pa.array(values.astype(np.int64)), b.column(2), b.column(3)], ["block", "lang", "hash", "p0", "p1"])
+
+    return model.select("lang", "gram", "p0", "p1").mapInArrow(run, "block int, lang string, hash long, p0 double, p1 double")
 
-    def score(packed: pa.Table, found: pa.Table) -> pa.Table:
-        model = _by_group(found)
-        parts = [_scored(pa.ipc.open_stream(row).read_all(), model) for row in packed.column("rows").to_pylist()]
-        return pa.concat_tables(parts) if parts else MEASURED.empty_table()
 
-    packed = narrow.mapInArrow(pack, "slice long, rows binary")
-    return packed.groupBy("slice").cogroup(wanted.groupBy("slice")).applyInArrow(score, MEASURED_DDL)
+def _looked_up(rows: pa.Table, model: pa.Table) -> pa.Table:
+    """The log probabilities of each array's n-grams in its order, under the model of the other half."""
+    tables = {}
+    langs = model.column("lang").combine_chunks()
+    for lang in langs.unique().to_pylist():
+        some = model.filter(pc.is_null(langs) if lang is None else pc.equal(langs, lang)).sort_by("hash")
+        logs = [np.log(some.column(p).to_numpy()).astype(np.float32) for p in ("p0", "p1")]
+        tables[lang] = some.column("hash").to_numpy().astype(np.uint64), logs
+    out = []
+    for r in rows.to_pylist():
+        table, logs = tables[r["lang"]]
+        out.append(packed(logs[1 - r["half"]][np.searchsorted(table, np.cumsum(unpacked(r["hashes"], np.uint64)))]))
+    return pa.Table.from_arrays([*[rows.column(c).combine_chunks() for c in ("slice", "lang", "half", "block")], pa.array(out, pa.binary())], ["slice", "lang", "half", "block", "logs"])
 
 
 MEASURED_DDL = "id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double"
@@ -227,38 +271,29 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MEASURED = pa.schema([("id", pa.int64()), ("lang", pa.string()), *[(n, pa.int64()) for n in BASE], ("log_ppl", pa.float64())])
 
 
-def _by_group(found: pa.Table) -> dict[tuple[str | None, int], tuple[np.ndarray, np.ndarray]]:
-    """Sorted hashes of the n-grams of each language and half, with their log probabilities."""
-    langs = found.column("lang").combine_chunks().dictionary_encode()
-    names = [*langs.dictionary.to_pylist(), None]
-    lang = langs.indices.fill_null(len(names) - 1).to_numpy(zero_copy_only=False)
-    half, hashes, log_p = found.column("half").to_numpy(), found.column("gram").to_numpy().astype(np.uint64) * _MIX, found.column("log_p").to_numpy()
-    out = {}
-    for k, name in enumerate(names):
-        for h in (0, 1):
-            at = np.flatnonzero((lang == k) & (half == h))
-            if len(at):
-                at = at[np.argsort(hashes[at])]
-                out[name, h] = hashes[at], log_p[at]
-    return out
-
-
-def _scored(rows: pa.Table, model: dict[tuple[str | None, int], tuple[np.ndarray, np.ndarray]]) -> pa.Table:
-    base, logs = [], []
-    langs = rows.column(1).to_pylist()
-    for lang, text in zip(langs, rows.column(2).to_pylist()):
-        base.append(base_rules(text.decode() if text else None))
-        if not text:
-            logs.append(None)
-            continue
-        hashes, log_p = model[lang, half_of(text)]
-        seen, n = np.unique(ngram_codes(text).view(np.uint64) * _MIX, return_counts=True)
-        at = np.minimum(np.searchsorted(hashes, seen), len(hashes) - 1)
-        if (hashes[at] != seen).any():
+def _scored(texts: pa.Table, found: pa.Table) -> pa.Table:
+    """A slice's documents with their base columns and log perplexities; the arrays of its blocks, joined, are its sorted n-grams."""
+    arrays: dict[tuple[str | None, int], list[np.ndarray]] = {}
+    for r in sorted(found.to_pylist(), key=lambda r: r["block"]):
+        arrays.setdefault((r["lang"], r["half"]), []).append(unpacked(r["logs"], np.float32))
+    out = []
+    for row in texts.column("rows").to_pylist():
+        rows = pa.ipc.open_stream(row).read_all()
+        tables = {key: (_sorted_counts(codes)[0], np.concatenate(arrays.get(key, [np.empty(0, np.float32)]))) for key, codes in _groups(rows).items()}
+        if any(len(h) != len(logs) for h, logs in tables.values()):
             raise RuntimeError("the table gave other rows when it was read again")
-        logs.append(float(-(log_p[at] * n).sum() / n_letters(text)))
-    columns = [pa.array([b[k] for b in base], pa.int64()) for k in range(len(BASE))]
-    return pa.Table.from_arrays([rows.column(0).combine_chunks(), pa.array(langs, pa.string()), *columns, pa.array(logs, pa.float64())], schema=MEASURED)
+        base, log_ppl = [], []
+        for lang, text in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist()):
+            base.append(base_rules(text.decode() if text else None))
+            if text:
+                table, logs = tables[lang, half_of(text)]
+                seen, n = np.unique(hashes(ngram_codes(text)), return_counts=True)
+                log_ppl.append(float(-(logs[np.searchsorted(table, seen)].astype(np.float64) * n).sum() / n_letters(text)))
+            else:
+                log_ppl.append(None)
+        columns = [pa.array([b[k] for b in base], pa.int64()) for k in range(len(BASE))]
+        out.append(pa.Table.from_arrays([rows.column(0).combine_chunks(), rows.column(1).combine_chunks(), *columns, pa.array(log_ppl, pa.float64())], schema=MEASURED))
+    return pa.concat_tables(out) if out else MEASURED.empty_table()
 
 
 def bands(measured: DataFrame, width: float = 8.0, least: float = 0.02) -> DataFrame:
