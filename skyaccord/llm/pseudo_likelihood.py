@@ -1,153 +1,374 @@
-"""Masked pseudo-likelihood with a bidirectional window network.
+"""Masked pseudo-likelihood with a bidirectional window network and a memory of the corpus.
 
-Text is folded to 32 byte classes. A small network predicts every class from the two before and the two
-after it. Spark counts all windows of the corpus; the network is trained in numpy on the executors by
-full-batch steps over those counts, of which only summed gradients reach the driver. A document's score is
-the sum of the log probabilities of its tokens, each given both sides.
+Tokens are words, hashed to VOCABULARY numbers. A small network predicts each word from the two before and the
+two after it. What is gathered from the corpus grows with it: every window (four context words and the word
+between them) of every document, dealt out by context, so that all windows of a context lie in one block. Blocks
+are kept in the shared folder as sorted hash arrays. The network is trained in numpy where the blocks lie, each
+task on its own windows, and parameters are averaged between rounds. A word's probability mixes the network's
+with the share that the word has of its context in all other documents; a document's score is the sum of the
+log probabilities of its words, each given both sides.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyaccord.lineage import checkpointed
-from skyaccord.llm.common import CLASS_TABLE, CLASSES, SLICE_ROWS, map_rows, text_bytes
+from skyaccord.llm.common import cut_slices, ipc_bytes, packed, text_bytes, unpacked
 
-SIDE, EMBED, HIDDEN = 2, 12, 48
-SHAPES = {"embed": (2 * SIDE, CLASSES, EMBED), "w1": (2 * SIDE * EMBED, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, CLASSES), "b2": (CLASSES,)}
-#: Contexts that a task evaluates at a time.
-BLOCK = 8192
+SIDE, EMBED, HIDDEN = 2, 12, 32
+WORD_BITS = 12
+VOCABULARY = 1 << WORD_BITS
+#: A word's number is read as two digits: its class and its place in the class.
+DIGIT = 1 << WORD_BITS // 2
+SHAPES = {"embed": (2 * SIDE, VOCABULARY, EMBED), "w1": (2 * SIDE * EMBED, HIDDEN), "b1": (HIDDEN,), "wc": (HIDDEN, DIGIT), "bc": (DIGIT,), "wm": (DIGIT, HIDDEN, DIGIT), "bm": (DIGIT, DIGIT)}
+#: Windows that are evaluated at a time.
+BATCH = 2048
+#: Text bytes that are split into words at a time.
+PIECE = 1 << 20
+_CONTEXT_BITS = 2 * SIDE * WORD_BITS
+_MASK = np.uint64((1 << _CONTEXT_BITS) - 1)
+#: Odd, so multiplying by it modulo 2^48 is a shuffle of all contexts; with its inverse.
+_SPREAD = 0x9E3779B97F4B
+_GATHER = pow(_SPREAD, -1, 1 << _CONTEXT_BITS)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BREAK = re.compile(rb"[\x20\x09-\x0D]")
+_BYTE_HASH = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+_STEP = 0xD6E8FEB86659FD93
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def windows(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Code of the context around each byte (both ends are white space) and the byte's own class."""
-    edge = b"\0" * SIDE
-    c = np.frombuffer(edge + text.translate(CLASS_TABLE) + edge, np.uint8).astype(np.int32)
-    n, code = len(text), np.zeros(len(text), np.int32)
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the step and of its inverse modulo 2^64, at least n of each."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_STEP, pow(_STEP, -1, 1 << 64))):
+            _powers[k] = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, base, np.uint64))))
+    return _powers[0], _powers[1]
+
+
+def _piece_words(piece: bytes) -> np.ndarray:
+    b = np.frombuffer(piece, np.uint8)
+    edge = np.diff(np.concatenate(([True], _SPACE[b], [True])).view(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    power, inverse = _powers_to(len(b) + 1)
+    upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE_HASH[b] * power[: len(b)])))
+    h = (upto[end] - upto[start]) * inverse[start]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return (1 + (h >> np.uint64(33)) % np.uint64(VOCABULARY - 1)).astype(np.uint16)
+
+
+def word_numbers(text: bytes) -> np.ndarray:
+    """The number 1 to VOCABULARY - 1 of each word `[^\\x20\\x09-\\x0D]+` of a text, by a hash of its bytes."""
+    parts, at = [], 0
+    while at < len(text):
+        cut = _BREAK.search(text, at + PIECE)
+        end = cut.start() if cut else len(text)
+        parts.append(_piece_words(text[at:end]))
+        at = end
+    return np.concatenate(parts) if parts else np.empty(0, np.uint16)
+
+
+def windows(words: np.ndarray) -> np.ndarray:
+    """The code of each word's window: the shuffled context (0 beyond either end) over the word."""
+    a = np.concatenate((np.zeros(SIDE, np.uint64), words.astype(np.uint64), np.zeros(SIDE, np.uint64)))
+    n, context = len(words), np.zeros(len(words), np.uint64)
     for k in (*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1)):
-        code = code * CLASSES + c[k : k + n]
-    return code, c[SIDE : SIDE + n]
+        context = context << np.uint64(WORD_BITS) | a[k : k + n]
+    return (context * np.uint64(_SPREAD) & _MASK) << np.uint64(WORD_BITS) | words.astype(np.uint64)
+
 
+def split_codes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The four context words (a row for each place) and the word of each code."""
+    context = (codes >> np.uint64(WORD_BITS)) * np.uint64(_GATHER) & _MASK
+    places = np.stack([(context >> np.uint64(WORD_BITS * (2 * SIDE - 1 - k))) & np.uint64(VOCABULARY - 1) for k in range(2 * SIDE)])
+    return places.astype(np.int64), (codes & np.uint64(VOCABULARY - 1)).astype(np.int64)
 
-def count_windows(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(context, target, n) over all texts. A task sums what it has met before it sends rows."""
+
+def gather_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None) -> DataFrame:
+    """(block, slice, codes, docs, n, ids), dealt out by block in the shared folder.
+
+    A row holds the windows of a slice of documents that belong to a block: sorted codes, the documents in the
+    slice, and how often each has the window. One more row for each slice holds the ids of its documents and
+    their numbers of words. Without `blocks` there are as many as shuffle partitions.
+    """
+    blocks = blocks or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES ** (2 * SIDE + 1), np.int32)
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                pairs = [windows(t) for t in batch.column(0).slice(at, SLICE_ROWS).to_pylist() if t]
-                if pairs:
-                    codes, n = np.unique(np.concatenate([c * CLASSES + t for c, t in pairs]), return_counts=True)
-                    total[codes] += n.astype(np.int32)
-        seen = np.flatnonzero(total)
-        for at in range(0, len(seen), 500_000):
-            part = seen[at : at + 500_000]
-            yield pa.RecordBatch.from_pydict({"context": pa.array(part // CLASSES, pa.int32()), "target": pa.array(part % CLASSES, pa.int32()), "n": pa.array(total[part], pa.int64())})
-
-    counted = docs.select(text_bytes(text_col).alias("text")).mapInArrow(run, "context int, target int, n long")
-    return counted.groupBy("context", "target").agg(F.sum("n").alias("n"))
+        for key, rows in cut_slices(batches):
+            codes, sizes = [], []
+            for text in rows.column(2).to_pylist():
+                words = word_numbers(text or b"")
+                sizes.append(len(words))
+                codes.append(windows(words))
+            every, doc = np.concatenate(codes), np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
+            codes.clear()
+            order = np.argsort(every, kind="stable")
+            every, doc = every[order], doc[order]
+            new = np.flatnonzero(np.concatenate(([True], (every[1:] != every[:-1]) | (doc[1:] != doc[:-1])))) if len(every) else np.empty(0, np.int64)
+            n = np.diff(np.append(new, len(every))).astype(np.uint32)
+            every, doc = every[new], doc[new]
+            cuts = np.searchsorted(every >> np.uint64(WORD_BITS), _block_starts(blocks))
+            ids = pa.Table.from_arrays([rows.column(0).combine_chunks(), pa.array(sizes, pa.int64())], ["id", "n_tokens"])
+            yield _window_rows([(key % blocks, key, None, None, None, ipc_bytes(ids))])
+            for b, (lo, hi) in enumerate(zip(cuts, [*cuts[1:], len(every)])):
+                if hi > lo:
+                    yield _window_rows([(b, key, packed(np.diff(every[lo:hi], prepend=np.uint64(0))), packed(doc[lo:hi]), packed(n[lo:hi]), None)])
+
+    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.lit(None).cast("string").alias("lang"), text_bytes(text_col).alias("text"))
+    dealt = narrow.mapInArrow(run, "block int, slice long, codes binary, docs binary, n binary, ids binary").repartition(blocks, "block")
+    return checkpointed(dealt.sortWithinPartitions("block", "slice"))
+
+
+def _block_starts(blocks: int) -> np.ndarray:
+    """The least shuffled context of each block; blocks are equal ranges of contexts."""
+    return np.array([-(-(b << _CONTEXT_BITS) // blocks) for b in range(blocks)], np.uint64)
+
+
+def _window_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["block", "slice", "codes", "docs", "n", "ids"])
+
+
+def _by_block(batches: Iterable[pa.RecordBatch]) -> Iterator[list[dict]]:
+    rows = (r for b in batches for r in b.to_pylist())
+    for _, group in groupby(rows, key=lambda r: r["block"]):
+        yield list(group)
+
+
+def _merged(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct codes of a block with their counts over all documents, and the codes of each row."""
+    parts = [np.cumsum(unpacked(r["codes"], np.uint64)) for r in rows]
+    if not parts:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), parts
+    n = np.concatenate([unpacked(r["n"], np.uint32) for r in rows])
+    every = np.concatenate(parts)
+    order = np.argsort(every, kind="stable")
+    every, upto = every[order], np.concatenate(([0], np.cumsum(n[order], dtype=np.int64)))
+    new = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+    return every[new], np.diff(upto[np.append(new, len(every))]), parts
 
 
 class WindowNetwork:
+    """Embeddings of four places, one hidden layer, a softmax over classes and one over the places in a class."""
+
     def __init__(self, seed: int = 3):
         rng = np.random.default_rng(seed)
-        self.p = {k: (rng.normal(0, 1 / np.sqrt(max(s[-2] if len(s) > 1 else 1, 4)), s) if len(s) > 1 else np.zeros(s)).astype(np.float32) for k, s in SHAPES.items()}
+        self.p = {k: (rng.normal(0, 1 / np.sqrt(s[-2]), s) if k in ("w1", "wc", "wm") else rng.normal(0, 0.3, s) if k == "embed" else np.zeros(s)).astype(np.float32) for k, s in SHAPES.items()}
+
+    def start_from(self, counts: np.ndarray) -> None:
+        """Begin with the shares of the words, whatever the context."""
+        share = np.log(counts.reshape(DIGIT, DIGIT) + 0.1)
+        total = np.log(np.exp(share).sum(axis=1))
+        self.p["bm"], self.p["bc"] = (share - total[:, None]).astype(np.float32), (total - np.log(np.exp(total).sum())).astype(np.float32)
+        for k in ("wc", "wm"):
+            self.p[k] *= 0.1
 
-    def _forward(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        places = np.stack([(contexts // CLASSES ** (2 * SIDE - 1 - k)) % CLASSES for k in range(2 * SIDE)])
+    def _forward(self, places: np.ndarray, word: np.ndarray) -> tuple:
+        """word must be sorted by class."""
         x = np.concatenate([self.p["embed"][k][places[k]] for k in range(2 * SIDE)], axis=1)
         h = np.tanh(x @ self.p["w1"] + self.p["b1"])
-        z = h @ self.p["w2"] + self.p["b2"]
-        z -= z.max(axis=1, keepdims=True)
-        return places, x, h, z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-    def log_probs(self, contexts: np.ndarray) -> np.ndarray:
-        """A row of CLASSES log probabilities for each context."""
-        parts = [self._forward(contexts[at : at + BLOCK])[3] for at in range(0, len(contexts), BLOCK)]
-        return np.concatenate(parts) if parts else np.empty((0, CLASSES), np.float32)
-
-    def gradient(self, contexts: np.ndarray, targets: np.ndarray, n: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
-        """Of the summed negative log likelihood of windows that occur n times, and that sum. Each context is evaluated once."""
-        sums, loss = {k: np.zeros(s, np.float64) for k, s in SHAPES.items()}, 0.0
-        distinct, where = np.unique(contexts, return_inverse=True)
-        times = np.bincount(where * CLASSES + targets, n, len(distinct) * CLASSES).reshape(-1, CLASSES).astype(np.float32)
-        for at in range(0, len(distinct), BLOCK):
-            want = times[at : at + BLOCK]
-            places, x, h, logs = self._forward(distinct[at : at + BLOCK])
-            loss -= float((want * logs).sum(dtype=np.float64))
-            dz = np.exp(logs) * want.sum(axis=1, keepdims=True) - want
-            dh = (dz @ self.p["w2"].T) * (1 - h * h)
-            dx = dh @ self.p["w1"].T
-            sums["w2"] += h.T @ dz
-            sums["b2"] += dz.sum(axis=0)
-            sums["w1"] += x.T @ dh
-            sums["b1"] += dh.sum(axis=0)
-            for k in range(2 * SIDE):
-                np.add.at(sums["embed"][k], places[k], dx[:, k * EMBED : (k + 1) * EMBED])
-        return sums, loss
-
-
-def train(docs: DataFrame, text_col: str = "text", steps: int = 40, rate: float = 0.05) -> WindowNetwork:
-    """Adam over all counted windows; each step is a map over the counts whose tasks return one summed gradient.
-
-    Without a token the network stays as it began. The counts are dealt to a fixed number of partitions by context, so sums come in one order.
+        kind, place = word // DIGIT, word % DIGIT
+        zc = h @ self.p["wc"] + self.p["bc"]
+        zm = self.p["bm"][kind]
+        cuts = np.searchsorted(kind, np.arange(DIGIT + 1))
+        for c in np.unique(kind):
+            zm[cuts[c] : cuts[c + 1]] += h[cuts[c] : cuts[c + 1]] @ self.p["wm"][c]
+        at = np.arange(len(word))
+        out = []
+        for z, digit in ((zc, kind), (zm, place)):
+            z -= z.max(axis=1, keepdims=True)
+            e = np.exp(z)
+            total = e.sum(axis=1, keepdims=True)
+            out.append((e / total, z[at, digit] - np.log(total[:, 0])))
+        return x, h, kind, place, cuts, out
+
+    def log_probs(self, codes: np.ndarray) -> np.ndarray:
+        """Log probability of the word of each window, given its context."""
+        result = np.empty(len(codes), np.float32)
+        for at in range(0, len(codes), BATCH):
+            places, word = split_codes(codes[at : at + BATCH])
+            order = np.argsort(word, kind="stable")
+            *_, ((_, a), (_, b)) = self._forward(places[:, order], word[order])
+            result[at + order] = a + b
+        return result
+
+    def gradient(self, codes: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
+        """Of the weighted sum of negative log likelihoods, and that sum."""
+        places, word = split_codes(codes)
+        order = np.argsort(word, kind="stable")
+        places, word, weight = places[:, order], word[order], weight[order].astype(np.float32)[:, None]
+        x, h, kind, place, cuts, ((pc, lc), (pm, lm)) = self._forward(places, word)
+        at = np.arange(len(word))
+        pc[at, kind] -= 1
+        pm[at, place] -= 1
+        dc, dm = pc * weight, pm * weight
+        dh = dc @ self.p["wc"].T
+        g = {"wc": h.T @ dc, "bc": dc.sum(axis=0), "wm": np.zeros(SHAPES["wm"], np.float32), "bm": np.zeros(SHAPES["bm"], np.float32)}
+        for c in np.unique(kind):
+            part = slice(cuts[c], cuts[c + 1])
+            g["wm"][c] = h[part].T @ dm[part]
+            g["bm"][c] = dm[part].sum(axis=0)
+            dh[part] += dm[part] @ self.p["wm"][c].T
+        dh *= 1 - h * h
+        g["w1"], g["b1"] = x.T @ dh, dh.sum(axis=0)
+        dx = dh @ self.p["w1"].T
+        g["embed"] = np.stack([
+            np.bincount((places[k][:, None] * EMBED + np.arange(EMBED)).ravel(), dx[:, k * EMBED : (k + 1) * EMBED].ravel(), VOCABULARY * EMBED).reshape(VOCABULARY, EMBED) for k in range(2 * SIDE)
+        ]).astype(np.float32)
+        return g, float(-(weight[:, 0] * (lc + lm)).sum(dtype=np.float64))
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.p[k].ravel() for k in SHAPES])
+
+    def set_flat(self, flat: np.ndarray) -> WindowNetwork:
+        at = 0
+        for k, s in SHAPES.items():
+            size = int(np.prod(s))
+            self.p[k] = flat[at : at + size].reshape(s).astype(np.float32)
+            at += size
+        return self
+
+
+def _summed(parts: DataFrame, n: int) -> np.ndarray | None:
+    """The sum of the vectors of at most n tasks, in a tree: no task adds more than 32, at most 32 reach the driver."""
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("part").to_pylist(), table.column("flat").to_pylist()))
+        total = np.sum([np.frombuffer(f) for _, f in rows], axis=0)
+        return pa.table({"part": pa.array([rows[0][0] % width], pa.int64()), "flat": pa.array([total.tobytes()], pa.binary())})
+
+    while n > 32:
+        width = n = -(-n // 32)
+        parts = parts.groupBy((F.col("part") % n).alias("g")).applyInArrow(add, "part long, flat binary")
+    rows = sorted((r.part, bytes(r.flat)) for r in parts.collect())
+    return np.sum([np.frombuffer(f) for _, f in rows], axis=0) if rows else None
+
+
+def train(gathered: DataFrame, rounds: int = 3, third: int = 3, rate: float = 0.1) -> WindowNetwork:
+    """Fits the network on all gathered windows.
+
+    In a round every task takes the windows of each block whose code falls to that round (each window falls to
+    one of every `third` rounds; three rounds are one pass), goes over them in batches from the common parameters with
+    steps scaled by the squared gradients so far, and the tasks' parameters are averaged by how many words they saw. Without a word the network stays as it began.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = checkpointed(count_windows(docs, text_col).repartition(parts, "context").sortWithinPartitions("context", "target"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    tasks = gathered.rdd.getNumPartitions()
+
+    def unigrams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(VOCABULARY)
+        for rows in _by_block(batches):
+            for r in rows:
+                if r["codes"] is not None:
+                    word = np.cumsum(unpacked(r["codes"], np.uint64)) & np.uint64(VOCABULARY - 1)
+                    total += np.bincount(word.astype(np.int64), unpacked(r["n"], np.uint32), VOCABULARY)
+        yield _flat_row(total)
+
     net = WindowNetwork()
-    moments = {k: (np.zeros(s), np.zeros(s)) for k, s in SHAPES.items()}
-    for step in range(1, steps + 1 if total else 1):
-        held = net.p
-
-        def run(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            local = WindowNetwork()
-            local.p = held
-            got = [b for b in batches if b.num_rows]
-            if got:
-                columns = [np.concatenate([b.column(k).to_numpy() for b in got]) for k in range(3)]
-                sums, loss = local.gradient(*columns)
-                flat = np.concatenate([sums[k].ravel() for k in SHAPES] + [[loss]])
-                yield pa.RecordBatch.from_pydict({"least": pa.array([int(columns[0][0])], pa.int32()), "flat": pa.array([flat.tobytes()], pa.binary())})
-
-        rows = sorted((r.least, bytes(r.flat)) for r in counts.mapInArrow(run, "least int, flat binary").collect())  # one for each partition
-        flat, at = np.sum([np.frombuffer(f) for _, f in rows], axis=0) / total, 0
-        pace = rate * min(1.0, 2 * (1 - (step - 1) / steps))
-        for k, s in SHAPES.items():
-            g = flat[at : at + int(np.prod(s))].reshape(s)
-            at += g.size
-            m, v = moments[k]
-            m[:], v[:] = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            net.p[k] = (net.p[k] - pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)).astype(np.float32)
+    counts = _summed(gathered.mapInArrow(unigrams, "part long, flat binary"), tasks)
+    if counts is None or not counts.sum():
+        return net
+    net.start_from(counts)
+    squares = np.full(net.flat().shape, 1e-6)
+    for step in range(rounds):
+        held, speed = net.flat(), squares
+
+        def run(batches: Iterable[pa.RecordBatch], held=held, speed=speed, step=step) -> Iterator[pa.RecordBatch]:
+            local = WindowNetwork().set_flat(held)
+            seen, pace = 0.0, {}
+            at = 0
+            for k, s in SHAPES.items():
+                pace[k] = speed[at : at + int(np.prod(s))].reshape(s).astype(np.float32)
+                at += pace[k].size
+            for rows in _by_block(batches):
+                codes, n, _ = _merged([r for r in rows if r["codes"] is not None])
+                mine = (codes ^ codes >> np.uint64(WORD_BITS)) % np.uint64(third) == step % third
+                codes, n = codes[mine], n[mine]
+                for b in range(0, len(codes), BATCH):
+                    weight = n[b : b + BATCH]
+                    g, _ = local.gradient(codes[b : b + BATCH], weight / weight.sum())
+                    for k in SHAPES:
+                        pace[k] += g[k] * g[k]
+                        local.p[k] -= np.float32(rate) * g[k] / np.sqrt(pace[k])
+                    seen += float(weight.sum())
+            if seen:
+                yield _flat_row(np.concatenate([local.flat() * seen, np.concatenate([pace[k].ravel() for k in SHAPES]) * seen, [seen]]))
+
+        total = _summed(gathered.mapInArrow(run, "part long, flat binary"), tasks)
+        if total is not None:
+            mean = total[:-1] / total[-1]
+            net.set_flat(mean[: len(held)])
+            squares = mean[len(held) :]
     return net
 
 
-def score(docs: DataFrame, net: WindowNetwork, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, pseudo_log_likelihood, mean_log_prob), a row for each row.
+def _flat_row(flat: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "flat": pa.array([flat.astype(np.float64).tobytes()], pa.binary())})
+
+
+def _own_contexts(codes: np.ndarray, docs: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How often each row's document has the row's context."""
+    context = codes >> np.uint64(WORD_BITS)
+    run = np.cumsum(np.concatenate(([0], context[1:] != context[:-1]))).astype(np.int64) if len(codes) else np.empty(0, np.int64)
+    _, where = np.unique(run << 32 | docs.astype(np.int64), return_inverse=True)
+    return np.bincount(where, n)[where].astype(np.int64) if len(codes) else run
+
+
+def mixed(p_net: np.ndarray, n: np.ndarray, context: np.ndarray, trust: float) -> np.ndarray:
+    """(trust x network + n) / (trust + context): n of the `context` times that the context stands elsewhere it holds the word."""
+    return (trust * p_net + n) / (trust + context)
+
 
-    Null and empty texts have 0 tokens, a sum of 0 and a null mean. Distinct contexts of a slice are evaluated once.
+def score(gathered: DataFrame, net: WindowNetwork, trust: float = 1.0) -> DataFrame:
+    """(id, n_tokens, pseudo_log_likelihood, mean_log_prob), a row for each gathered document.
+
+    Null and wordless texts have 0 tokens, a sum of 0 and a null mean. A document's own windows do not count as
+    memory, those of its copies do: a text that stands twice scores higher than one that stands once. Repeated
+    ids keep a row each.
     """
 
-    def fn(batch: pa.RecordBatch) -> dict:
-        texts = batch.column(1).to_pylist()
-        pairs = [windows(t) if t else None for t in texts]
-        some = [p for p in pairs if p is not None]
-        sums: list[float] = [0.0] * len(texts)
-        if some:
-            every = np.concatenate([c for c, _ in some])
-            seen = np.flatnonzero(np.bincount(every, minlength=CLASSES ** (2 * SIDE))) if len(every) > 200_000 else np.unique(every)
-            place = np.zeros(CLASSES ** (2 * SIDE), np.int32)
-            place[seen] = np.arange(len(seen))
-            table = net.log_probs(seen)
-            sums = [float(table[place[p[0]], p[1]].sum(dtype=np.float64)) if p is not None else 0.0 for p in pairs]
-        n = [len(t) if t else 0 for t in texts]
-        return {"id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "pseudo_log_likelihood": pa.array(sums, pa.float64()), "mean_log_prob": pa.array([s / k if k else None for s, k in zip(sums, n)], pa.float64())}
-
-    return map_rows(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_bytes(text_col).alias("text")), fn, "id long, n_tokens long, pseudo_log_likelihood double, mean_log_prob double")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_block(batches):
+            some = [r for r in rows if r["codes"] is not None]
+            codes, total, parts = _merged(some)
+            p_net = np.exp(net.log_probs(codes).astype(np.float64))
+            context = codes >> np.uint64(WORD_BITS)
+            new = np.concatenate(([True], context[1:] != context[:-1])) if len(codes) else np.empty(0, bool)
+            run_of = np.cumsum(new) - 1
+            in_context = np.bincount(run_of, total)[run_of].astype(np.int64) if len(codes) else total
+            for r, part in zip(some, parts):
+                at = np.searchsorted(codes, part)
+                docs, n = unpacked(r["docs"], np.uint32), unpacked(r["n"], np.uint32).astype(np.int64)
+                rest = in_context[at] - _own_contexts(part, docs, n)
+                logs = n * np.log(mixed(p_net[at], total[at] - n, rest, trust))
+                seen, where = np.unique(docs, return_inverse=True)
+                yield _sum_row(r["slice"], packed(seen), packed(np.bincount(where, logs)), None)
+            for r in rows:
+                if r["ids"] is not None:
+                    yield _sum_row(r["slice"], None, None, r["ids"])
+
+    def finish(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        ids = [pa.ipc.open_stream(r["ids"]).read_all() for r in rows if r["ids"] is not None]
+        if len(ids) != 1:
+            raise RuntimeError("two slices have one key")
+        sizes = ids[0].column("n_tokens").to_numpy()
+        sums = np.zeros(len(sizes))
+        for r in sorted((r for r in rows if r["docs"] is not None), key=lambda r: r["block"]):
+            sums[unpacked(r["docs"], np.uint32)] += unpacked(r["sums"], np.float64)
+        mean = [s / k if k else None for s, k in zip(sums.tolist(), sizes.tolist())]
+        return pa.table({"id": ids[0].column("id"), "n_tokens": pa.array(sizes, pa.int64()), "pseudo_log_likelihood": pa.array(sums, pa.float64()), "mean_log_prob": pa.array(mean, pa.float64())})
+
+    sums = gathered.mapInArrow(run, "slice long, block int, docs binary, sums binary, ids binary")
+    return sums.groupBy("slice").applyInArrow(finish, "id long, n_tokens long, pseudo_log_likelihood double, mean_log_prob double")
+
+
+def _sum_row(key: int, docs: bytes | None, sums: bytes | None, ids: bytes | None) -> pa.RecordBatch:
+    part = TaskContext.get().partitionId()
+    return pa.RecordBatch.from_pydict({"slice": pa.array([key], pa.int64()), "block": pa.array([part], pa.int32()), "docs": pa.array([docs], pa.binary()), "sums": pa.array([sums], pa.binary()), "ids": pa.array([ids], pa.binary())})
