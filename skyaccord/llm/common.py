@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Rows that a Python worker holds as objects at a time; only memory depends on it.
 SLICE_ROWS = 256
 #: Text bytes of a slice of documents; a longer text is a slice of its own.
-SLICE_BYTES = 16_000_000
+SLICE_BYTES = 32_000_000
 
 
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], schema: str) -> DataFrame:

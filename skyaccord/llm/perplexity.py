@@ -63,17 +63,19 @@ def half_of(text: bytes) -> int:
     return zlib.crc32(text) & 1
 
 
-def _sorted_counts(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes in order and their counts; parts are reduced before they are joined, so memory follows the distinct ones."""
+def _sorted_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of the texts' n-grams in order, and their counts; about a million n-grams are held at a time before they are reduced."""
     parts: list[tuple[np.ndarray, np.ndarray]] = []
     at = 0
-    while at < len(codes):
+    while at < len(texts):
         end, size = at, 0
-        while end < len(codes) and (size < 1 << 20 or end == at):
-            size += len(codes[end])
+        while end < len(texts) and (size < 1 << 20 or end == at):
+            size += len(texts[end])
             end += 1
-        parts.append(np.unique(hashes(np.concatenate(codes[at:end])), return_counts=True))
+        parts.append(np.unique(hashes(np.concatenate([ngram_codes(t) for t in texts[at:end]])), return_counts=True))
         at = end
+        if len(parts) == 16:
+            parts = [_merged(parts)]
     return _merged(parts)
 
 
@@ -89,12 +91,12 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return every[new], np.diff(upto[np.append(new, len(every))])
 
 
-def _groups(rows: pa.Table) -> dict[tuple[str | None, int], list[np.ndarray]]:
-    """Codes of a slice by language and half."""
-    groups: dict[tuple[str | None, int], list[np.ndarray]] = {}
+def _groups(rows: pa.Table) -> dict[tuple[str | None, int], list[bytes]]:
+    """Texts of a slice by language and half."""
+    groups: dict[tuple[str | None, int], list[bytes]] = {}
     for lang, text in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist()):
         if text:
-            groups.setdefault((lang, half_of(text)), []).append(ngram_codes(text))
+            groups.setdefault((lang, half_of(text)), []).append(text)
     return groups
 
 
@@ -113,8 +115,8 @@ def gather_ngrams(narrow: DataFrame, blocks: int) -> DataFrame:
         for key, rows in cut_slices(batches):
             groups = _groups(rows)
             while groups:
-                (lang, half), codes = groups.popitem()
-                found, n = _sorted_counts(codes)
+                (lang, half), texts = groups.popitem()
+                found, n = _sorted_counts(texts)
                 cuts = [*np.searchsorted(found, _block_starts(blocks)), len(found)]
                 some = [(b, lo, hi) for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
                 size = len(some)
@@ -279,7 +281,7 @@ def _scored(texts: pa.Table, found: pa.Table) -> pa.Table:
     out = []
     for row in texts.column("rows").to_pylist():
         rows = pa.ipc.open_stream(row).read_all()
-        tables = {key: (_sorted_counts(codes)[0], np.concatenate(arrays.get(key, [np.empty(0, np.float32)]))) for key, codes in _groups(rows).items()}
+        tables = {key: (_sorted_counts(group)[0], np.concatenate(arrays.get(key, [np.empty(0, np.float32)]))) for key, group in _groups(rows).items()}
         if any(len(h) != len(logs) for h, logs in tables.values()):
             raise RuntimeError("the table gave other rows when it was read again")
         base, log_ppl = [], []
