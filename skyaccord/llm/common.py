@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -46,8 +47,8 @@ def id_crc32(name: str) -> Column:
     return F.crc32(F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")).cast("binary"))
 
 
-def cut_slices(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """(key, rows) of slices of about SLICE_BYTES of text; column 2 is the text.
+def cut_slices(batches: Iterable[pa.RecordBatch], slice_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Table]]:
+    """(key, rows) of slices of about slice_bytes of text; column 2 is the text.
 
     The key follows from the task, the place in it and the content, so reading the same table again gives the same keys.
     """
@@ -66,7 +67,7 @@ def cut_slices(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.Tabl
             part = batch.slice(at, SLICE_ROWS)
             held.append(part)
             size += sum(len(t) for t in part.column(2).to_pylist() if t)
-            if size >= SLICE_BYTES:
+            if size >= slice_bytes:
                 yield cut()
                 held, size, place = [], 0, place + 1
     if held:
@@ -83,9 +84,47 @@ def unpacked(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def ipc_bytes(rows: pa.Table) -> bytes:
+def ipc_bytes(rows: pa.Table, level: int = 6) -> bytes:
     """A table as one compressed value; pa.ipc.open_stream reads it."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))) as out:
         out.write_table(rows)
     return sink.getvalue().to_pybytes()
+
+
+#: Text bytes that are split into words at a time.
+PIECE = 1 << 20
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BREAK = re.compile(rb"[\x20\x09-\x0D]")
+_BYTE_HASH = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+_STEP = 0xD6E8FEB86659FD93
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the step and of its inverse modulo 2^64, at least n of each."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_STEP, pow(_STEP, -1, 1 << 64))):
+            _powers[k] = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, base, np.uint64))))
+    return _powers[0], _powers[1]
+
+
+def _piece_hashes(piece: bytes) -> np.ndarray:
+    b = np.frombuffer(piece, np.uint8)
+    edge = np.diff(np.concatenate(([True], _SPACE[b], [True])).view(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    power, inverse = _powers_to(len(b) + 1)
+    upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE_HASH[b] * power[: len(b)])))
+    h = (upto[end] - upto[start]) * inverse[start]
+    return (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word `[^\\x20\\x09-\\x0D]+` of a text, all at once: differences of a running polynomial over the bytes."""
+    parts, at = [], 0
+    while at < len(text):
+        cut = _BREAK.search(text, at + PIECE)
+        end = cut.start() if cut else len(text)
+        parts.append(_piece_hashes(text[at:end]))
+        at = end
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)

@@ -11,7 +11,6 @@ log probabilities of its words, each given both sides.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from itertools import groupby
 
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyaccord.lineage import checkpointed
-from skyaccord.llm.common import cut_slices, ipc_bytes, packed, text_bytes, unpacked
+from skyaccord.llm.common import cut_slices, ipc_bytes, packed, text_bytes, unpacked, word_hashes
 
 SIDE, EMBED, HIDDEN = 2, 12, 32
 WORD_BITS = 12
@@ -32,48 +31,16 @@ DIGIT = 1 << WORD_BITS // 2
 SHAPES = {"embed": (2 * SIDE, VOCABULARY, EMBED), "w1": (2 * SIDE * EMBED, HIDDEN), "b1": (HIDDEN,), "wc": (HIDDEN, DIGIT), "bc": (DIGIT,), "wm": (DIGIT, HIDDEN, DIGIT), "bm": (DIGIT, DIGIT)}
 #: Windows that are evaluated at a time.
 BATCH = 2048
-#: Text bytes that are split into words at a time.
-PIECE = 1 << 20
 _CONTEXT_BITS = 2 * SIDE * WORD_BITS
 _MASK = np.uint64((1 << _CONTEXT_BITS) - 1)
 #: Odd, so multiplying by it modulo 2^48 is a shuffle of all contexts; with its inverse.
 _SPREAD = 0x9E3779B97F4B
 _GATHER = pow(_SPREAD, -1, 1 << _CONTEXT_BITS)
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_BREAK = re.compile(rb"[\x20\x09-\x0D]")
-_BYTE_HASH = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
-_STEP = 0xD6E8FEB86659FD93
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the step and of its inverse modulo 2^64, at least n of each."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_STEP, pow(_STEP, -1, 1 << 64))):
-            _powers[k] = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, base, np.uint64))))
-    return _powers[0], _powers[1]
-
-
-def _piece_words(piece: bytes) -> np.ndarray:
-    b = np.frombuffer(piece, np.uint8)
-    edge = np.diff(np.concatenate(([True], _SPACE[b], [True])).view(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    power, inverse = _powers_to(len(b) + 1)
-    upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE_HASH[b] * power[: len(b)])))
-    h = (upto[end] - upto[start]) * inverse[start]
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-    return (1 + (h >> np.uint64(33)) % np.uint64(VOCABULARY - 1)).astype(np.uint16)
 
 
 def word_numbers(text: bytes) -> np.ndarray:
     """The number 1 to VOCABULARY - 1 of each word `[^\\x20\\x09-\\x0D]+` of a text, by a hash of its bytes."""
-    parts, at = [], 0
-    while at < len(text):
-        cut = _BREAK.search(text, at + PIECE)
-        end = cut.start() if cut else len(text)
-        parts.append(_piece_words(text[at:end]))
-        at = end
-    return np.concatenate(parts) if parts else np.empty(0, np.uint16)
+    return (1 + (word_hashes(text) >> np.uint64(33)) % np.uint64(VOCABULARY - 1)).astype(np.uint16)
 
 
 def windows(words: np.ndarray) -> np.ndarray:

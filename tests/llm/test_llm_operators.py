@@ -116,6 +116,15 @@ def test_simhash_odd_input(odd, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_ROWS", 5)
+    monkeypatch.setattr(simhash, "HOT_SHARE", 20)
+    rows = spark.range(400).select("id", F.when(F.col("id") < 150, 1).when(F.col("id") < 200, 2).otherwise(F.col("id")).alias("k"))
+    group = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    got = {r.id: r.least for r in simhash.join_counted(rows, group, "k").collect()}
+    assert got == {i: 0 if i < 150 else 150 if i < 200 else i for i in range(400)}
+
+
 def test_repeated_row_of_a_kept_id_stays_once(spark):
     frame = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2, "a b c d")], "doc_id long, text string")
     assert [tuple(r) for r in simhash.drop_near_duplicates(frame).collect()] == [(1, "a b c d")]
@@ -352,6 +361,15 @@ def test_packing_is_whole_and_free_of_conflicts(docs, rows):
         assert len({m.source for m in members}) == len(members) == len({m.text for m in members})
 
 
+def test_packing_keeps_given_clusters_apart(docs):
+    groups = docs.withColumn("group", F.pmod("doc_id", F.lit(40)))
+    cluster = {r.doc_id: r.group for r in groups.select("doc_id", "group").collect()}
+    bins = {}
+    for r in packing.pack(groups, 8192, source_col="none", cluster_col="group").collect():
+        bins.setdefault(r.bin_id, []).append(cluster[r.id])
+    assert all(len(set(b)) == len(b) for b in bins.values()) and max(map(len, bins.values())) > 1
+
+
 def test_packing_odd_input(odd, empty):
     got = packing.pack(odd, 1000).collect()
     assert sum(r.length for r in got) == sum(len((t or "").encode()) for _, t, *_ in ODD)
@@ -393,6 +411,20 @@ def test_trie_shares_prefixes_without_changing_counts():
     assert tokencount.pre_tokens(" a  b\nc") == ["▁▁a", "▁▁b", "\n", "c"] and tokencount.pre_tokens(None) == tokencount.pre_tokens("") == []
 
 
+def test_trie_is_kept_across_slices_and_bounded():
+    model = tokencount.load_unigram()
+    rng = np.random.default_rng(6)
+    words = ["▁" + "".join(rng.choice(list("thenra"), int(n))) for n in rng.integers(1, 12, 600)] + ["x" * 400, "▁" + "é" * 300]
+    want = {w: brute_tokens(w, model) for w in set(words)}
+    kept, tight = tokencount.SharedTrie(model), tokencount.SharedTrie(model, 20_000)
+    for at in range(0, len(words), 50):
+        texts = [words[at : at + 25], words[at + 25 : at + 50]]
+        sums = [sum(want[w] for w in t) for t in texts]
+        assert kept.count(texts) == sums == tight.count(texts)
+    assert len(kept.best) == 1 + len({w[:k] for w in words if len(w) <= tokencount.LONGEST_WORD for k in range(1, len(w) + 1)})
+    assert tight.held < 20_000 + 50 * (12 * tokencount.NODE_BYTES + 400) and len(tight.counts) < len(kept.counts)
+
+
 def test_tokens_odd_input(odd, empty):
     got = tokencount.count_tokens(odd).collect()
     assert len(got) == len(ODD) and {r.n_tokens for r in got if r.id in (1, 2)} == {0}
@@ -407,6 +439,35 @@ def test_languages_on_held_out_documents(docs, rows):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_decoding_equals_brute_force(docs, rows):
+    """Loss of every codeword, bit by bit, from the features by their definition."""
+    model = langid.train(docs)
+    for r, (lang, score, _) in list(zip(rows, model.decode([r.text for r in rows])))[:40]:
+        folded = b" " + b" ".join(re.findall(rb"[a-z\x80-\xff]+", r.text.lower().encode())) + b" "
+        counts = Counter(int(((folded[i] | folded[i + 1] << 8 | folded[i + 2] << 16) * 2654435761 % 2**32) >> 19) for i in range(len(folded) - 2))
+        norm = math.sqrt(sum(counts.values()))
+        losses = []
+        for word in model.code.tolist():
+            loss = 0.0
+            for k, bit in enumerate(word):
+                margin = float(model.bias[k]) + sum(math.sqrt(n) / norm * float(model.weights[slot, k]) for slot, n in counts.items())
+                loss += math.log1p(math.exp(-bit * margin))
+            losses.append(loss)
+        best = min(range(len(losses)), key=losses.__getitem__)
+        assert lang == model.languages[best] and score == pytest.approx(1 / sum(math.exp(losses[best] - x) for x in losses), rel=1e-3)
+
+
+def test_language_sample_is_bounded_whatever_repeats(spark, docs, monkeypatch):
+    hot = spark.range(5000).select(F.lit(77).cast("long").alias("doc_id"), F.lit("das ist ein deutscher satz").alias("text"), F.lit("de").alias("lang"))
+    many = spark.range(300).select((F.col("id") + 10_000).alias("doc_id"), F.concat(F.lit("wort "), F.col("id").cast("string"), F.lit(" und text")).alias("text"), F.concat(F.lit("l"), (F.col("id") % 30).cast("string")).alias("lang"))
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda starts, slots, values, y, languages: seen.append((len(starts) - 1, np.bincount(y).max(), len(languages))))
+    langid.train(docs.select("doc_id", "text", "lang").unionByName(hot).unionByName(many), fold=None, per_language=20)
+    assert seen[0][1] <= 20 and seen[0][2] == 34 and seen[0][0] <= 20 * 34
+    langid.train(many, fold=None, max_sample=60)
+    assert seen[1] == (60, 2, 30)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 6, 30])
 def test_codewords_differ(n):
     code = langid.codewords(n)
@@ -454,7 +515,7 @@ def test_contamination_equals_brute_force(spark):
         assert r.items_sha256 == hashlib.sha256(",".join(found).encode()).hexdigest()
         assert r.contaminated == (hit > 0 and 20 * hit >= n)
     doubled = docs.unionByName(docs.limit(3))
-    assert len(list(decontam.benchmark_blocks(benchmark, block_bytes=600))) > 2
+    assert decontam.benchmark_blocks(benchmark, block_bytes=600).count() > 2
     in_turn = decontam.find_contamination(doubled, benchmark, block_bytes=600)
     assert sorted(map(repr, in_turn.collect())) == sorted(repr(got[r.doc_id]) for r in doubled.collect())
     clean = {r.id for r in got.values() if not r.contaminated}
@@ -487,6 +548,39 @@ def test_fm_index_counts_and_locates():
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
 
 
+def test_suffix_array_sorts_all_suffixes():
+    rng = np.random.default_rng(8)
+    for seq in (rng.integers(1, 4, 200), np.ones(50, np.int64), np.tile(rng.integers(1, 1000, 40), 6), np.empty(0, np.int64)):
+        ended = np.append(seq, 0)
+        assert decontam.suffix_array(ended).tolist() == sorted(range(len(ended)), key=lambda i: ended[i:].tolist())
+
+
+def test_long_texts_are_indexed_in_overlapping_parts(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice([f"w{k}" for k in range(6)], n)) for n in (300, 5, 0, 120, 41)]
+    items = [(str(k), " ".join(texts[0].split()[k * 20 : k * 20 + 14])) for k in range(14)] + [("s", "w1 w2 w3")]
+    monkeypatch.setattr(decontam, "PART_WORDS", 40)
+    parts, held = [], []
+    for d, t in enumerate(texts):
+        h = decontam.hashes_of(t.encode())
+        for at in range(0, max(1, len(h) - 12) if len(h) else 0, 28):
+            parts.append(decontam.ShardIndex.of([(d, at, h[at : at + 40])]))
+    windows = decontam.Windows.of([(n, t.encode()) for n, t in items])
+    for d, t in enumerate(texts):
+        got = [p.find(windows)[d] for p in parts if d in p.find(windows)]
+        spans = decontam.merged(s for g in got for s in g[0])
+        n, hit, found = brute_contamination(t, items)
+        assert sum(e - b for b, e in spans) == hit and sorted(set().union(*[g[1] for g in got])) == found
+
+
+def test_a_stored_index_finds_the_same(docs, rows):
+    hashes = [decontam.hashes_of(r.text.encode()) for r in rows[:60]]
+    shard = decontam.ShardIndex.of([(d, 0, h) for d, h in enumerate(hashes) if len(h)])
+    windows = decontam.Windows.of([(str(k), r.text.encode()) for k, r in enumerate(rows[50:70])])
+    again = decontam.ShardIndex.from_bytes(shard.to_bytes())
+    assert again.find(windows) == shard.find(windows) and len(shard.find(windows)) >= 10
+
+
 def test_contamination_odd_input(spark, odd, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in decontam.find_contamination(odd, none).collect()} == {0}
@@ -536,6 +630,26 @@ def test_ledger_scans_only_unseen_pairs(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == n for k, *_ in want) for n in secrets.KINDS[:3])
 
 
+def test_ledger_outlives_runs_and_follows_rule_versions(spark, tmp_path, monkeypatch):
+    path, schema = f"{tmp_path}/ledger", "doc_id long, version int, text string"
+    first = spark.createDataFrame([(k, 1, t) for k, t in enumerate(SECRET_TEXTS * 3)], schema)
+    assert secrets.open_ledger(spark, path) is None
+    assert secrets.extend_ledger(first, path).count() == len(set(SECRET_TEXTS))
+    files = {p.name for p in (tmp_path / "ledger").glob("*.parquet")}
+    assert secrets.scan_blobs(first, secrets.open_ledger(spark, path)).count() == 0
+    second = first.unionByName(spark.createDataFrame([(0, 2, "token: another_one"), (50, 1, None)], schema))
+    ledger = secrets.extend_ledger(second, path)
+    assert ledger.count() == len(set(SECRET_TEXTS)) + 2 and files < {p.name for p in (tmp_path / "ledger").glob("*.parquet")}
+    assert secrets.extend_ledger(second, path, rule_version="next").count() == 2 * (len(set(SECRET_TEXTS)) + 2)
+    doubled = ledger.unionByName(ledger)
+    got = secrets.findings(second, doubled, version_col="version").collect()
+    assert len(got) == 3 * len(SECRET_TEXTS) + 2
+    assert {(r.version, len(r.spans)) for r in got if r.id == 0} == {(1, len(brute_spans(SECRET_TEXTS[0]))), (2, 1)}
+    monkeypatch.setattr(secrets, "BROADCAST_NUMBERS", 0)
+    monkeypatch.setattr(secrets, "BROADCAST_ROWS", 0)
+    assert secrets.scan_blobs(second, secrets.open_ledger(spark, path).filter(F.col("rule_version") == secrets.RULE_VERSION).limit(3)).count() == len(set(SECRET_TEXTS)) + 2 - 3
+
+
 def test_redaction_removes_secrets_and_leaves_other_texts(spark, odd, empty):
     frame = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate([*SECRET_TEXTS, "clean text"])], SCHEMA)
     got = {r.doc_id: r for r in secrets.redact_secrets(frame).collect()}
