@@ -1,8 +1,9 @@
 """Secret scans with an incremental ledger of content-addressed blobs.
 
-A blob is named by the SHA-256 of its text. The ledger holds (blob, rule_version, spans) for every blob that
-was ever scanned under a version of the rules. A run scans only pairs that the ledger lacks, appends them,
-and joins the findings back to every path (document) whose text is that blob.
+A blob is named by the SHA-256 of its text. The ledger, a Parquet table that outlives the run, holds (blob,
+rule_version, spans) for every blob that was ever scanned under a version of the rules. A run finds the pairs
+that the ledger lacks by names alone, moves and scans each of their texts once, appends them, and joins the
+findings back to every path, and every version of a path, whose text is that blob.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyaccord.lineage import checkpointed, stored
@@ -28,8 +29,9 @@ _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:[A-Za-z0-9+
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _HEX_MAP = bytes(120 if 48 <= b <= 57 or 97 <= b <= 102 else 32 for b in range(256))
 LEDGER = "blob string, rule_version string, spans array<struct<kind: string, start: long, end: long>>"
-#: Rows of a counted table up to which it is broadcast.
+#: Rows of a counted table up to which it is broadcast; of bare numbers, more fit in the same room.
 BROADCAST_ROWS = 20_000
+BROADCAST_NUMBERS = 1_000_000
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:
@@ -53,26 +55,36 @@ def blob_of(text_col: str) -> Column:
     return F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256)
 
 
+def _short(blob: Column) -> Column:
+    """The first 60 bits of a name as a number."""
+    return F.conv(F.substring(blob, 1, 15), 16, 10).cast("long")
+
+
 def scan_blobs(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
-    """Ledger rows for the blobs of docs that the ledger lacks under this version.
+    """Ledger rows for the blobs of docs that the ledger lacks under this version, each scanned once.
 
-    A task scans a text it meets again in the same slice once; each blob is stored once. Null text is the empty blob.
+    Names meet the ledger before any text moves: a table of unseen names, broadcast as numbers if they are few, picks
+    the texts. Copies are reduced to one text in their task and once more where they meet. Null text is the empty blob.
     """
     rows = docs.select(blob_of(text_col).alias("blob"), F.col(f"`{text_col}`").cast("string").alias("text"))
     if ledger is not None:
-        rows = rows.join(ledger.filter(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
+        seen = ledger.filter(F.col("rule_version") == rule_version).select("blob").distinct()
+        unseen = stored(rows.select("blob").distinct().join(seen, "blob", "left_anti"))
+        n = unseen.count()
+        if n <= BROADCAST_NUMBERS:
+            near = F.broadcast(unseen.select(_short(F.col("blob")).alias("__short")).distinct())
+            rows = rows.join(near, _short(F.col("blob")) == F.col("__short"), "left_semi")
+        rows = rows.join(F.broadcast(unseen) if n <= BROADCAST_ROWS else unseen, "blob", "left_semi")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for whole in batches:
-            for at in range(0, whole.num_rows, 16 * SLICE_ROWS):
-                batch = whole.slice(at, 16 * SLICE_ROWS)
-                first = {b: i for i, b in reversed(list(enumerate(batch.column(0).to_pylist())))}
-                texts = batch.column(1)
-                spans = [[{"kind": k, "start": s, "end": e} for k, s, e in find_spans(texts[i].as_py())] for i in first.values()]
-                kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_pydict({"blob": pa.array(list(first), pa.string()), "rule_version": pa.array([rule_version] * len(first), pa.string()), "spans": pa.array(spans, kind)})
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
+                spans = [[{"kind": k, "start": s, "end": e} for k, s, e in find_spans(t)] for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([rule_version] * batch.num_rows, pa.string()), pa.array(spans, kind)], ["blob", "rule_version", "spans"])
 
-    return rows.mapInArrow(run, LEDGER).groupBy("blob", "rule_version").agg(F.first("spans").alias("spans"))
+    return rows.dropDuplicates(["blob"]).mapInArrow(run, LEDGER)
 
 
 def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
@@ -81,10 +93,31 @@ def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, text_col: st
     return checkpointed(fresh if ledger is None else ledger.select("blob", "rule_version", "spans").unionByName(fresh))
 
 
-def findings(docs: DataFrame, ledger: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
-    """(id, blob, spans), a row for each row of docs: every path of a blob gets its findings."""
-    paths = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), blob_of(text_col).alias("blob"))
-    return paths.join(ledger.filter(F.col("rule_version") == rule_version).select("blob", "spans"), "blob", "left")
+def open_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger at a path of the shared file system; None where there is none yet."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    exists = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    return spark.read.schema(LEDGER).parquet(path) if exists else None
+
+
+def extend_ledger(docs: DataFrame, path: str, text_col: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
+    """The ledger at a path after a run over docs: what it lacks is scanned and appended, nothing else is written.
+
+    A run that fails leaves the ledger as it was; the next one scans what is still unseen. A pair that two runs append at the same
+    time stands there twice and counts once.
+    """
+    spark = docs.sparkSession
+    fresh = stored(scan_blobs(docs, open_ledger(spark, path), text_col, rule_version))
+    fresh.write.mode("append").parquet(path)
+    return open_ledger(spark, path)
+
+
+def findings(docs: DataFrame, ledger: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule_version: str = RULE_VERSION, version_col: str | None = None) -> DataFrame:
+    """(id, blob, spans), and version where docs has a column of historical versions; a row for each row of docs: every path and version of a blob gets its findings."""
+    version = [F.col(f"`{version_col}`").alias("version")] if version_col else []
+    paths = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), *version, blob_of(text_col).alias("blob"))
+    known = ledger.filter(F.col("rule_version") == rule_version).select("blob", "spans").dropDuplicates(["blob"])
+    return paths.join(known, "blob", "left")
 
 
 def span_text(spans: Column) -> Column:
@@ -119,7 +152,7 @@ def redact_secrets(docs: DataFrame, ledger: DataFrame | None = None, text_col: s
     """
     ledger = update_ledger(docs, ledger, text_col, rule_version)
     blob, spans = fresh_names(docs, 2)
-    dirty = stored(ledger.filter((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select(F.col("blob").alias(blob), F.col("spans").alias(spans)))
+    dirty = stored(ledger.filter((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).dropDuplicates(["blob"]).select(F.col("blob").alias(blob), F.col("spans").alias(spans)))
     if dirty.count() <= BROADCAST_ROWS:
         dirty = F.broadcast(dirty)
     joined = docs.join(dirty, blob_of(text_col) == F.col(blob), "left").drop(blob)
