@@ -2,9 +2,10 @@
 
 The pieces and scores come from a public SentencePiece model file (a parameter, never copied). A text's best
 segmentation splits at pre-tokens (a run of blanks with the word after it, or a newline), because no piece
-crosses their borders. The distinct pre-tokens of a task are inserted in a trie by sorting: consecutive words
-share the path of their common prefix. The forward scores along a path are computed once per trie node, and
-the token count of a word is stored at its terminal node.
+crosses their borders. A task keeps one trie over all its slices: each distinct pre-token is inserted once, every
+node holds the forward score and token count of its prefix, computed once whichever words share it, and the count
+of a whole word is kept at its terminal node. The pieces that end at a node are found by walking a trie of reversed
+pieces backward along the path, as far as any piece goes.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,17 +22,27 @@ from skyaccord.llm.common import SLICE_ROWS
 
 DEFAULT_MODEL = os.path.join("/opt/tokenizers", "piece_bpe_32k.model")
 BLANK = "▁"
-#: Counts that a task keeps for pre-tokens met before; older ones are computed again.
-CACHE_WORDS = 400_000
+#: Bytes that a task's trie and counts may take, about; beyond, it starts afresh.
+CACHE_BYTES = 128 << 20
+#: About what a node takes, and a word's count beside its characters.
+NODE_BYTES, WORD_BYTES = 180, 120
+#: Characters of a pre-token that enters the trie; longer ones are scored by themselves.
+LONGEST_WORD = 256
 _PRE_TOKEN = re.compile(r"\n|[ ▁]*[^ ▁\n]+|[ ▁]+")
 
 
-@dataclass(frozen=True)
 class Unigram:
-    scores: dict[str, float]
-    #: Of a character that no piece covers, which costs one token for each UTF-8 byte.
-    unknown: float
-    longest: int
+    """Scores of pieces; `ends` is a trie of the reversed pieces, in which the empty key holds a piece's score."""
+
+    def __init__(self, scores: dict[str, float], unknown: float):
+        #: unknown: of a character that no piece covers, which costs one token for each UTF-8 byte.
+        self.scores, self.unknown, self.longest = scores, unknown, max(map(len, scores))
+        self.ends: dict = {}
+        for piece, score in scores.items():
+            node = self.ends
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[""] = score
 
 
 def load_unigram(model_file: str = DEFAULT_MODEL) -> Unigram:
@@ -44,27 +54,83 @@ def load_unigram(model_file: str = DEFAULT_MODEL) -> Unigram:
     scores = {sp.id_to_piece(i): float(sp.get_score(i)) for i in ids}
     if any(BLANK in p.lstrip(BLANK) for p in scores):
         raise ValueError("a piece crosses the border of a pre-token")
-    return Unigram(scores, min(scores.values()) - 10, max(map(len, scores)))
+    return Unigram(scores, min(scores.values()) - 10)
+
+
+class SharedTrie:
+    """Forward scores by prefix. Of equally good segmentations the one whose last piece is shortest counts."""
+
+    def __init__(self, model: Unigram, cache_bytes: int = CACHE_BYTES):
+        self.model, self.cache_bytes = model, cache_bytes
+        self.clear()
+
+    def clear(self) -> None:
+        self.child: dict[int, int] = {}
+        self.best, self.tokens = [0.0], [0]  # of each node; node 0 is the empty prefix
+        self.counts: dict[str, int] = {}
+        self.held = 0
+
+    def _step(self, word: str, end: int, best: list[float], tokens: list[int]) -> tuple[float, int]:
+        """Score and tokens of word[:end] from those of its prefixes."""
+        score, n = best[end - 1] + self.model.unknown, tokens[end - 1] + len(word[end - 1].encode())
+        node = self.model.ends
+        for start in range(end - 1, -1, -1):
+            node = node.get(word[start])
+            if node is None:
+                break
+            piece = node.get("")
+            if piece is not None and best[start] + piece > score:
+                score, n = best[start] + piece, tokens[start] + 1
+        return score, n
+
+    def add(self, words: Iterable[str]) -> None:
+        """Counts of words, which are inserted in order, so that each begins where it leaves the one before."""
+        before, path, best, tokens = "", [0], [0.0], [0]
+        for word in sorted(set(words)):
+            if len(word) > LONGEST_WORD:
+                self.counts[word] = self._alone(word)
+                self.held += 4 * len(word) + WORD_BYTES
+                continue
+            shared = len(os.path.commonprefix((before, word)))
+            del path[shared + 1 :], best[shared + 1 :], tokens[shared + 1 :]
+            for end in range(shared + 1, len(word) + 1):
+                key = path[-1] << 21 | ord(word[end - 1])
+                node = self.child.get(key)
+                if node is None:
+                    score, n = self._step(word, end, best, tokens)
+                    node = self.child[key] = len(self.best)
+                    self.best.append(score)
+                    self.tokens.append(n)
+                    self.held += NODE_BYTES
+                path.append(node)
+                best.append(self.best[node])
+                tokens.append(self.tokens[node])
+            self.counts[word], before = tokens[-1], word
+            self.held += 2 * len(word) + WORD_BYTES
+
+    def _alone(self, word: str) -> int:
+        best, tokens = [0.0], [0]
+        for end in range(1, len(word) + 1):
+            score, n = self._step(word, end, best, tokens)
+            best.append(score)
+            tokens.append(n)
+        return tokens[-1]
+
+    def count(self, texts: list[list[str]]) -> list[int]:
+        """Tokens of each list of pre-tokens. A full cache starts afresh before new words come in."""
+        fresh = set().union(*texts) - self.counts.keys()
+        if fresh and self.held > self.cache_bytes:
+            self.clear()
+            fresh = set().union(*texts)
+        self.add(fresh)
+        return [sum(map(self.counts.__getitem__, t)) for t in texts]
 
 
 def trie_counts(words: Iterable[str], model: Unigram) -> dict[str, int]:
-    """Token count of each distinct word. Of equally good segmentations the one whose last piece is shortest counts."""
-    scores, longest, unknown = model.scores, model.longest, model.unknown
-    counts: dict[str, int] = {}
-    best, tokens, before = [0.0], [0], ""
-    for word in sorted(set(words)):
-        shared = len(os.path.commonprefix((before, word)))
-        del best[shared + 1 :], tokens[shared + 1 :]
-        for end in range(shared + 1, len(word) + 1):
-            score, n = best[end - 1] + unknown, tokens[end - 1] + len(word[end - 1].encode())
-            for start in range(end - 1, max(-1, end - 1 - longest), -1):
-                piece = scores.get(word[start:end])
-                if piece is not None and best[start] + piece > score:
-                    score, n = best[start] + piece, tokens[start] + 1
-            best.append(score)
-            tokens.append(n)
-        counts[word], before = tokens[-1], word
-    return counts
+    """Token count of each distinct word."""
+    trie = SharedTrie(model)
+    trie.add(words)
+    return trie.counts
 
 
 def pre_tokens(text: str | None) -> list[str]:
@@ -72,20 +138,19 @@ def pre_tokens(text: str | None) -> list[str]:
     return _PRE_TOKEN.findall((" " + text).replace(" ", BLANK)) if text else []
 
 
-def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str = DEFAULT_MODEL) -> DataFrame:
-    """(id, n_pre_tokens, n_tokens), a row for each row; null and empty texts have none. No shuffle."""
+def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str = DEFAULT_MODEL, cache_bytes: int = CACHE_BYTES) -> DataFrame:
+    """(id, n_pre_tokens, n_tokens), a row for each row; null and empty texts have none. No shuffle.
+
+    The order of texts and the size of the cache change only what is computed again, never a count.
+    """
     model = load_unigram(model_file)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        trie = SharedTrie(model, cache_bytes)
         for whole in batches:
-            for at in range(0, whole.num_rows, 4 * SLICE_ROWS):
-                batch = whole.slice(at, 4 * SLICE_ROWS)
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
                 texts = [pre_tokens(t) for t in batch.column(1).to_pylist()]
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                known.update(trie_counts({w for t in texts for w in t if w not in known}, model))
-                sums = [sum(map(known.__getitem__, t)) for t in texts]
-                yield pa.RecordBatch.from_pydict({"id": batch.column(0), "n_pre_tokens": pa.array([len(t) for t in texts], pa.int64()), "n_tokens": pa.array(sums, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"id": batch.column(0), "n_pre_tokens": pa.array([len(t) for t in texts], pa.int64()), "n_tokens": pa.array(trie.count(texts), pa.int64())})
 
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "id long, n_pre_tokens long, n_tokens long")
