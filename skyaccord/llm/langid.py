@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyaccord.lineage import stored
@@ -20,6 +20,8 @@ from skyaccord.llm.common import id_crc32, map_rows
 HASH_BITS = 13
 DIM = 1 << HASH_BITS
 UNDETERMINED = "und"
+#: Rows of the sample that are spread out at a time.
+BATCH = 256
 #: All ASCII but letters becomes one blank; letters are lower-cased before.
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -79,51 +81,68 @@ class OutputCodes:
         return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 150, rate: float = 0.3, decay: float = 1e-5) -> OutputCodes:
-    """Logistic regression for each bit by full-batch Adam; every language has the same weight."""
+def fit(starts: np.ndarray, slots: np.ndarray, values: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 25, rate: float = 0.05, decay: float = 1e-5) -> OutputCodes:
+    """Logistic regression for each bit by Adam over batches; every language has the same weight.
+
+    Row i has the features slots[starts[i] : starts[i + 1]]; a batch at a time is spread out to all DIM columns.
+    """
     code = codewords(len(languages))
     w, b = np.zeros((DIM, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     if len(languages) > 1:
-        target = code[y]
-        weight = (1 / np.bincount(y, minlength=len(languages))[y] / len(languages)).astype(np.float32)[:, None]
-        m, s = np.zeros_like(w), np.zeros_like(w)
-        for t in range(1, steps + 1):
-            pull = -weight * target / (1 + np.exp(np.clip(target * (x @ w + b), -30, 30)))
-            g = x.T @ pull + decay * w
-            m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
-            w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
-            b -= rate * pull.sum(axis=0)
+        share = len(y) / np.bincount(y, minlength=len(languages))[y] / len(languages)
+        m, s, step, rng = np.zeros_like(w), np.zeros_like(w), 0, np.random.default_rng(5)
+        for _ in range(epochs):
+            order = rng.permutation(len(y))
+            for some in (order[k : k + BATCH] for k in range(0, len(y), BATCH)):
+                x = np.zeros((len(some), DIM), np.float32)
+                for row, i in zip(x, some):
+                    row[slots[starts[i] : starts[i + 1]]] = values[starts[i] : starts[i + 1]]
+                target, step = code[y[some]], step + 1
+                pull = (-share[some, None] * target / (1 + np.exp(np.clip(target * (x @ w + b), -30, 30))) / len(some)).astype(np.float32)
+                g = x.T @ pull + decay * w
+                m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
+                w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+                b -= rate * pull.sum(axis=0)
     return OutputCodes(languages, code, w, b)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: int | None = 3, per_language: int = 400) -> OutputCodes:
-    """Fits on about per_language documents of each language, chosen by a hash of id and text, outside the held-out fold (crc32(id) mod fold = 1).
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: int | None = 3, per_language: int = 400, max_sample: int = 20_000) -> OutputCodes:
+    """Fits on at most per_language documents of each language, and at most max_sample (but one of each) in all, outside the held-out fold (crc32(id) mod fold = 1).
 
-    Null languages and texts without a letter teach nothing. Features of whole texts are made on the executors; the driver gets that bounded sample.
+    The documents with the least hashes of id and text are taken; rows that repeat both count as one, however many
+    there are. Null languages and texts without a letter teach nothing. Features of whole texts are made on the
+    executors; the driver gets those of the sample, as sparse rows.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     if fold:
         rows = rows.filter(id_crc32("id") % fold != 1)
-    shares = stored(rows.groupBy("lang").agg(F.count("*").alias("n")).withColumn("share", F.lit(float(per_language)) / F.col("n")))
-    if shares.count() <= 10_000:  # else Spark chooses
-        shares = F.broadcast(shares)
-    draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.join(shares, "lang").filter(draw < F.col("share")).select("lang", "text")
+    rows = rows.withColumn("draw", F.xxhash64("id", "text"))
+    names = rows.select("lang", "draw").distinct()
+    counts = stored(names.groupBy("lang").agg(F.count("*").alias("n")))
+    n_langs = counts.count()
+    few = max(1, min(per_language, max_sample // max(1, n_langs)))
+    # Hashes are even over 64 bits: this many of the least ones nearly always hold the few wanted, and a rank cuts the rest.
+    limit = counts.select("lang", (F.lit(float(-(1 << 63))) + F.lit(float(1 << 64)) * F.least(F.lit(1.0), F.lit(float(2 * few + 50)) / F.col("n"))).alias("limit"))
+    least = names.join(F.broadcast(limit) if n_langs <= 10_000 else limit, "lang").filter(F.col("draw") <= F.col("limit")).select("lang", "draw")
+    taken = stored(least.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).filter(F.col("k") <= few).drop("k"))
+    sample = rows.select("lang", "draw", "text").join(F.broadcast(taken) if n_langs <= max_sample else taken, ["lang", "draw"]).groupBy("lang", "draw").agg(F.first("text").alias("text")).select("lang", "text")
 
     def fn(batch: pa.RecordBatch) -> dict:
-        texts = batch.column(1).to_pylist()
-        kept = [i for i, t in enumerate(texts) if has_letter(t)]
-        slots = [np.unique(trigram_slots(texts[i]), return_counts=True) for i in kept]
-        return {"lang": batch.column(0).take(pa.array(kept, pa.int32())), "slot": pa.array([s.astype(np.int16).tobytes() for s, _ in slots], pa.binary()), "n": pa.array([n.astype(np.int32).tobytes() for _, n in slots], pa.binary())}
+        found = [np.unique(trigram_slots(t), return_counts=True) for t in batch.column(1).to_pylist()]
+        return {"lang": batch.column(0), "slot": pa.array([s.astype(np.int16).tobytes() for s, _ in found], pa.binary()), "n": pa.array([n.astype(np.int32).tobytes() for _, n in found], pa.binary())}
 
     got = map_rows(sample, fn, "lang string, slot binary, n binary").toArrow().sort_by([("lang", "ascending"), ("slot", "ascending"), ("n", "ascending")])
-    names = got["lang"].to_pylist()
-    languages = sorted(set(names))
-    x = np.zeros((len(names), DIM), np.float32)
-    for row, slot, n in zip(x, got["slot"].to_pylist(), got["n"].to_pylist()):
-        row[np.frombuffer(slot, np.int16)] = np.sqrt(np.frombuffer(n, np.int32))
-        row /= np.linalg.norm(row)
-    return fit(x, np.array([languages.index(n) for n in names], np.int64), languages)
+    langs = got["lang"].to_pylist()
+    languages = sorted(set(langs))
+    number = {lang: k for k, lang in enumerate(languages)}
+    slots, values = [], []
+    for slot, n in zip(got["slot"].to_pylist(), got["n"].to_pylist()):
+        v = np.sqrt(np.frombuffer(n, np.int32)).astype(np.float32)
+        slots.append(np.frombuffer(slot, np.int16))
+        values.append(v / np.linalg.norm(v))
+    starts = np.concatenate(([0], np.cumsum([len(s) for s in slots]))).astype(np.int64)
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
+    return fit(starts, join(slots, np.int16), join(values, np.float32), np.array([number[n] for n in langs], np.int64), languages)
 
 
 def identify(docs: DataFrame, model: OutputCodes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
