@@ -48,17 +48,20 @@ def best_fit(pieces: list[tuple[int, object, object]], capacity: int) -> list[tu
     return placed
 
 
-def pack(docs: DataFrame, capacity: int = 8192, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", per_pack: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 8192, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", per_pack: int = 2048, cluster_col: str | None = None) -> DataFrame:
     """(id, piece, start, length, bin_id, bin_offset, bin_used): every byte of every document, in one place.
 
     Lengths are UTF-8 bytes. A text longer than capacity is cut into pieces of capacity bytes, which fill bins
     of their own, and a rest; the rests and all shorter texts are packed in order of falling length. No bin
-    holds two pieces of one source or of one duplicate cluster (equal texts). Null and empty texts have one
-    piece of length 0; null sources never conflict. Repeated rows are packed as often as they occur. An empty table
+    holds two pieces of one source or of one duplicate cluster: the documents that share a value of cluster_col (such
+    as component_id of near_duplicates), or without that column those with equal texts. Of pieces of one length the
+    least id is placed first, and of bins equally tight the first opened is taken. Null and empty texts have one
+    piece of length 0; null sources and clusters never conflict. Repeated rows are packed as often as they occur. An empty table
     gives an empty result. bin_used is the filled length of the bin.
     """
     source = F.col(f"`{source_col}`").cast("string") if source_col in docs.columns else F.lit(None).cast("string")
-    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), source.alias("source"), F.xxhash64(F.col(f"`{text_col}`")).alias("cluster"), F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long").alias("size"))
+    cluster = F.col(f"`{cluster_col}`").cast("string") if cluster_col else F.sha2(F.col(f"`{text_col}`").cast("binary"), 256)
+    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), source.alias("source"), cluster.alias("cluster"), F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long").alias("size"))
     rows = checkpointed(narrow.withColumn("salt", F.monotonically_increasing_id()))
     packs = max(1, -(-rows.count() // per_pack))
     # The salt spreads a row that is repeated very often.
