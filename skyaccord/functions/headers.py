@@ -14,25 +14,31 @@ def card(header: Column, name: str) -> Column:
     return F.try_element_at(header, F.lit(name)).try_cast("double")
 
 
+#: A frequency in text: a signed number, then a unit or none (fixed form and units).
+FREQUENCY_FORM = r"^\s*([+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)\s*([A-Za-z]*)\s*$"
+UNITS_HZ = {"hz": 1.0, "khz": 1e3, "mhz": 1e6, "ghz": 1e9}
+#: Frequencies in file names, in order of precedence (fixed forms): a range and a single value in MHz, and three or four digits between marks.
+NAME_RANGE = r"(?i)(\d+(?:\.\d+)?)\s*~\s*(\d+(?:\.\d+)?)\s*MHz"
+NAME_SINGLE = r"(?i)(\d+(?:\.\d+)?)\s*MHz"
+NAME_TOKEN = r"[_-](\d{3,4})(?:\.\d+)?[_-]"
+
+
 def parse_frequency(text: Column, unit: str = "mhz") -> Column:
-    """A number with an optional unit (Hz, kHz, MHz, GHz) in Hz; null if the text is no frequency."""
-    pattern = r"^\s*([0-9]*\.?[0-9]+(?:[eE][+-]?[0-9]+)?)\s*([a-zA-Z]*)\s*$"
-    number, named = F.regexp_extract(text, pattern, 1), F.lower(F.regexp_extract(text, pattern, 2))
-    named = F.when(named == "", F.lit(unit)).otherwise(named)
-    factor = F.when(named == "hz", 1.0).when(named == "khz", 1e3).when(named == "mhz", 1e6).when(named == "ghz", 1e9)
-    return number.try_cast("double") * factor
+    """A number with an optional unit (Hz, kHz, MHz, GHz, any case) in Hz; null if the text is no frequency."""
+    number, named = (F.regexp_extract(text, FREQUENCY_FORM, k) for k in (1, 2))
+    factors = F.create_map(*[F.lit(x) for kv in UNITS_HZ.items() for x in kv])
+    return number.try_cast("double") * F.try_element_at(factors, F.when(named == "", F.lit(unit)).otherwise(F.lower(named)))
 
 
 def freq_from_name(path: Column) -> Column:
-    """MHz from a file name: the mean of `a~bMHz`, else `nMHz`, else a number between marks from 100 to 6000."""
+    """MHz from a file name: the mean of a range, else a value in MHz, else the first number between marks, which must be 100 to 6000."""
     name = F.element_at(F.split(path, "/"), -1)
 
-    def number(pattern: str, k: int = 1) -> Column:
-        return F.regexp_extract(name, pattern, k).try_cast("double")
+    def number(form: str, k: int = 1) -> Column:
+        return F.regexp_extract(name, form, k).try_cast("double")
 
-    span = r"(?i)(\d+(?:\.\d+)?)\s*[~-]\s*(\d+(?:\.\d+)?)\s*MHz"
-    bare = number(r"(?:^|[_.-])(\d{3,4})(?=[_.-]|$)")
-    return F.coalesce((number(span) + number(span, 2)) / 2, number(r"(?i)(\d+(?:\.\d+)?)\s*MHz"), F.when(bare.between(100, 6000), bare))
+    token = number(NAME_TOKEN)
+    return F.coalesce((number(NAME_RANGE) + number(NAME_RANGE, 2)) / 2, number(NAME_SINGLE), F.when(token.between(100, 6000), token))
 
 
 def header_frequency(header: Column) -> Column:

@@ -33,14 +33,20 @@ def spherical_offsets(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> t
     return F.degrees(F.atan2(y, x)) * ARCSEC, F.degrees(F.asin(z)) * ARCSEC
 
 
+def ra_difference(ra1: Column, ra2: Column) -> Column:
+    """ra2 - ra1 by the short way round: a pair on both sides of RA 0 is no turn apart."""
+    d = ra2 - ra1
+    return F.when(d > 180, d - 360).when(d < -180, d + 360).otherwise(d)
+
+
 def offsets_mid(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> tuple[Column, Column]:
     """Arcsec offsets with the cosine of the mean declination."""
-    return (ra2 - ra1) * F.cos(F.radians((dec1 + dec2) / 2)) * ARCSEC, (dec2 - dec1) * ARCSEC
+    return ra_difference(ra1, ra2) * F.cos(F.radians((dec1 + dec2) / 2)) * ARCSEC, (dec2 - dec1) * ARCSEC
 
 
 def offsets_flat(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> tuple[Column, Column]:
     """Arcsec offsets with the cosine of the first declination."""
-    return (ra2 - ra1) * F.cos(F.radians(dec1)) * ARCSEC, (dec2 - dec1) * ARCSEC
+    return ra_difference(ra1, ra2) * F.cos(F.radians(dec1)) * ARCSEC, (dec2 - dec1) * ARCSEC
 
 
 def flat_sep_diff(ra1: Column, dec1: Column, ra2: Column, dec2: Column, ra3: Column, dec3: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skyaccord.functions.sky import ang_sep_arcsec, unit_vector
+from skyaccord.functions.sky import ang_sep_arcsec, offsets_flat, unit_vector
 from skyaccord.lineage import stored
 from skyaccord.operators.clean import suffix_columns, valid_coords
 
@@ -110,6 +110,5 @@ def calibrators_within(targets: DataFrame, calibrators: DataFrame, limit_deg: fl
 
 def survey_offsets(pairs: DataFrame, b_maj_arcsec: float) -> DataFrame:
     """Offsets of matched pairs in arcsec and beams with the cosine of the first declination."""
-    d_ra = (F.col("ra_2") - F.col("ra_1")) * F.cos(F.radians("dec_1")) * 3600
-    d_dec = (F.col("dec_2") - F.col("dec_1")) * 3600
+    d_ra, d_dec = offsets_flat(F.col("ra_1"), F.col("dec_1"), F.col("ra_2"), F.col("dec_2"))
     return pairs.withColumns({"d_ra": d_ra, "d_dec": d_dec, "d_ra_beam": d_ra / b_maj_arcsec, "d_dec_beam": d_dec / b_maj_arcsec})

@@ -22,10 +22,15 @@ def replace_bad_errors(df: DataFrame, error: str = "e_total_flux", fallback: str
 
 
 def normalise_sentinels(df: DataFrame, columns: list[str]) -> DataFrame:
-    """-3600, which a missing error becomes by unit conversion, means -1."""
+    """-3600, which a missing error becomes by conversion to arcsec, means -1."""
     return df.withColumns({c: F.when(F.col(c) == -3600, F.lit(-1.0)).otherwise(F.col(c)) for c in columns})
 
 
+def to_millijansky(df: DataFrame, columns: list[str], correction: float = 1.0) -> DataFrame:
+    """Fluxes and their errors from Jy to mJy, times a flux correction."""
+    return df.withColumns({c: F.col(c) * (1000 * correction) for c in columns})
+
+
 def secondary_sources(df: DataFrame, frac: float = 0.01, catalog: str = "catalog", peak: str = "peak_flux") -> DataFrame:
     """Sources over frac of their catalogue's peak: separation from the peak source (arcmin), percent of it, ellipse area.
 
@@ -91,6 +96,3 @@ def source_list(df: DataFrame) -> DataFrame:
     ranked = good.withColumn("__r", n).join(F.broadcast(zones), "__zone")
     return ranked.select((F.col("__r") + F.col("__base")).alias("n"), F.round("ra", 6).alias("ra"), F.round("dec", 6).alias("dec"), F.round("total_flux", 6).alias("total_flux"), F.round("peak_flux", 6).alias("peak_flux"))
 
-
-def sky_order(df: DataFrame) -> DataFrame:
-    return df.orderBy("ra", "source_id")

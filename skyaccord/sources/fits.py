@@ -8,7 +8,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 BLOCK, CARD = 2880, 80
 #: Binary-table letters and image codes as numpy types (fixed values of the format).
@@ -70,9 +69,10 @@ def table_rows(header: dict[str, str], data: bytes) -> pd.DataFrame:
 
 
 def ingest_tables(spark: SparkSession, glob: str, columns: dict[str, str]) -> DataFrame:
-    """(path, header, columns...) of the first binary table of each file; a column that a file lacks is null.
+    """(path, header, error, columns...) of the first binary table of each file; a column that a file lacks is null.
 
-    columns: names (any case) and Spark types. A file that cannot be decoded gives no row.
+    columns: names (any case) and Spark types. A file that cannot be decoded, or holds no table, gives one row with
+    its error and nothing else; rows of good files have a null error.
     """
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,19 +81,22 @@ def ingest_tables(spark: SparkSession, glob: str, columns: dict[str, str]) -> Da
                 try:
                     unit = next(((h, d) for h, d in read_units(raw) if h.get("XTENSION", "").startswith("BINTABLE")), None)
                     rows = table_rows(*unit) if unit else pd.DataFrame()
-                except (KeyError, ValueError, AttributeError):
-                    continue
-                if len(rows):
+                    problem = None if unit else "no binary table"
+                except (KeyError, ValueError, AttributeError) as e:
+                    rows, problem = pd.DataFrame(), f"{type(e).__name__}: {e}"
+                if problem:
+                    yield pd.DataFrame({"path": [path], "header": [None], "error": [problem], **{n: [None] for n in columns}})
+                elif len(rows):
                     lower = {c.lower(): c for c in rows.columns}
                     got = {n: rows[lower[n.lower()]] if n.lower() in lower else None for n in columns}
-                    yield pd.DataFrame({"path": path, "header": [unit[0]] * len(rows), **got})
+                    yield pd.DataFrame({"path": path, "header": [unit[0]] * len(rows), "error": None, **got})
 
     fields = ", ".join(f"`{n}` {t}" for n, t in columns.items())
-    return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(run, f"path string, header map<string,string>, {fields}")
+    return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(run, f"path string, header map<string,string>, error string, {fields}")
 
 
 def read_image_pixels(spark: SparkSession, glob: str, rows_at_once: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(images, pixels): headers, and (path, plane, x, y, value) of the first unit with data; blanked pixels are null."""
+    """(images, pixels): headers, and (path, plane, x, y, value) of the first unit with data; blanked pixels are null. Planes, x and y count from 0."""
     files = spark.read.format("binaryFile").load(glob).select("path", "content")
 
     def first(raw: bytes) -> tuple[dict[str, str], bytes] | None:
@@ -113,7 +116,7 @@ def read_image_pixels(spark: SparkSession, glob: str, rows_at_once: int = 64) ->
                 nx, ny = int(header["NAXIS1"]), int(header.get("NAXIS2", 1))
                 cube = np.frombuffer(data, IMAGE_TYPES[int(header["BITPIX"])]).reshape(-1, ny, nx)
                 scale, zero = float(header.get("BSCALE", 1)), float(header.get("BZERO", 0))
-                for plane, image in enumerate(cube, 1):
+                for plane, image in enumerate(cube):
                     for y in range(0, ny, rows_at_once):
                         part = image[y : y + rows_at_once].astype(float) * scale + zero
                         ys, xs = np.mgrid[y : y + len(part), 0:nx]
@@ -122,6 +125,3 @@ def read_image_pixels(spark: SparkSession, glob: str, rows_at_once: int = 64) ->
 
     return files.mapInPandas(headers, "path string, header map<string,string>"), files.mapInPandas(values, "path string, plane int, x long, y long, value double")
 
-
-def nonempty(df: DataFrame) -> DataFrame:
-    return df.filter(F.size("header") > 0)

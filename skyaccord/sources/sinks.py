@@ -26,14 +26,20 @@ def match_metadata(left: DataFrame, right: DataFrame, radius_arcsec: float, mode
 
 
 def write_match(matches: DataFrame, metadata: DataFrame, path: str) -> None:
-    matches.write.mode("overwrite").parquet(f"{path}/matches")
+    """The matches from the closest pair on (ties by the left id), and the metadata."""
+    matches.orderBy("sep_arcsec", *[c for c in ("source_id_1",) if c in matches.columns]).write.mode("overwrite").parquet(f"{path}/matches")
     metadata.write.mode("overwrite").parquet(f"{path}/metadata")
 
 
+#: Columns by which written series are sorted, as far as a product has them.
+SERIES_ORDER = ("pol", "class", "spw", "scan", "ant", "base", "chan")
+
+
 def write_csv(products: dict[str, DataFrame], path: str) -> None:
-    """One CSV folder for each named product."""
+    """One CSV folder for each named product; visibility series are sorted by polarisation, then by scan, antenna, baseline or channel."""
     for name, df in products.items():
-        df.write.mode("overwrite").csv(f"{path}/{name}", header=True)
+        order = [c for c in SERIES_ORDER if c in df.columns]
+        (df.orderBy(*order) if order else df).write.mode("overwrite").csv(f"{path}/{name}", header=True)
 
 
 def write_regions(df: DataFrame, path: str) -> None:

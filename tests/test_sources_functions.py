@@ -15,12 +15,12 @@ def one(spark, column):
     return spark.range(1).select(column.alias("v")).first().v
 
 
-@pytest.mark.parametrize("text,hz", [("1420", 1.42e9), ("1.4 GHz", 1.4e9), ("900e3kHz", 9e8), ("5 Hz", 5.0), ("x", None), ("3 parsec", None), ("", None)])
+@pytest.mark.parametrize("text,hz", [("1420", 1.42e9), ("1.4 GHz", 1.4e9), ("900e3kHz", 9e8), ("5 Hz", 5.0), ("x", None), ("3 parsec", None), ("", None), ("+1420", 1.42e9), ("-5", -5e6), (".5", None), ("7.", None)])
 def test_parse_frequency(spark, text, hz):
     assert one(spark, headers.parse_frequency(F.lit(text))) == (pytest.approx(hz) if hz else None)
 
 
-@pytest.mark.parametrize("name,mhz", [("/a/x_900~1000MHz.fits", 950.0), ("b_1284MHz.fits", 1284.0), ("c_1420_x.fits", 1420.0), ("d_42_x.fits", None), ("e_7000_.fits", None)])
+@pytest.mark.parametrize("name,mhz", [("/a/x_900~1000MHz.fits", 950.0), ("b_1284MHz.fits", 1284.0), ("c_1420_x.fits", 1420.0), ("d_42_x.fits", None), ("e_7000_.fits", None), ("img-900-1284MHz.fits", 1284.0), ("c_1420.fits", None), ("1420_x.fits", None), ("f-1420.5_x.fits", 1420.0), ("g_7000_1420_.fits", None)])
 def test_frequency_from_name(spark, name, mhz):
     assert one(spark, headers.freq_from_name(F.lit(name))) == mhz
 
@@ -81,15 +81,53 @@ def test_fits_tables_and_images(spark, tmp_path):
     (tmp_path / "t" / "a.fits").write_bytes(table)
     (tmp_path / "t" / "broken.fits").write_bytes(b"junk" * 2000)
     got = fits.ingest_tables(spark, f"{tmp_path}/t/*.fits", {"source_id": "long", "ra": "double", "name": "string", "absent": "double"}).collect()
+    broken = [r for r in got if r.error is not None]
+    got = [r for r in got if r.error is None]
     assert [(r.source_id, r.ra, r.name, r.absent) for r in got] == [(k, k / 2, f"s{k}", None) for k in range(5)]
     assert got[0].header["TFIELDS"] == "3"
+    assert [(r.path.rsplit("/", 1)[1], r.header, r.source_id) for r in broken] == [("broken.fits", None, None)]
     image = np.arange(6, dtype=">f4").reshape(1, 2, 3)
     image[0, 1, 2] = np.nan
     (tmp_path / "i").mkdir()
     (tmp_path / "i" / "b.fits").write_bytes(unit(["SIMPLE  = T", "BITPIX  = -32", "NAXIS   = 3", "NAXIS1  = 3", "NAXIS2  = 2", "NAXIS3  = 1", "BMAJ    = 0.002 / beam", "OBJECT  = 'it''s'"], image.tobytes()))
     images, pixels = fits.read_image_pixels(spark, f"{tmp_path}/i/*.fits")
     assert images.first().header["OBJECT"] == "it's" and images.first().header["BMAJ"] == "0.002"
-    assert {(r.plane, r.x, r.y): r.value for r in pixels.collect()} == {(1, x, y): None if (x, y) == (2, 1) else float(3 * y + x) for x in range(3) for y in range(2)}
+    assert {(r.plane, r.x, r.y): r.value for r in pixels.collect()} == {(0, x, y): None if (x, y) == (2, 1) else float(3 * y + x) for x in range(3) for y in range(2)}
+
+
+def test_plane_numbers_of_the_reader_fit_the_statistics(spark, tmp_path):
+    """A cube of a mean image, a spectral index and two bands: statistics begin at the first band, with its frequency."""
+    cube = np.stack([np.full((2, 2), v) for v in (50, -0.7, 1, 2)]).astype(">f4")
+    cards = ["SIMPLE  = T", "BITPIX  = -32", "NAXIS   = 3", "NAXIS1  = 2", "NAXIS2  = 2", "NAXIS3  = 4", *[f"{k}{b:04d}= {1e9 + b * 1e8 + s}" for b in (1, 2) for k, s in (("FREL", 0), ("FREQ", 5e6), ("FREH", 1e7))]]
+    (tmp_path / "cube.fits").write_bytes(unit(cards, cube.tobytes()))
+    images, pixels = fits.read_image_pixels(spark, f"{tmp_path}/*.fits")
+    got = image.with_frequencies(image.plane_stats(pixels.withColumnRenamed("path", "image_id")), images.withColumnRenamed("path", "image_id")).orderBy("plane").collect()
+    assert [(r.plane, r.max, r.freq_hz) for r in got] == [(2, 1.0, 1.105e9), (3, 2.0, 1.205e9)]
+
+
+def test_written_tables_are_sorted(spark, tmp_path):
+    matches = spark.createDataFrame([(k, float((k * 7) % 10)) for k in range(10)], "source_id_1 int, sep_arcsec double").repartition(4)
+    sinks.write_match(matches, spark.createDataFrame([("a", "b")], "key string, value string"), f"{tmp_path}/m")
+    files = sorted((tmp_path / "m" / "matches").glob("part-*.parquet"))
+    assert [r.sep_arcsec for f in files for r in spark.read.parquet(str(f)).collect()] == [float(k) for k in range(10)]
+    series = spark.createDataFrame([(s, p, 1.0) for s in (3, 1, 2) for p in ("YY", "XX")], "scan int, pol string, mean double").repartition(3)
+    sinks.write_csv({"scan": series}, f"{tmp_path}/csv")
+    rows = [line for f in sorted((tmp_path / "csv" / "scan").glob("part-*.csv")) for line in f.read_text().splitlines() if not line.startswith("scan")]
+    assert rows == [f"{s},{p},1.0" for p in ("XX", "YY") for s in (1, 2, 3)]
+    (tmp_path / "stats").mkdir()
+    (tmp_path / "stats" / "run_a.csv").write_text("#mode,freqs\nc4k,1e9,1e9,5,1,2,3,4\n")
+    (tmp_path / "stats" / "other.csv").write_text("c4k,1e9,1e9,5,1,2,3,4\n")
+    assert [(r.mode, r.fd_sgm, r.file) for r in tables.read_channel_stats(spark, f"{tmp_path}/stats/*.csv", "run_").collect()] == [("c4k", 4.0, "run_a.csv")]
+    sources_in = spark.createDataFrame([(1, 10.0, -1.0, 2.0, 1.0, True)], "source_id long, ra double, dec double, total_flux double, peak_flux double, good boolean")
+    sinks.write_source_list(sources_in, f"{tmp_path}/list")
+    assert spark.read.csv(f"{tmp_path}/list", header=True).first().ra == "10.0"
+
+
+def test_offsets_take_the_short_way_round(spark):
+    east, _ = sky.offsets_flat(F.lit(359.9999), F.lit(0.0), F.lit(0.0001), F.lit(0.0))
+    assert one(spark, east) == pytest.approx(0.72)
+    east, _ = sky.offsets_mid(F.lit(0.0001), F.lit(0.0), F.lit(359.9999), F.lit(0.0))
+    assert one(spark, east) == pytest.approx(-0.72)
 
 
 def test_text_readers(spark, tmp_path):
