@@ -2,45 +2,83 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyaccord.operators.stats import MAD_SCALE, attach, quantile
+from skyaccord.functions.flux import even_poly
+from skyaccord.functions.headers import beam_arcsec, header_frequency, pixel_scale
+from skyaccord.lineage import stored
+from skyaccord.operators.stats import MAD_SCALE, attach, attach_left, exact_quantiles
 
 
-def image_qa(pixels: DataFrame, keys: Sequence[str] = ("image_id",), exact: bool = True) -> DataFrame:
+def image_qa(pixels: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Counts, extremes, mean, median, deviation, robust noise, percentiles and dynamic range for each image.
 
-    exact=False takes approximate percentiles, for images with very many different values. Without noise the dynamic range is infinite.
+    Percentiles are exact for images of any size. Pixels are stored once. Without noise the dynamic range is infinite.
     """
-    keys = list(keys)
+    keys, rows = list(keys), stored(pixels.select(*keys, F.col("value").cast("double").alias("value")))
     v = F.col("value")
-    main = pixels.groupBy(*keys).agg(
-        F.count("*").alias("n_total"), F.count(v).alias("n_finite"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
-        *[quantile(v, p / 100, exact).alias(n) for p, n in ((50, "median"), (5, "p5"), (95, "p95"), (99, "p99"))],
-    )
-    off = attach(pixels.filter(v.isNotNull()), main.select(*keys, F.col("median").alias("__m")), keys)
-    mad = off.groupBy(*keys).agg(quantile(F.abs(v - F.col("__m")), 0.5, exact).alias("mad"))
-    out = main.join(mad, keys, "left").withColumn("robust_rms", MAD_SCALE * F.col("mad"))
+    main = rows.groupBy(*keys).agg(F.count("*").alias("n_total"), F.count(v).alias("n_finite"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
+    ranks = stored(exact_quantiles(rows, "value", {"median": 0.5, "p5": 0.05, "p95": 0.95, "p99": 0.99}, keys, ready=True))
+    main = attach(main, ranks, keys)
+    off = attach(rows.filter(v.isNotNull()), ranks.select(*keys, "median"), keys).select(*keys, F.abs(v - F.col("median")).alias("d"))
+    mad = exact_quantiles(off, "d", {"mad": 0.5}, keys, ready=True)
+    out = attach_left(main, mad, keys).withColumn("robust_rms", MAD_SCALE * F.col("mad"))
     dynamic = F.when(F.col("robust_rms") > 0, F.col("max") / F.col("robust_rms")).when(F.col("robust_rms") == 0, F.lit(float("inf")))
     return out.withColumns({"n_blank": F.col("n_total") - F.col("n_finite"), "blank_frac": (F.col("n_total") - F.col("n_finite")) / F.col("n_total"), "dynamic_range": dynamic})
 
 
 def plane_stats(pixels: DataFrame, first: int = 2) -> DataFrame:
-    """(image_id, plane, n, max, min, mean, rms, sigma) for planes from `first` on; sigma is of the sample."""
+    """(image_id, plane, n, max, min, mean, rms, sigma) for planes from `first` on; sigma is of the sample.
+
+    Planes count from 0, as read_image_pixels numbers them: 0 is the mean image and 1 the spectral index, so bands begin at 2.
+    """
     v = F.col("value")
     return pixels.filter(F.col("plane") >= first).groupBy("image_id", "plane").agg(F.count(v).alias("n"), F.max(v).alias("max"), F.min(v).alias("min"), F.avg(v).alias("mean"), F.sqrt(F.avg(v * v)).alias("rms"), F.stddev_samp(v).alias("sigma"))
 
 
-def peak_and_rms(pixels: DataFrame) -> DataFrame:
-    """(image_id, peak, rms)."""
-    return pixels.groupBy("image_id").agg(F.max("value").alias("peak"), F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"))
+def plane_frequencies(images: DataFrame) -> DataFrame:
+    """(image_id, plane, freq_low, freq_hz, freq_high) of a cube's band planes from its header cards FREL, FREQ and FREH with the band's number; band n is plane n + 1."""
+    cards = images.select("image_id", F.explode("header").alias("card", "text")).filter(F.col("card").rlike(r"^FRE[LQH]\d{4}$"))
+    plane, kind = (F.substring("card", 5, 4).cast("int") + 1).alias("plane"), F.substring("card", 4, 1)
+    value = F.col("text").try_cast("double")
+    return cards.groupBy("image_id", plane).agg(*[F.max(F.when(kind == k, value)).alias(n) for k, n in (("L", "freq_low"), ("Q", "freq_hz"), ("H", "freq_high"))])
+
+
+def with_frequencies(stats: DataFrame, images: DataFrame) -> DataFrame:
+    """Plane statistics with the frequencies that the headers tell; null where they tell none."""
+    return stats.join(plane_frequencies(images), ["image_id", "plane"], "left")
+
+
+def peak_and_rms(pixels: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """(image_id, peak, rms), and freq_hz from the images' headers (image_id, header) where they are given."""
+    out = pixels.groupBy("image_id").agg(F.max("value").alias("peak"), F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"))
+    if images is None:
+        return out
+    return out.join(images.select("image_id", header_frequency(F.col("header")).alias("freq_hz")), "image_id", "left")
+
+
+def with_geometry(qa: DataFrame, images: DataFrame) -> DataFrame:
+    """Image statistics with pixel_scale (arcsec) and the beam (bmaj, bmin in arcsec, bpa) of the images' headers (image_id, header)."""
+    beam = beam_arcsec(F.col("header"))
+    return qa.join(images.select("image_id", pixel_scale(F.col("header")).alias("pixel_scale"), *[beam[k].alias(k) for k in ("bmaj", "bmin", "bpa")]), "image_id", "left")
+
+
+def even_poly_pattern(df: DataFrame, radius: str, c: float, out: str = "pattern", keys: Sequence[str] = ()) -> DataFrame:
+    """df with the even polynomial of a radius, divided by its maximum over each group."""
+    value = df.withColumn(out, even_poly(F.col(radius), c))
+    return attach(value, value.groupBy(*keys).agg(F.max(out).alias("__top")), list(keys)).withColumn(out, F.try_divide(out, "__top")).drop("__top")
+
+
+def _moments(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sigma"))
 
 
 def _classic(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sigma"), F.median("value").alias("median"))
+    """df must be cheap to read again: a stored table, filtered."""
+    return attach(_moments(df, keys), exact_quantiles(df, "value", {"median": 0.5}, keys, ready=True), keys)
 
 
 def robust_image_stats(pixels: DataFrame, rule: str, keys: Sequence[str] = ("image_id",), fence: float = 1.5, rounds: int = 3) -> DataFrame:
@@ -51,29 +89,33 @@ def robust_image_stats(pixels: DataFrame, rule: str, keys: Sequence[str] = ("ima
     mirror images. biweight: Tukey's weights around the median (the median stays that of all pixels).
     """
     keys, v = list(keys), F.col("value")
-    rows = pixels.filter(v.isNotNull())
+    rows = stored(pixels.filter(v.isNotNull()).select(*keys, v.cast("double").alias("value")))
     if rule == "classic":
         return _classic(rows, keys)
     if rule == "hinges-fences":
-        quartiles = rows.groupBy(*keys).agg(F.percentile("value", 0.25).alias("__a"), F.percentile("value", 0.75).alias("__b"))
+        quartiles = stored(exact_quantiles(rows, "value", {"__a": 0.25, "__b": 0.75}, keys, ready=True))
         reach = fence * (F.col("__b") - F.col("__a"))
         return _classic(attach(rows, quartiles, keys).filter(v.between(F.col("__a") - reach, F.col("__b") + reach)), keys)
     if rule == "chauvenet":
+        # Every round is one stored row of limits for each group; the pixels themselves are filtered by the limits so far.
+        base, limits = rows, None
         for _ in range(rounds):
-            limits = _classic(rows, keys).select(*keys, F.col("mean").alias("__m"), F.col("sigma").alias("__s"), F.col("n").alias("__n"))
+            now = _moments(rows, keys).select(*keys, F.col("mean").alias("__m"), F.col("sigma").alias("__s"), F.col("n").alias("__n"))
             # The two-sided normal deviate of probability 1 / (2 n), by a rational approximation of its tail.
             t = F.sqrt(-2 * F.log(1 / (4 * F.col("__n"))))
             z = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
-            keep = F.coalesce(F.abs(v - F.col("__m")) <= z * F.col("__s"), F.lit(True))
-            rows = attach(rows, limits, keys).filter(keep).drop("__m", "__s", "__n")
+            now = now.select(*keys, F.array(F.struct(F.col("__m").alias("m"), (z * F.col("__s")).alias("reach"))).alias("__now"))
+            every = now if limits is None else attach(limits, now, keys)
+            limits = stored(every.select(*keys, (F.col("__now") if limits is None else F.concat("__limits", "__now")).alias("__limits")))
+            rows = attach(base, limits, keys).filter(F.forall("__limits", lambda x: F.coalesce(F.abs(v - x["m"]) <= x["reach"], F.lit(True)))).drop("__limits")
         return _classic(rows, keys)
     if rule == "fit-half":
         low = rows.filter(v <= 0)
         return _classic(low.unionByName(low.withColumn("value", -v)), keys)
     if rule == "biweight":
-        centre = rows.groupBy(*keys).agg(F.median("value").alias("__m"))
+        centre = stored(exact_quantiles(rows, "value", {"__m": 0.5}, keys, ready=True))
         off = attach(rows, centre, keys).withColumn("__d", v - F.col("__m"))
-        scale = off.groupBy(*keys).agg(F.median(F.abs("__d")).alias("__s"))
+        scale = stored(exact_quantiles(off.select(*keys, F.abs("__d").alias("__e")), "__e", {"__s": 0.5}, keys, ready=True))
         u = F.col("__d") / (6 * F.col("__s"))
         near = attach(off, scale, keys).withColumn("__u", u).withColumn("__w", F.when(F.abs("__u") < 1, F.pow(1 - F.col("__u") * F.col("__u"), 2)).otherwise(0.0))
         d, w, q = F.col("__d"), F.col("__w"), 1 - F.col("__u") * F.col("__u")
@@ -89,6 +131,11 @@ def mode_stats(stats: DataFrame, mode: str = "mode", values: Sequence[str] = ("r
     return stats.groupBy(mode).agg(*[f for v in values for f in (F.avg(v).alias(f"avg_{v}"), F.stddev_pop(v).alias(f"std_{v}"))])
 
 
+def plane_roles(spark: SparkSession, roles: Mapping[str, int]) -> DataFrame:
+    """(role, plane) from a mapping."""
+    return spark.createDataFrame(list(roles.items()), "role string, plane int")
+
+
 def select_planes(pixels: DataFrame, roles: DataFrame) -> DataFrame:
     """Pixels of the planes that a role table (role, plane) names; a negative plane counts from the last of its image."""
     last = pixels.groupBy("image_id").agg((F.max("plane") + 1).alias("__n"))

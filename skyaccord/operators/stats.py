@@ -2,67 +2,116 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyaccord.lineage import stored
+
 MAD_SCALE = 1.4826
+#: A sketch's ranks are wrong by at most one in this many.
+ACCURACY = 10_000
 
 
-def attach(df: DataFrame, per_group: DataFrame, keys: Sequence[str]) -> DataFrame:
+def attach(df: DataFrame, per_group: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Group values on every row of their group; without keys there is one row of values, which is broadcast."""
     if not keys:
-        return df.withColumn("__one", F.lit(0)).join(F.broadcast(per_group.withColumn("__one", F.lit(0))), "__one").drop("__one")
+        return df.withColumn("__one", F.lit(0)).join(F.broadcast(per_group.withColumn("__one", F.lit(0))), "__one", how).drop("__one")
     renamed = per_group.select([F.col(c).alias(f"__k_{c}") if c in keys else F.col(c) for c in per_group.columns])
     on = [F.col(f"`{k}`").eqNullSafe(F.col(f"__k_{k}")) for k in keys]
-    return df.join(renamed, on).drop(*[f"__k_{k}" for k in keys])
+    return df.join(renamed, on, how).drop(*[f"__k_{k}" for k in keys])
+
+
+def attach_left(df: DataFrame, per_group: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Like attach, and rows of groups without values keep nulls."""
+    return attach(df, per_group, keys, "left")
+
 
+def exact_quantiles(df: DataFrame, value: str, ps: Mapping[str, float], keys: Sequence[str] = (), ready: bool = False) -> DataFrame:
+    """(keys, a column for each name in ps): interpolated quantiles, exact for groups of any size.
 
-def quantile(value: Column | str, p: float, exact: bool = True) -> Column:
-    """Interpolated, or approximate (for groups of very many different values)."""
-    return F.percentile(value, p) if exact else F.percentile_approx(value, p, 10_000)
+    No task holds a group. A mergeable sketch brackets every wanted rank; one pass counts what lies below each bracket
+    and finds the neighbours on either side; only the values inside (about 6 in 10,000 for each quantile), reduced to
+    distinct values with counts, are ordered. Groups without a value have null quantiles. df is stored once, as it is
+    read three times; `ready` says that it is a stored table already.
+    """
+    keys, names = list(keys), list(ps)
+    narrow = df.select(*keys, F.col(value).cast("double").alias("__v"))
+    rows = narrow if ready else stored(narrow)
+    grid = [min(max(ps[n] + side * 3 / ACCURACY, 0.0), 1.0) for n in names for side in (-1, 1)]
+    sketch = rows.groupBy(*keys).agg(F.count("__v").alias("__n"), F.percentile_approx("__v", grid, ACCURACY).alias("__b"))
+    brackets = [F.struct(F.lit(n).alias("name"), F.lit(ps[n]).alias("p"), F.col("__b")[2 * k].alias("low"), F.col("__b")[2 * k + 1].alias("high")) for k, n in enumerate(names)]
+    wanted = stored(sketch.select(*keys, "__n", F.array(*brackets).alias("__w")))
+    known = attach(rows.filter("__v IS NOT NULL"), wanted.select(*keys, "__w"), keys)
+    low, high = (lambda k: F.col("__w")[k]["low"]), (lambda k: F.col("__w")[k]["high"])
+    sides = [F.array(*[f(k) for k in range(len(names))]).alias(c) for f, c in (
+        (lambda k: F.count_if(F.col("__v") < low(k)), "__below"), (lambda k: F.max(F.when(F.col("__v") < low(k), F.col("__v"))), "__prev"), (lambda k: F.min(F.when(F.col("__v") > high(k), F.col("__v"))), "__next"),
+    )]
+    around = known.groupBy(*keys).agg(*sides)
+    each = attach(wanted, around, keys).select(*keys, "__n", F.posexplode("__w").alias("__k", "w"), "__below", "__prev", "__next")
+    each = each.select(*keys, "__n", "w.name", F.col("w.p").alias("p"), F.col("__below")[F.col("__k")].alias("__below"), F.col("__prev")[F.col("__k")].alias("__prev"), F.col("__next")[F.col("__k")].alias("__next"))
+    inside = known.select(*keys, "__v", F.explode(F.filter("__w", lambda w: F.col("__v").between(w["low"], w["high"]))).alias("w")).groupBy(*keys, F.col("w.name").alias("name"), "__v").agg(F.count("*").alias("__c"))
+    order = Window.partitionBy(*keys, "name").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = attach(inside.withColumn("__upto", F.sum("__c").over(order)), each, [*keys, "name"])
+    at = F.col("p") * (F.col("__n") - 1)
+    # Ranks before, in and after the bracket; a value of count c holds the ranks [upto - c, upto).
+    end = F.col("__below") + F.col("__upto")
+
+    def pick(rank: Column) -> Column:
+        here = F.max(F.when((rank < end) & (rank >= end - F.col("__c")), F.col("__v")))
+        return F.coalesce(here, F.max(F.when(rank == F.col("__below") - 1, F.col("__prev"))), F.max(F.when(rank >= F.col("__below"), F.col("__next"))))
+
+    found = upto.groupBy(*keys, "name").agg(pick(F.floor(at)).alias("__a"), pick(F.ceil(at)).alias("__b"), F.max(at - F.floor(at)).alias("__f"))
+    found = found.select(*keys, "name", F.when(F.col("__f") == 0, F.col("__a")).otherwise(F.col("__a") * (1 - F.col("__f")) + F.col("__b") * F.col("__f")).alias("__q"))
+    wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("__q"))).alias(n) for n in names])
+    if not keys:
+        return wide
+    return wanted.select(*keys).join(wide.select(*[F.col(f"`{k}`").alias(f"__k_{k}") for k in keys], *names), [F.col(f"`{k}`").eqNullSafe(F.col(f"__k_{k}")) for k in keys], "left").drop(*[f"__k_{k}" for k in keys])
 
 
-def mad(df: DataFrame, value: str, keys: Sequence[str] = (), exact: bool = True) -> DataFrame:
-    """(keys, n, median, nmad): nmad is 1.4826 times the median absolute deviation."""
+def mad(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, n, median, nmad): nmad is 1.4826 times the median absolute deviation. Groups without a value have none of these."""
     keys = list(keys)
-    known = df.select(*keys, F.col(value).alias("__v")).filter("__v IS NOT NULL")
-    medians = known.groupBy(*keys).agg(quantile("__v", 0.5, exact).alias("median"))
-    off = attach(known, medians, keys).withColumn("__d", F.abs(F.col("__v") - F.col("median")))
-    return off.groupBy(*keys).agg(F.count("*").alias("n"), F.first("median").alias("median"), (MAD_SCALE * quantile("__d", 0.5, exact)).alias("nmad"))
+    known = stored(df.select(*keys, F.col(value).cast("double").alias("v")).filter("v IS NOT NULL"))
+    middle = stored(attach(known.groupBy(*keys).agg(F.count("v").alias("n")), exact_quantiles(known, "v", {"median": 0.5}, keys, ready=True), keys))
+    off = attach(known, middle.select(*keys, "median"), keys).select(*keys, F.abs(F.col("v") - F.col("median")).alias("d"))
+    spread = exact_quantiles(off, "d", {"nmad": 0.5}, keys, ready=True)
+    return attach(middle, spread.withColumn("nmad", MAD_SCALE * F.col("nmad")), keys)
 
 
 def mad_inlier(df: DataFrame, value: str, keys: Sequence[str] = (), z: float = 4.0, out: str = "inlier") -> DataFrame:
     """A boolean column: within z robust sigma of the median.
 
     Sigma is the nmad, the standard deviation where that is at most 1e-9, and all pass where both are. Null values fail.
+    df is stored once.
     """
-    keys = list(keys)
-    scale = mad(df, value, keys).select(*keys, F.col("median").alias("__m"), F.col("nmad").alias("__s"))
-    spread = df.groupBy(*keys).agg(F.stddev_pop(value).alias("__sd"))
-    rows = attach(attach(df, spread, keys), scale, keys) if keys else attach(attach(df, spread, ()), scale, ())
+    keys, rows = list(keys), stored(df)
+    scale = mad(rows, value, keys).select(*keys, F.col("median").alias("__m"), F.col("nmad").alias("__s"))
+    spread = rows.groupBy(*keys).agg(F.stddev_pop(value).alias("__sd"))
+    limits = stored(attach_left(spread, scale, keys))
     sigma = F.when(F.col("__s") > 1e-9, F.col("__s")).otherwise(F.col("__sd"))
     ok = F.when(sigma > 1e-9, F.abs(F.col(value) - F.col("__m")) / sigma <= z).otherwise(F.col(value).isNotNull())
-    return rows.withColumn(out, F.coalesce(ok, F.lit(False))).drop("__m", "__s", "__sd")
+    return attach(rows, limits, keys).withColumn(out, F.coalesce(ok, F.lit(False))).drop("__m", "__s", "__sd")
 
 
 def frac_summary(df: DataFrame, frac: str, ratio: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Counts, mean, standard deviation, median and 16/84 percentiles of frac; count, median and nmad of ratio."""
+    """Counts, mean, standard deviation, median and 16/84 percentiles of frac; count, median and nmad of ratio. df's columns are stored once."""
     keys = list(keys)
-    main = df.groupBy(*keys).agg(
-        F.count(frac).alias("n_frac"), F.avg(frac).alias("mean_frac"), F.stddev_pop(frac).alias("std_frac"),
-        quantile(frac, 0.5).alias("median_frac"), quantile(frac, 0.16).alias("p16_frac"), quantile(frac, 0.84).alias("p84_frac"),
-    )
-    robust = mad(df, ratio, keys).select(*keys, F.col("n").alias("n_ratio"), F.col("median").alias("median_ratio"), F.col("nmad").alias("nmad_ratio"))
-    return attach(main, robust, keys)
+    rows = stored(df.select(*keys, F.col(frac).alias("frac"), F.col(ratio).alias("ratio")))
+    main = rows.groupBy(*keys).agg(F.count("frac").alias("n_frac"), F.avg("frac").alias("mean_frac"), F.stddev_pop("frac").alias("std_frac"))
+    ranks = exact_quantiles(rows, "frac", {"median_frac": 0.5, "p16_frac": 0.16, "p84_frac": 0.84}, keys, ready=True)
+    robust = mad(rows, "ratio", keys).select(*keys, F.col("n").alias("n_ratio"), F.col("median").alias("median_ratio"), F.col("nmad").alias("nmad_ratio"))
+    out = attach_left(attach(main, ranks, keys), robust, keys)
+    return out.withColumn("n_ratio", F.coalesce("n_ratio", F.lit(0)))
 
 
 def offset_stats(df: DataFrame, quantities: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, quantity, n, mean, std, median, p16, p84), a row for each of the columns."""
-    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(q).alias("quantity"), F.col(q).cast("double").alias("v")) for q in quantities])).alias("x")).select(*keys, "x.*")
-    return long.groupBy(*keys, "quantity").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), quantile("v", 0.5).alias("median"), quantile("v", 0.16).alias("p16"), quantile("v", 0.84).alias("p84"))
+    """(keys, quantity, n, mean, std, median, p16, p84), a row for each of the columns. They are stored once, in long form."""
+    long = stored(df.select(*keys, F.explode(F.array(*[F.struct(F.lit(q).alias("quantity"), F.col(q).cast("double").alias("v")) for q in quantities])).alias("x")).select(*keys, "x.*"))
+    groups = [*keys, "quantity"]
+    main = long.groupBy(*groups).agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    return attach(main, exact_quantiles(long, "v", {"median": 0.5, "p16": 0.16, "p84": 0.84}, groups, ready=True), groups)
 
 
 def circular_stats(df: DataFrame, theta: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -108,7 +157,3 @@ def axis_limits(df: DataFrame, x: str, y: str) -> DataFrame:
     biggest = F.greatest(F.max(F.abs(F.col(x))), F.max(F.abs(F.col(y))))
     return df.agg(F.coalesce(F.when(biggest > 0, 1.05 * biggest), F.lit(1.0)).alias("limit"))
 
-
-def rayleigh_limit(n: int, p: float = 0.01) -> float:
-    """The resultant length that random angles exceed with probability p, to first order."""
-    return math.sqrt(-math.log(p) / n)
