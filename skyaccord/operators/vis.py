@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyaccord.operators.clean import first_present
+from skyaccord.operators.stats import attach, exact_quantiles
 
 PARALLEL, CROSSED = ("XX", "YY", "LL", "RR"), ("XY", "YX", "LR", "RL")
 #: Correlation codes and their labels (fixed values).
@@ -65,99 +67,139 @@ def load_visibilities(main: DataFrame, data_description: DataFrame, polarization
 
 
 def smoothing_window(n: int, window: int = 51, order: int = 3) -> int | None:
-    """The odd window for n channels; None where a polynomial of this order needs more channels than there are."""
-    if window < max(order + 2, 5):
+    """The largest odd window of at most `window` channels (an even one counts as the next odd) among n; None where a polynomial of this order does not fit in."""
+    least = max(5, order + 2)
+    if window < least or n < least:
         return None
-    w = max(5, min(window, n - (n % 2 == 0)))
-    w = w if w >= order + 2 else order + 3
-    w += w % 2 == 0
-    return w if w <= n else None
+    widest = min(window | 1, n if n % 2 else n - 1)
+    return next((w for w in (widest, least | 1) if least <= w <= n), None)
 
 
-def smoothing_matrix(n: int, window: int, order: int) -> np.ndarray:
-    """Local polynomial smoothing as a matrix: the inside by centred windows, the edges by the first and last window's polynomial."""
-    half, order = window // 2, min(order, window - 2)
-    t = np.arange(window) - half
-    design = np.vander(t, order + 1, increasing=True).astype(float)
-    project = design @ np.linalg.pinv(design)  # fitted values at every place of a window
-    s = np.zeros((n, n))
-    for i in range(n):
-        start = min(max(i - half, 0), n - window)
-        s[i, start : start + window] = project[i - start]
-    return s
+def smoothing_weights(window: int, order: int) -> np.ndarray:
+    """Row i: the weights of a window's channels in the value at place i of the polynomial fitted to them."""
+    t = np.arange(window) - window // 2
+    design = np.vander(t, min(order, window - 2) + 1, increasing=True).astype(float)
+    return design @ np.linalg.pinv(design)
+
+
+def smooth(block: np.ndarray, window: int, order: int) -> np.ndarray:
+    """Local polynomial trends of spectra (a row each): centred windows inside, the first and last window's polynomial at the edges.
+
+    Work and memory are linear in the channels.
+    """
+    weights, n, half = smoothing_weights(window, order), block.shape[1], window // 2
+    trend = np.zeros_like(block)
+    inside = trend[:, half : n - half]
+    for k in range(window):
+        inside += weights[half, k] * block[:, k : k + n - window + 1]
+    trend[:, :half] = block[:, :window] @ weights[:half].T
+    trend[:, n - half :] = block[:, n - window :] @ weights[half + 1 :].T
+    return trend
+
+
+def residual_of(block: np.ndarray, window: int, order: int) -> np.ndarray:
+    """Spectra less their trend; less the median of the present channels where one is missing (NaN) or they are too few for a window."""
+    w, out = smoothing_window(block.shape[1], window, order), np.full_like(block, np.nan)
+    missing = np.isnan(block)
+    fit = ~missing.any(axis=1) if w else np.zeros(len(block), bool)
+    if fit.any():
+        out[fit] = block[fit] - smooth(block[fit], w, order)
+    rest = ~fit & ~missing.all(axis=1)
+    if rest.any():
+        out[rest] = block[rest] - np.nanmedian(block[rest], axis=1, keepdims=True)
+    return out
+
+
+def _by_length(spectra: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, matrix) of the known spectra of each length; null channels are NaN."""
+    length = pc.list_value_length(spectra).fill_null(-1).to_numpy(zero_copy_only=False)
+    start = spectra.offsets.to_numpy()[:-1]
+    values = spectra.values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    for n in np.unique(length[length >= 0]):
+        at = np.flatnonzero(length == n)
+        yield at, values[start[at][:, None] + np.arange(n)]
 
 
 def detrend(df: DataFrame, amp: str = "amp", window: int = 51, order: int = 3, out: str = "residual") -> DataFrame:
-    """df with an array column: amplitudes less their smooth trend (less their median where a spectrum is too short).
+    """df with an array column: amplitudes less their smooth trend.
 
-    The smoother is linear, so each batch is one matrix product for each spectrum length. Null spectra, and
-    spectra that hold nulls, have a null residual.
+    Spectra with missing channels (null or NaN) and spectra too short for a window lose the median of their present
+    channels instead; missing channels stay null. Null spectra have a null residual.
     """
-    columns = df.columns
-
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matrices: dict[int, np.ndarray | None] = {}
-        for frame in frames:
-            result: list = [None] * len(frame)
-            groups: dict[int, list[int]] = {}
-            spectra = [None if a is None else np.asarray(a, float) for a in frame[amp]]
-            for i, a in enumerate(spectra):
-                if a is not None and not np.isnan(a).any():
-                    groups.setdefault(len(a), []).append(i)
-            for n, members in groups.items():
-                if n not in matrices:
-                    w = smoothing_window(n, window, order)
-                    matrices[n] = None if w is None else np.eye(n) - smoothing_matrix(n, w, order)
-                block = np.stack([spectra[i] for i in members]) if n else np.empty((len(members), 0))
-                m = matrices[n]
-                done = block @ m.T if m is not None else block - (np.median(block, axis=1, keepdims=True) if n else 0)
-                for i, r in zip(members, done):
-                    result[i] = r.tolist()
-            yield frame.assign(**{out: result})
-
-    fields = ", ".join(f"`{c}` {k}" for c, k in df.dtypes if c != out)
-    return df.select(*[f"`{c}`" for c in columns if c != out]).mapInPandas(run, f"{fields}, `{out}` array<double>")
-
-
-def _mean(values: Column) -> Column:
-    """Mean of an array without its nulls."""
-    known = F.filter(values, lambda v: v.isNotNull() & ~F.isnan(v))
-    total = F.aggregate(known, F.lit(0.0), lambda a, v: a + v)
-    return F.when(F.size(known) > 0, total / F.size(known))
+
+    @F.arrow_udf("array<double>")
+    def run(spectra: pa.Array) -> pa.Array:
+        result: list = [None] * len(spectra)
+        for at, block in _by_length(spectra):
+            rest = residual_of(block, window, order) if block.shape[1] else block
+            for i, r in zip(at, rest):
+                result[i] = pa.array(r, from_pandas=True)
+        return pa.array([r if r is None else r.tolist() for r in result], pa.list_(pa.float64()))
+
+    return df.withColumn(out, run(F.col(f"`{amp}`").cast("array<double>")))
 
 
 def row_amp_stats(df: DataFrame, amp: str = "amp", flag: str | None = "flag", window: int = 51, order: int = 3, exclude_flagged: bool = False) -> DataFrame:
-    """df with mean, rms (of the detrended spectrum, about its mean) and flag_frac for each row.
+    """df with mean, rms (of the detrended spectrum, about its mean) and, with flags, flag_frac for each row, in one pass over the arrays.
 
-    Flagged samples count like others unless exclude_flagged leaves them out of mean and rms.
+    Missing channels (null or NaN) are skipped. Flagged samples count like others unless exclude_flagged leaves
+    them out of mean and rms; the trend is that of all channels. Without a present channel mean and rms are null.
     """
-    rows = detrend(df, amp, window, order)
-    values, rest = F.col(amp).cast("array<double>"), F.col("residual")
-    if exclude_flagged and flag:
-        values = F.transform(F.arrays_zip(values.alias("v"), F.col(flag).alias("f")), lambda s: F.when(~s["f"], s["v"]))
-        rest = F.transform(F.arrays_zip(rest.alias("v"), F.col(flag).alias("f")), lambda s: F.when(~s["f"], s["v"]))
-    centre = _mean(rest)
-    spread = F.sqrt(_mean(F.transform(rest, lambda v: (v - centre) * (v - centre))))
-    out = rows.withColumns({"mean": _mean(values), "rms": spread})
+
+    @F.arrow_udf("struct<mean: double, rms: double>")
+    def run(spectra: pa.Array, flags: pa.Array) -> pa.Array:
+        mean, rms = np.full(len(spectra), np.nan), np.full(len(spectra), np.nan)
+        for at, block in _by_length(spectra):
+            rest = residual_of(block, window, order) if block.shape[1] else block
+            keep = ~np.isnan(rest)
+            if exclude_flagged and flag:
+                keep &= ~np.stack([_fitted(flags[int(i)].as_py(), block.shape[1]) for i in at])
+            n = keep.sum(axis=1)
+            some = n > 0
+            at, block, rest, keep, n = at[some], np.where(keep, block, 0)[some], np.where(keep, rest, 0)[some], keep[some], n[some]
+            mean[at] = block.sum(axis=1) / n
+            middle = rest.sum(axis=1) / n
+            rms[at] = np.sqrt((np.where(keep, rest - middle[:, None], 0) ** 2).sum(axis=1) / n)
+        return pa.StructArray.from_arrays([pa.array(mean, from_pandas=True), pa.array(rms, from_pandas=True)], ["mean", "rms"])
+
+    flags = F.col(f"`{flag}`") if flag else F.lit(None)
+    both = run(F.col(f"`{amp}`").cast("array<double>"), flags.cast("array<boolean>"))
+    out = df.withColumn("__stats", both).withColumns({"mean": F.col("__stats.mean"), "rms": F.col("__stats.rms")}).drop("__stats")
     if flag:
         share = F.size(F.filter(flag, lambda f: f)) / F.size(flag)
         out = out.withColumn("flag_frac", F.when(F.size(flag) > 0, share))
-    return out.drop("residual")
+    return out
+
+
+def _fitted(flags: list[bool | None] | None, n: int) -> np.ndarray:
+    """Flags of n channels; a missing flag is none."""
+    got = np.zeros(n, bool)
+    known = [bool(f) for f in (flags or [])[:n]]
+    got[: len(known)] = known
+    return got
+
+
+def _medians(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, mean, rms, flag_frac): medians of the first two, the mean of the third where the rows have it."""
+    long = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).cast("double").alias("v")) for c in ("mean", "rms")])).alias("x")).select(*keys, "x.*")
+    middle = exact_quantiles(long, "v", {"v": 0.5}, [*keys, "what"])
+    wide = [F.max(F.when(F.col("what") == c, F.col("v"))).alias(c) for c in ("mean", "rms")]
+    out = middle.groupBy(*keys).agg(*wide)
+    return attach(rows.groupBy(*keys).agg(F.avg("flag_frac").alias("flag_frac")), out, keys).select(*keys, "mean", "rms", "flag_frac") if "flag_frac" in rows.columns else out
 
 
 def by_scan(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("scan", "pol").agg(F.median("mean").alias("mean"), F.median("rms").alias("rms"), F.avg("flag_frac").alias("flag_frac"))
+    return _medians(rows, ["scan", "pol"])
 
 
 def by_antenna(rows: DataFrame) -> DataFrame:
     """Each baseline counts for both of its antennas (an autocorrelation twice)."""
-    each = rows.select(F.explode(F.array("ant1", "ant2")).alias("ant"), "pol", "mean", "rms", "flag_frac")
-    return each.groupBy("ant", "pol").agg(F.median("mean").alias("mean"), F.median("rms").alias("rms"), F.avg("flag_frac").alias("flag_frac"))
+    return _medians(rows.select(F.explode(F.array("ant1", "ant2")).alias("ant"), "pol", "mean", "rms", "flag_frac"), ["ant", "pol"])
 
 
 def by_baseline(rows: DataFrame) -> DataFrame:
     base = F.concat_ws("-", F.col("ant1").cast("string"), F.col("ant2").cast("string"))
-    return rows.groupBy(base.alias("base"), "pol").agg(F.median("mean").alias("mean"), F.median("rms").alias("rms"))
+    return _medians(rows.select(base.alias("base"), "pol", "mean", "rms"), ["base", "pol"])
 
 
 def explode_flags(df: DataFrame, low: int = 0) -> DataFrame:
@@ -186,13 +228,14 @@ def compare_scan_medians(test: DataFrame, ref: DataFrame) -> DataFrame:
     """(scan, pol, mean_test, mean_ref, rms_test, rms_ref), also scans that only one side has."""
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("scan", "pol").agg(F.median("mean").alias(f"mean_{name}"), F.median("rms").alias(f"rms_{name}"))
+        return _medians(df.select("scan", "pol", "mean", "rms"), ["scan", "pol"]).withColumnsRenamed({"mean": f"mean_{name}", "rms": f"rms_{name}"})
 
     return side(test, "test").join(side(ref, "ref"), ["scan", "pol"], "full_outer")
 
 
 def scans_for_field(main: DataFrame, field: DataFrame, wanted: str | None) -> DataFrame:
-    return select_field(main, field, wanted).select("scan").distinct()
+    """(scan), each once, in order."""
+    return select_field(main, field, wanted).select("scan").distinct().orderBy("scan")
 
 
 def selection_count(main: DataFrame, scans: DataFrame) -> DataFrame:
@@ -228,8 +271,14 @@ def decide_bands(spw: DataFrame, bands: DataFrame) -> DataFrame:
 
 
 def choose_refant(rows: DataFrame) -> DataFrame:
-    """(ant, mean, rms): of the antennas whose amplitude is above the median of antennas, the one with the least noise."""
-    each = rows.select(F.explode(F.array("ant1", "ant2")).alias("ant"), "mean", "rms").groupBy("ant").agg(F.avg("mean").alias("mean"), F.avg("rms").alias("rms"))
-    middle = each.agg(F.median("mean").alias("m")).withColumn("k", F.lit(0))
-    above = each.withColumn("k", F.lit(0)).join(F.broadcast(middle), "k").filter(F.col("mean") > F.col("m"))
-    return above.select("ant", "mean", "rms").orderBy("rms", "ant").limit(1)
+    """(ant, mean, rms): of the antennas whose median amplitude is above the median of antennas, the one with the least noise (ties: the least antenna)."""
+    each = rows.select(F.explode(F.array("ant1", "ant2")).alias("ant"), "mean", "rms")
+    typical = exact_quantiles(each, "mean", {"mean": 0.5}, ["ant"]).join(each.groupBy("ant").agg(F.avg("rms").alias("rms")), "ant")
+    middle = typical.agg(F.median("mean").alias("m"))  # one row for each antenna comes in
+    return attach(typical, middle, ()).filter(F.col("mean") > F.col("m")).select("ant", "mean", "rms").orderBy("rms", "ant").limit(1)
+
+
+def calibration_channels(spw: DataFrame) -> DataFrame:
+    """(spw, first, last): the middle channels, from 20 to 80 percent of each window's number of channels."""
+    n = F.size("chan_freq")
+    return spw.select("spw", F.floor(0.2 * n).cast("int").alias("first"), F.floor(0.8 * n).cast("int").alias("last"))

@@ -50,6 +50,13 @@ def test_huber_equals_numpy(points):
     assert rows.count() == 120 and rows.filter("inlier").count() < 115
 
 
+def test_large_groups_get_the_same_robust_line(points, monkeypatch):
+    few = {r.part: r for r in fit.huber_fit(points, "x", "y", "ey", ["part"], max_iter=3)[0].collect()}
+    monkeypatch.setattr(fit, "MEDIAN_ROWS", 10)
+    for r in fit.huber_fit(points, "x", "y", "ey", ["part"], max_iter=3)[0].collect():
+        assert tuple(r) == pytest.approx(tuple(few[r.part]), rel=1e-9)
+
+
 def test_huber_recovers_an_exact_line(spark):
     df = spark.createDataFrame([(float(k), 2.0 * k - 1) for k in range(9)], "x double, y double")
     fits, rows = fit.huber_fit(df, "x", "y")
@@ -141,10 +148,9 @@ def test_histogram_and_ellipse(spark):
 
 def test_smoothing_reproduces_cubics(spark):
     n = 64
-    m = vis.smoothing_matrix(n, 51, 3)
     t = np.linspace(-1, 1, n)
     for cubic in (t**3, 1 + t - 2 * t**2):
-        assert np.allclose(m @ cubic, cubic)
+        assert np.allclose(vis.smooth(cubic[None], 51, 3)[0], cubic)
     df = spark.createDataFrame([(1, (t**3).tolist()), (2, [1.0, 2.0, 9.0]), (3, None), (4, [])], "row_id int, amp array<double>")
     got = {r.row_id: r.residual for r in vis.detrend(df).collect()}
     assert np.allclose(got[1], 0, atol=1e-9) and got[2] == [-1.0, 0.0, 7.0] and got[3] is None and got[4] == []
@@ -155,11 +161,68 @@ def test_row_statistics(spark):
     amp = rng.normal(5, 1, 64)
     df = spark.createDataFrame([(1, amp.tolist(), [k % 4 == 0 for k in range(64)])], "row_id int, amp array<double>, flag array<boolean>")
     got = vis.row_amp_stats(df).first()
-    rest = amp - vis.smoothing_matrix(64, 51, 3) @ amp
+    rest = amp - vis.smooth(amp[None], 51, 3)[0]
     assert (got.mean, got.rms, got.flag_frac) == pytest.approx((amp.mean(), rest.std(), 0.25))
     assert vis.row_amp_stats(df, exclude_flagged=True).first().mean == pytest.approx(amp[np.arange(64) % 4 != 0].mean())
 
 
+def test_smoothing_equals_a_polynomial_fitted_to_each_window():
+    rng = np.random.default_rng(5)
+    for n, window, order in ((64, 51, 3), (30, 51, 3), (9, 5, 2), (200, 11, 4)):
+        a, w = rng.normal(size=n), vis.smoothing_window(n, window, order)
+        got = vis.smooth(a[None], w, order)[0]
+        for i in range(n):
+            start = min(max(i - w // 2, 0), n - w)
+            fit = np.polyfit(np.arange(start, start + w), a[start : start + w], order)
+            assert got[i] == pytest.approx(np.polyval(fit, i), abs=1e-6)
+    assert [vis.smoothing_window(n) for n in (4, 5, 6, 50, 51, 4096)] == [None, 5, 5, 49, 51, 51]
+
+
+def test_missing_channels_lose_the_median_and_rows_stay_linear_in_channels(spark):
+    rows = [(1, [1.0, None, 5.0, float("nan"), 3.0], [True, False, False, False, False]), (2, [None, None], [None, True]), (3, [float(k % 7) for k in range(4096)], None)]
+    df = spark.createDataFrame(rows, "row_id int, amp array<double>, flag array<boolean>")
+    assert {r.row_id: r.residual for r in vis.detrend(df.filter("row_id < 3")).collect()} == {1: [-2.0, None, 2.0, None, 0.0], 2: [None, None]}
+    got = {r.row_id: r for r in vis.row_amp_stats(df).collect()}
+    assert (got[1].mean, got[1].rms, got[1].flag_frac) == (pytest.approx(3.0), pytest.approx(np.std([-2, 2, 0])), pytest.approx(0.2))
+    assert (got[2].mean, got[2].rms, got[2].flag_frac) == (None, None, pytest.approx(0.5))
+    a = np.arange(4096.0) % 7
+    assert got[3].rms == pytest.approx((a - vis.smooth(a[None], 51, 3)[0]).std()) and got[3].flag_frac is None
+    assert vis.row_amp_stats(df, exclude_flagged=True).filter("row_id = 1").first().mean == pytest.approx(4.0)
+    import time
+
+    block = np.random.default_rng(0).normal(size=(200, 4096))
+    began = time.perf_counter()
+    vis.residual_of(block, 51, 3)
+    assert time.perf_counter() - began < 2.0
+
+
+def test_quantiles_of_any_group_equal_numpy(spark):
+    rng = np.random.default_rng(6)
+    rows = [(g, float(x)) for g, n in (("a", 1), ("b", 2), ("c", 7), ("d", 900), ("e", 30_000), (None, 33)) for x in (np.round(rng.normal(size=n)) if g == "d" else rng.normal(size=n))]
+    df = spark.createDataFrame([*rows, ("e", None), ("z", None)], "g string, v double").repartition(5)
+    ps = {"low": 0.0, "p05": 0.05, "p16": 0.16, "half": 0.5, "p99": 0.99, "high": 1.0}
+    got = {r.g: r for r in stats.exact_quantiles(df, "v", ps, ["g"]).collect()}
+    for g in ("a", "b", "c", "d", "e", None):
+        v = [x for k, x in rows if k == g]
+        assert [got[g][n] for n in ps] == pytest.approx([np.quantile(v, p) for p in ps.values()], abs=1e-12)
+    assert [got["z"][n] for n in ps] == [None] * len(ps) and len(got) == 7
+    whole = stats.exact_quantiles(df, "v", ps).first()
+    assert [whole[n] for n in ps] == pytest.approx([np.quantile([x for _, x in rows], p) for p in ps.values()], abs=1e-12)
+    spread = {r.g: r for r in stats.mad(df, "v", ["g"]).collect()}
+    v = np.array([x for k, x in rows if k == "e"])
+    assert (spread["e"].n, spread["e"].nmad) == (30_000, pytest.approx(1.4826 * np.median(np.abs(v - np.median(v))), abs=1e-12))
+    assert stats.exact_quantiles(df.limit(0), "v", ps, ["g"]).count() == 0
+
+
+def test_reference_antenna_goes_by_medians(spark):
+    rows = spark.createDataFrame([(0, 1, 1.0, 0.5), (0, 1, 1.0, 0.5), (0, 2, 90.0, 0.1), (1, 2, 5.0, 0.2), (1, 3, 6.0, 0.4), (3, 2, 7.0, 0.3)], "ant1 int, ant2 int, mean double, rms double")
+    median = {0: 1.0, 1: 3.0, 2: 7.0, 3: 6.5}  # of each antenna; above their median 4.75 are 2 and 3
+    noise = {2: (0.1 + 0.2 + 0.3) / 3, 3: 0.35}
+    best = min(noise, key=noise.get)
+    got = vis.choose_refant(rows).first()
+    assert (got.ant, got["mean"], got.rms) == (best, median[best], pytest.approx(noise[best]))
+
+
 def test_channels_and_fields(spark):
     arr = spark.createDataFrame([([0, 1, 2, 3],)], "a array<int>")
     pick = lambda lo, hi: arr.select(vis.channel_slice(F.col("a"), F.lit(lo), F.lit(hi))).first()[0]
