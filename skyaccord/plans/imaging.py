@@ -114,6 +114,15 @@ def noise_model(spark, sf_dir):
 
 _STD = "count(*) AS n_total, count(value) AS n_finite, R(min(value)) AS min, R(max(value)) AS max, R(avg(value)) AS mean, R(stddev_pop(value)) AS std, R(median(value)) AS median, R(quantile_cont(value, 0.05)) AS p5, R(quantile_cont(value, 0.95)) AS p95, R(quantile_cont(value, 0.99)) AS p99"
 _CLASSIC = "count(value) AS n, round(avg(value), 9) + 0.0 AS mean, round(stddev_samp(value), 9) + 0.0 AS sigma, round(median(value), 9) + 0.0 AS median"
+def _chauvenet_sql(rounds: int = 3) -> str:
+    """Each round in its own table: limits from the rows left, then the rows within them."""
+    text = "WITH r0 AS (SELECT image_id, value FROM pixels WHERE value IS NOT NULL)"
+    for k in range(rounds):
+        text += f", l{k} AS (SELECT image_id, avg(value) AS m, stddev_samp(value) AS s, sqrt(-2*ln(1/(4.0*count(*)))) AS t FROM r{k} GROUP BY 1)"
+        text += f", r{k + 1} AS (SELECT r.image_id, value FROM r{k} AS r JOIN l{k} USING (image_id) WHERE coalesce(abs(value - m) <= s*(t - (2.515517 + 0.802853*t + 0.010328*t*t)/(1 + 1.432788*t + 0.189269*t*t + 0.001308*t*t*t)), TRUE))"
+    return sql(f"{text} SELECT image_id, {_CLASSIC} FROM r{rounds} GROUP BY 1", "pixels")
+
+
 _PB = "1.18896*radians((source_id % 10)*0.02)/(0.0167261*1.5e9/freq_hz)"
 
 QUERIES = {
@@ -125,7 +134,7 @@ QUERIES = {
     "mode_stats": (mode_stats, sql("WITH p AS (SELECT image_id % 3 AS mode, max(value) AS max, min(value) AS min, avg(value) AS mean, sqrt(avg(value*value)) AS rms FROM pixels GROUP BY image_id, plane) SELECT mode, " + ", ".join(f"R({f}({c})) AS {n}_{c}" for c in ("rms", "mean", "max", "min") for n, f in (("avg", "avg"), ("std", "stddev_pop"))) + " FROM p GROUP BY mode", "pixels")),
     "robust_classic": (_robust("classic"), sql(f"SELECT image_id, {_CLASSIC} FROM pixels WHERE value IS NOT NULL GROUP BY 1", "pixels")),
     "robust_fences": (_robust("hinges-fences"), sql(f"WITH q AS (SELECT image_id, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM pixels GROUP BY 1) SELECT image_id, {_CLASSIC} FROM pixels JOIN q USING (image_id) WHERE value BETWEEN a - 1.5*(b - a) AND b + 1.5*(b - a) GROUP BY 1", "pixels")),
-    "robust_chauvenet": (_robust("chauvenet"), None),
+    "robust_chauvenet": (_robust("chauvenet"), _chauvenet_sql()),
     "robust_fit_half": (_robust("fit-half"), sql(f"SELECT image_id, {_CLASSIC} FROM (SELECT image_id, value FROM pixels WHERE value <= 0 UNION ALL SELECT image_id, -value FROM pixels WHERE value <= 0) AS p GROUP BY 1", "pixels")),
     "robust_biweight": (_robust("biweight"), sql("""WITH c AS (SELECT image_id, median(value) AS m FROM pixels GROUP BY 1), o AS (SELECT image_id, value - m AS d, m FROM pixels JOIN c USING (image_id) WHERE value IS NOT NULL), s AS (SELECT image_id, median(abs(d)) AS s FROM o GROUP BY 1),
       u AS (SELECT image_id, d, m, d/(6*s) AS u FROM o JOIN s USING (image_id)), w AS (SELECT *, CASE WHEN abs(u) < 1 THEN pow(1 - u*u, 2) ELSE 0 END AS w FROM u)
@@ -142,5 +151,5 @@ QUERIES = {
     "last_wins": (last_wins, "WITH l AS (SELECT l_orderkey AS path, l_linenumber AS ord, max(l_extendedprice) AS f FROM lineitem GROUP BY 1, 2) SELECT path, round(arg_max(f, ord), 3) + 0.0 AS freq_hz, min(ord) AS ord FROM l GROUP BY 1"),
     "auto_bins": (auto_bins, sql("SELECT image_id, CAST(2*floor(sqrt(count(value))) AS BIGINT) AS bins FROM pixels GROUP BY 1", "pixels")),
     "header_frequencies": (header_frequencies, "SELECT p_partkey, round(CAST(CASE WHEN p_partkey % 3 = 0 THEN p_partkey*1000 WHEN p_partkey % 3 = 1 THEN p_partkey*10 ELSE (900 + p_partkey % 800)*1000000 END AS DOUBLE), 3) + 0.0 AS freq_hz, 'img_' || CAST(900 + p_partkey % 800 AS VARCHAR) || 'MHz_' || CAST(p_partkey AS VARCHAR) AS stem FROM part"),
-    "noise_model": (noise_model, sql("WITH s AS (SELECT source_id, max(i_peak) AS f, count(*) AS n FROM sed_points GROUP BY 1) SELECT source_id, round(1e6*443.5/sqrt(2*64*63*856e6*n*600.0), 4) + 0.0 AS rms_ujy, round(1e6*pow(10*443.5/f, 2)/(2*64*63*856e6), 4) + 0.0 AS microseconds FROM s", "sed_points")),
+    "noise_model": (noise_model, sql("WITH s AS (SELECT source_id, max(i_peak) AS f, count(*) AS n FROM sed_points GROUP BY 1) SELECT source_id, round(1e6*443.5/sqrt(2*64*63*856e6*n*600.0), 4) + 0.0 AS rms_ujy, round(1e6*pow(10*443.5/f, 2)/(64*63*856e6), 4) + 0.0 AS microseconds FROM s", "sed_points")),
 }

@@ -100,7 +100,7 @@ def offset_stats(spark, sf_dir):
 
 
 def rho_summary(spark, sf_dir):
-    return rounded(_offsets(spark, sf_dir).agg(F.median("rho_bmaj").alias("median"), F.percentile("rho_bmaj", 0.84).alias("p84")), 5)
+    return rounded(stats.exact_quantiles(_offsets(spark, sf_dir), "rho_bmaj", {"median": 0.5, "p84": 0.84}), 5)
 
 
 def circular(spark, sf_dir):

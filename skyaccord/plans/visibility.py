@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,10 +104,42 @@ def baseline_classes(spark, sf_dir):
     return rows.groupBy(vis.baseline_class(F.col("ant1"), F.col("ant2")).alias("class"), vis.pol_class(F.col("pol")).alias("pol_class")).agg(F.count("*").alias("n"))
 
 
-def _smoothing_sql() -> str:
-    """The smoothing weights as a table, made of the same local cubic least squares in closed form of 51 places."""
-    n, w, order = 64, 51, 3
-    matrix = vis.smoothing_matrix(n, w, order)
+def _main_table(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Embeddings as complex spectra with flags and missing channels, and their two dimension tables."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    missing = (F.col("vec_id") % 5 == 0).cast("int") * (F.col("vec_id") % 40 + 12)  # a channel of every fifth row
+    sample = lambda x, i: F.when((missing == 0) | (i != missing), F.struct(x.cast("double").alias("re"), (x.cast("double") * 0.75).alias("im")))
+    main = rows.select(F.col("vec_id").alias("row_id"), (F.col("vec_id") % 3).cast("int").alias("data_desc_id"), (F.col("vec_id") % 4).cast("int").alias("pol_idx"), F.transform("embedding", sample).alias("data"), F.transform("embedding", lambda x: x > 0.1).alias("flag"))
+    windows = main.select("data_desc_id").distinct().select("data_desc_id", (F.col("data_desc_id") * 10).alias("spw"))
+    pols = main.select("pol_idx").distinct().select("pol_idx", F.element_at(F.array(F.lit(5), F.lit(10), F.lit(12), F.lit(99)), F.col("pol_idx") + 1).alias("corr_type"))
+    return main, windows, pols
+
+
+def visibilities(spark, sf_dir):
+    """Main table to row statistics: amplitudes of the data column, window and polarisation joined, channels 8 to 55, flags."""
+    main, windows, pols = _main_table(spark, sf_dir)
+    rows = vis.load_visibilities(main, windows, pols)
+    low, high = F.lit(8), F.lit(56)
+    sliced = rows.select("row_id", "spw", "pol", vis.channel_slice(F.col("amp"), low, high).alias("amp"), vis.channel_slice(F.col("flag"), low, high).alias("flag"))
+    return rounded(vis.row_amp_stats(sliced).drop("amp", "flag"), 5)
+
+
+def unflagged(spark, sf_dir):
+    """Statistics of the samples without a flag."""
+    main, windows, pols = _main_table(spark, sf_dir)
+    rows = vis.row_amp_stats(vis.load_visibilities(main, windows, pols), exclude_flagged=True)
+    return rounded(rows.select("row_id", "mean", "rms", "flag_frac"), 5)
+
+
+def _matrix(n: int, window: int, order: int):
+    """The smoother as a matrix: its columns are the trends of single channels."""
+    return vis.smooth(np.eye(n), window, order).T
+
+
+def _smoothing_sql(n: int = 64) -> str:
+    """The smoothing weights of n channels as a table."""
+    w, order = vis.smoothing_window(n), 3
+    matrix = _matrix(n, w, order)
     # Inside rows repeat; only the weights of the first, the centred and the last window are written out.
     rows = ", ".join(f"({i}, {j}, {float(v)!r}::DOUBLE)" for i, r in enumerate(matrix) for j, v in enumerate(r) if v)
     return f"(VALUES {rows}) AS s(i, j, v)"
@@ -118,7 +151,20 @@ _SIDE = "SELECT scan, pol[1] AS pol, median(mean) AS mean, median(rms) AS rms FR
 _FLAGS = "SELECT CASE WHEN ant1 = ant2 THEN 'auto' ELSE 'cross' END AS class, spw, chan, pol, count(flag) AS total, CAST(sum(CASE WHEN flag THEN 1 ELSE 0 END) AS BIGINT) AS flagged FROM vis_chan GROUP BY 1, 2, 3, 4"
 _WIN = "w AS (SELECT CAST(floor((freq_hz - 9e8)/2.5e8) AS INTEGER) AS spw, min(freq_hz) AS fmin, max(freq_hz) AS fmax FROM sed_points GROUP BY 1)"
 
+_MAIN = """SELECT row_id, data_desc_id, pol_idx, chan, CASE WHEN row_id % 5 <> 0 OR row_id % 40 + 12 <> chan THEN abs(x)*1.25 END AS a, x > 0.1::FLOAT AS flag FROM (
+  SELECT vec_id AS row_id, vec_id % 3 AS data_desc_id, vec_id % 4 AS pol_idx, generate_subscripts(embedding, 1) - 1 AS chan, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) AS t"""
+
+
+def _rows_sql(n: int, low: int, keep: str, more: str) -> str:
+    """Row statistics over n channels from `low` on; keep: which samples count."""
+    return f"""WITH e AS MATERIALIZED (SELECT * FROM ({_MAIN}) AS m WHERE chan BETWEEN {low} AND {low + n - 1}), t AS (SELECT row_id, i + {low} AS chan, sum(a*v) AS trend FROM e JOIN {_smoothing_sql(n)} ON e.chan = s.j + {low} GROUP BY 1, 2),
+  c AS (SELECT row_id, median(a) AS middle, count(a) < {n} AS holed FROM e GROUP BY 1), r AS (SELECT e.*, a - CASE WHEN holed THEN middle ELSE trend END AS residual FROM e JOIN c USING (row_id) JOIN t USING (row_id, chan))
+  SELECT row_id, {more}round(avg(a) FILTER ({keep}), 5) + 0.0 AS mean, round(stddev_pop(residual) FILTER ({keep}), 5) + 0.0 AS rms, round(avg(CASE WHEN flag THEN 1.0 ELSE 0.0 END), 5) + 0.0 AS flag_frac FROM r GROUP BY row_id, data_desc_id, pol_idx"""
+
+
 QUERIES = {
+    "visibilities": (visibilities, _rows_sql(48, 8, "TRUE", "CAST(data_desc_id*10 AS INTEGER) AS spw, CASE pol_idx WHEN 0 THEN 'RR' WHEN 1 THEN 'XY' WHEN 2 THEN 'YY' ELSE '99' END AS pol, ")),
+    "unflagged": (unflagged, _rows_sql(64, 0, "NOT flag", "")),
     "vis_by_scan": (vis_by_scan, sql(f"SELECT scan, pol, {_MED}, R(avg(flag_frac)) AS flag_frac FROM vis_rows GROUP BY 1, 2", "vis_rows")),
     "vis_by_antenna": (vis_by_antenna, sql(f"SELECT ant, pol, {_MED}, R(avg(flag_frac)) AS flag_frac FROM (SELECT ant1 AS ant, * FROM vis_rows UNION ALL SELECT ant2 AS ant, * FROM vis_rows) AS v GROUP BY 1, 2", "vis_rows")),
     "vis_by_baseline": (vis_by_baseline, sql(f"SELECT CAST(ant1 AS VARCHAR) || '-' || CAST(ant2 AS VARCHAR) AS base, pol, {_MED} FROM vis_rows GROUP BY 1, 2", "vis_rows")),
@@ -132,6 +178,6 @@ QUERIES = {
     "bands": (bands, sql(f"WITH {_WIN}, x AS (SELECT min(fmin) AS f0, max(fmax) AS f1 FROM w) SELECT * FROM (SELECT 'lowband' AS band, f0 AS lo_hz, f0 + (f1 - f0)/4 AS hi_hz FROM x UNION ALL SELECT 'highband', f1 - (f1 - f0)/4, f1 FROM x) AS b", "sed_points")),
     "spectrum_rms": (spectrum_rms, sql(f"WITH {_RESIDUAL} SELECT row_id, round(avg(a), 5) + 0.0 AS mean, round(stddev_pop(residual), 5) + 0.0 AS rms FROM r GROUP BY row_id", "spectra")),
     "detrend": (detrend, sql(f"WITH {_RESIDUAL} SELECT row_id, CAST(chan AS INTEGER) AS chan, round(residual, 5) + 0.0 AS residual FROM r", "spectra")),
-    "refant": (refant, sql("WITH e AS (SELECT ant, avg(mean) AS mean, avg(rms) AS rms FROM (SELECT ant1 AS ant, mean, rms FROM vis_rows UNION ALL SELECT ant2, mean, rms FROM vis_rows) AS v GROUP BY 1) SELECT ant, R(mean) AS mean, R(rms) AS rms FROM e WHERE mean > (SELECT median(mean) FROM e) ORDER BY e.rms, ant LIMIT 1", "vis_rows")),
+    "refant": (refant, sql("WITH e AS (SELECT ant, median(mean) AS mean, avg(rms) AS rms FROM (SELECT ant1 AS ant, mean, rms FROM vis_rows UNION ALL SELECT ant2, mean, rms FROM vis_rows) AS v GROUP BY 1) SELECT ant, R(mean) AS mean, R(rms) AS rms FROM e WHERE mean > (SELECT median(mean) FROM e) ORDER BY e.rms, ant LIMIT 1", "vis_rows")),
     "baseline_classes": (baseline_classes, sql("SELECT CASE WHEN ant1 = ant2 THEN 'auto' ELSE 'cross' END AS class, CASE WHEN pol IN ('XX', 'YY', 'LL', 'RR') THEN 'parallel' ELSE 'crossed' END AS pol_class, count(*) AS n FROM vis_rows GROUP BY 1, 2", "vis_rows")),
 }
