@@ -1,12 +1,11 @@
 """Masked pseudo-likelihood with a bidirectional window network and a memory of the corpus.
 
 Tokens are words, hashed to VOCABULARY numbers. A small network predicts each word from the two before and the
-two after it. What is gathered from the corpus grows with it: every window (four context words and the word
-between them) of every document, dealt out by context, so that all windows of a context lie in one block. Blocks
-are kept in the shared folder as sorted hash arrays. The network is trained in numpy where the blocks lie, each
-task on its own windows, and parameters are averaged between rounds. A word's probability mixes the network's
-with the share that the word has of its context in all other documents; a document's score is the sum of the
-log probabilities of its words, each given both sides.
+two after it. It is trained in numpy where the documents lie, each task on its own windows, and parameters are
+averaged between rounds. What is gathered from the corpus grows with it: every window (four context words and the
+word between them) of every document, dealt out by context as sorted hash arrays, so that all windows of a context
+lie in one block. A word's probability mixes the network's with the share that the word has of its context in all
+other documents; a document's score is the sum of the log probabilities of its words, each given both sides.
 """
 
 from __future__ import annotations
@@ -20,17 +19,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyaccord.lineage import checkpointed
 from skyaccord.llm.common import cut_slices, ipc_bytes, packed, text_bytes, unpacked, word_hashes
 
-SIDE, EMBED, HIDDEN = 2, 12, 32
+SIDE, EMBED, HIDDEN = 2, 8, 16
 WORD_BITS = 12
 VOCABULARY = 1 << WORD_BITS
 #: A word's number is read as two digits: its class and its place in the class.
 DIGIT = 1 << WORD_BITS // 2
 SHAPES = {"embed": (2 * SIDE, VOCABULARY, EMBED), "w1": (2 * SIDE * EMBED, HIDDEN), "b1": (HIDDEN,), "wc": (HIDDEN, DIGIT), "bc": (DIGIT,), "wm": (DIGIT, HIDDEN, DIGIT), "bm": (DIGIT, DIGIT)}
 #: Windows that are evaluated at a time.
-BATCH = 2048
+BATCH = 4096
+#: Text bytes for each block of contexts and for each training task; both follow the corpus, whatever its partitions.
+BLOCK_BYTES = 32_000_000
+#: Parts of the corpus; a training round goes over one of them.
+ROUNDS = 3
 _CONTEXT_BITS = 2 * SIDE * WORD_BITS
 _MASK = np.uint64((1 << _CONTEXT_BITS) - 1)
 #: Odd, so multiplying by it modulo 2^48 is a shuffle of all contexts; with its inverse.
@@ -59,14 +61,24 @@ def split_codes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places.astype(np.int64), (codes & np.uint64(VOCABULARY - 1)).astype(np.int64)
 
 
+def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.lit(None).cast("string").alias("lang"), text_bytes(text_col).alias("text"))
+
+
+def _pieces(docs: DataFrame, text_col: str) -> int:
+    """One for each BLOCK_BYTES of text, at least 1."""
+    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
+    return max(1, -(-total // BLOCK_BYTES))
+
+
 def gather_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None) -> DataFrame:
-    """(block, slice, codes, docs, n, ids), dealt out by block in the shared folder.
+    """(block, slice, codes, docs, n, ids), dealt out by block.
 
     A row holds the windows of a slice of documents that belong to a block: sorted codes, the documents in the
     slice, and how often each has the window. One more row for each slice holds the ids of its documents and
-    their numbers of words. Without `blocks` there are as many as shuffle partitions.
+    their numbers of words. Without `blocks` there is one for each BLOCK_BYTES of text.
     """
-    blocks = blocks or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks or _pieces(docs, text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, rows in cut_slices(batches):
@@ -89,9 +101,8 @@ def gather_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if hi > lo:
                     yield _window_rows([(b, key, packed(np.diff(every[lo:hi], prepend=np.uint64(0))), packed(doc[lo:hi]), packed(n[lo:hi]), None)])
 
-    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.lit(None).cast("string").alias("lang"), text_bytes(text_col).alias("text"))
-    dealt = narrow.mapInArrow(run, "block int, slice long, codes binary, docs binary, n binary, ids binary").repartition(blocks, "block")
-    return checkpointed(dealt.sortWithinPartitions("block", "slice"))
+    dealt = _narrow(docs, id_col, text_col).mapInArrow(run, "block int, slice long, codes binary, docs binary, n binary, ids binary")
+    return dealt.repartition(blocks, "block").sortWithinPartitions("block", "slice")
 
 
 def _block_starts(blocks: int) -> np.ndarray:
@@ -139,31 +150,38 @@ class WindowNetwork:
             self.p[k] *= 0.1
 
     def _forward(self, places: np.ndarray, word: np.ndarray) -> tuple:
-        """word must be sorted by class."""
-        x = np.concatenate([self.p["embed"][k][places[k]] for k in range(2 * SIDE)], axis=1)
+        """word must be sorted by class. The exponentials of both softmaxes, their sums, and the log probabilities."""
+        flat = (places + np.arange(2 * SIDE)[:, None] * VOCABULARY).T.ravel()
+        x = self.p["embed"].reshape(-1, EMBED).take(flat, axis=0).reshape(len(word), -1)
         h = np.tanh(x @ self.p["w1"] + self.p["b1"])
         kind, place = word // DIGIT, word % DIGIT
         zc = h @ self.p["wc"] + self.p["bc"]
-        zm = self.p["bm"][kind]
+        zm = self.p["bm"].take(kind, axis=0)
         cuts = np.searchsorted(kind, np.arange(DIGIT + 1))
         for c in np.unique(kind):
             zm[cuts[c] : cuts[c + 1]] += h[cuts[c] : cuts[c + 1]] @ self.p["wm"][c]
-        at = np.arange(len(word))
-        out = []
-        for z, digit in ((zc, kind), (zm, place)):
-            z -= z.max(axis=1, keepdims=True)
-            e = np.exp(z)
-            total = e.sum(axis=1, keepdims=True)
-            out.append((e / total, z[at, digit] - np.log(total[:, 0])))
+        at, out = np.arange(len(word)), []
+        for z, digit, safe in zip((zc, zm), (kind, place), self.safe):
+            if not safe:
+                z -= z.max(axis=1, keepdims=True)
+            log = z[at, digit]
+            e = np.exp(z, out=z)
+            total = e @ np.ones((DIGIT, 1), e.dtype)
+            out.append((e, total, log - np.log(total[:, 0])))
         return x, h, kind, place, cuts, out
 
+    @property
+    def safe(self) -> tuple[bool, bool]:
+        """Whether no logit of a softmax can overflow its exponential, as no hidden value lies beyond 1."""
+        return tuple(bool((np.abs(self.p[w]).sum(axis=-2) + np.abs(self.p[b])).max() < 80) for w, b in (("wc", "bc"), ("wm", "bm")))
+
     def log_probs(self, codes: np.ndarray) -> np.ndarray:
         """Log probability of the word of each window, given its context."""
         result = np.empty(len(codes), np.float32)
         for at in range(0, len(codes), BATCH):
             places, word = split_codes(codes[at : at + BATCH])
             order = np.argsort(word, kind="stable")
-            *_, ((_, a), (_, b)) = self._forward(places[:, order], word[order])
+            *_, ((_, _, a), (_, _, b)) = self._forward(places[:, order], word[order])
             result[at + order] = a + b
         return result
 
@@ -171,14 +189,15 @@ class WindowNetwork:
         """Of the weighted sum of negative log likelihoods, and that sum."""
         places, word = split_codes(codes)
         order = np.argsort(word, kind="stable")
-        places, word, weight = places[:, order], word[order], weight[order].astype(np.float32)[:, None]
-        x, h, kind, place, cuts, ((pc, lc), (pm, lm)) = self._forward(places, word)
+        places, word, weight = places[:, order], word[order], weight[order].astype(self.p["w1"].dtype)[:, None]
+        x, h, kind, place, cuts, ((dc, tc, lc), (dm, tm, lm)) = self._forward(places, word)
         at = np.arange(len(word))
-        pc[at, kind] -= 1
-        pm[at, place] -= 1
-        dc, dm = pc * weight, pm * weight
+        dc *= weight / tc
+        dm *= weight / tm
+        dc[at, kind] -= weight[:, 0]
+        dm[at, place] -= weight[:, 0]
         dh = dc @ self.p["wc"].T
-        g = {"wc": h.T @ dc, "bc": dc.sum(axis=0), "wm": np.zeros(SHAPES["wm"], np.float32), "bm": np.zeros(SHAPES["bm"], np.float32)}
+        g = {"wc": h.T @ dc, "bc": dc.sum(axis=0), "wm": np.zeros(SHAPES["wm"], h.dtype), "bm": np.zeros(SHAPES["bm"], h.dtype)}
         for c in np.unique(kind):
             part = slice(cuts[c], cuts[c + 1])
             g["wm"][c] = h[part].T @ dm[part]
@@ -187,21 +206,33 @@ class WindowNetwork:
         dh *= 1 - h * h
         g["w1"], g["b1"] = x.T @ dh, dh.sum(axis=0)
         dx = dh @ self.p["w1"].T
-        g["embed"] = np.stack([
-            np.bincount((places[k][:, None] * EMBED + np.arange(EMBED)).ravel(), dx[:, k * EMBED : (k + 1) * EMBED].ravel(), VOCABULARY * EMBED).reshape(VOCABULARY, EMBED) for k in range(2 * SIDE)
-        ]).astype(np.float32)
+        g["embed"] = np.empty(SHAPES["embed"], h.dtype)
+        for k in range(2 * SIDE):
+            slot = (places[k][:, None] * EMBED + np.arange(EMBED)).ravel()
+            g["embed"][k] = np.bincount(slot, dx[:, k * EMBED : (k + 1) * EMBED].ravel(), VOCABULARY * EMBED).reshape(VOCABULARY, EMBED)
         return g, float(-(weight[:, 0] * (lc + lm)).sum(dtype=np.float64))
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.p[k].ravel() for k in SHAPES])
+    def descend(self, codes: np.ndarray, n: np.ndarray, pace: dict[str, np.ndarray], rate: float) -> None:
+        """Steps over windows that occur n times, in batches; pace holds the mean squared gradient of each row of parameters so far."""
+        for b in range(0, len(codes), BATCH):
+            weight = n[b : b + BATCH]
+            g, _ = self.gradient(codes[b : b + BATCH], weight / weight.sum())
+            for k, v in g.items():
+                pace[k] += np.square(v).mean(axis=-1, keepdims=True)
+                self.p[k] -= v * (np.float32(rate) / np.sqrt(pace[k]))
+
 
-    def set_flat(self, flat: np.ndarray) -> WindowNetwork:
-        at = 0
-        for k, s in SHAPES.items():
-            size = int(np.prod(s))
-            self.p[k] = flat[at : at + size].reshape(s).astype(np.float32)
-            at += size
-        return self
+def _flat(named: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([named[k].ravel() for k in SHAPES]).astype(np.float32)
+
+
+def _named(flat: np.ndarray, shapes: dict[str, tuple[int, ...]]) -> dict[str, np.ndarray]:
+    ends = np.cumsum([int(np.prod(s)) for s in shapes.values()])
+    return {k: part.reshape(s).astype(np.float32) for (k, s), part in zip(shapes.items(), np.split(flat, ends[:-1]))}
+
+
+#: One value for each row of parameters.
+PACES = {k: (*s[:-1], 1) for k, s in SHAPES.items()}
 
 
 def _summed(parts: DataFrame, n: int) -> np.ndarray | None:
@@ -209,74 +240,66 @@ def _summed(parts: DataFrame, n: int) -> np.ndarray | None:
 
     def add(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table.column("part").to_pylist(), table.column("flat").to_pylist()))
-        total = np.sum([np.frombuffer(f) for _, f in rows], axis=0)
+        total = np.sum([np.frombuffer(f, np.float32) for _, f in rows], axis=0, dtype=np.float32)
         return pa.table({"part": pa.array([rows[0][0] % width], pa.int64()), "flat": pa.array([total.tobytes()], pa.binary())})
 
-    while n > 32:
+    while True:
         width = n = -(-n // 32)
         parts = parts.groupBy((F.col("part") % n).alias("g")).applyInArrow(add, "part long, flat binary")
+        if n <= 32:
+            break
     rows = sorted((r.part, bytes(r.flat)) for r in parts.collect())
-    return np.sum([np.frombuffer(f) for _, f in rows], axis=0) if rows else None
+    return np.sum([np.frombuffer(f, np.float32) for _, f in rows], axis=0, dtype=np.float64) if rows else None
 
 
-def train(gathered: DataFrame, rounds: int = 3, third: int = 3, rate: float = 0.1) -> WindowNetwork:
-    """Fits the network on all gathered windows.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passes: int = 1, rate: float = 0.2) -> WindowNetwork:
+    """Fits the network on the windows of all documents.
 
-    In a round every task takes the windows of each block whose code falls to that round (each window falls to
-    one of every `third` rounds; three rounds are one pass), goes over them in batches from the common parameters with
-    steps scaled by the squared gradients so far, and the tasks' parameters are averaged by how many words they saw. Without a word the network stays as it began.
+    A hash of the text deals documents out to ROUNDS parts. In a round every task goes over the windows of its
+    documents of one part, from the common parameters, with steps scaled by the squared gradients so far; then the
+    tasks' parameters are averaged by how many words they saw. Without a word the network stays as it began.
     """
-    tasks = gathered.rdd.getNumPartitions()
+    narrow, tasks = _narrow(docs, id_col, text_col), _pieces(docs, text_col)
 
     def unigrams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(VOCABULARY)
-        for rows in _by_block(batches):
-            for r in rows:
-                if r["codes"] is not None:
-                    word = np.cumsum(unpacked(r["codes"], np.uint64)) & np.uint64(VOCABULARY - 1)
-                    total += np.bincount(word.astype(np.int64), unpacked(r["n"], np.uint32), VOCABULARY)
+        for batch in batches:
+            for text in batch.column(2).to_pylist():
+                total += np.bincount(word_numbers(text or b""), minlength=VOCABULARY)
         yield _flat_row(total)
 
     net = WindowNetwork()
-    counts = _summed(gathered.mapInArrow(unigrams, "part long, flat binary"), tasks)
+    counts = _summed(narrow.coalesce(tasks).mapInArrow(unigrams, "part long, flat binary"), tasks)
     if counts is None or not counts.sum():
         return net
     net.start_from(counts)
-    squares = np.full(net.flat().shape, 1e-6)
-    for step in range(rounds):
-        held, speed = net.flat(), squares
-
-        def run(batches: Iterable[pa.RecordBatch], held=held, speed=speed, step=step) -> Iterator[pa.RecordBatch]:
-            local = WindowNetwork().set_flat(held)
-            seen, pace = 0.0, {}
-            at = 0
-            for k, s in SHAPES.items():
-                pace[k] = speed[at : at + int(np.prod(s))].reshape(s).astype(np.float32)
-                at += pace[k].size
-            for rows in _by_block(batches):
-                codes, n, _ = _merged([r for r in rows if r["codes"] is not None])
-                mine = (codes ^ codes >> np.uint64(WORD_BITS)) % np.uint64(third) == step % third
-                codes, n = codes[mine], n[mine]
-                for b in range(0, len(codes), BATCH):
-                    weight = n[b : b + BATCH]
-                    g, _ = local.gradient(codes[b : b + BATCH], weight / weight.sum())
-                    for k in SHAPES:
-                        pace[k] += g[k] * g[k]
-                        local.p[k] -= np.float32(rate) * g[k] / np.sqrt(pace[k])
-                    seen += float(weight.sum())
+    pace = {k: np.full(s, 1e-6, np.float32) for k, s in PACES.items()}
+    for step in range(passes * ROUNDS):
+        held, speed = net.p, pace
+
+        def run(batches: Iterable[pa.RecordBatch], held=held, speed=speed) -> Iterator[pa.RecordBatch]:
+            local, own, seen = WindowNetwork(), {k: v.copy() for k, v in speed.items()}, 0
+            local.p = {k: v.copy() for k, v in held.items()}
+            for _, rows in cut_slices(batches):
+                codes = [windows(word_numbers(t)) for t in rows.column(2).to_pylist() if t]
+                if codes:
+                    every, n = np.unique(np.concatenate(codes), return_counts=True)
+                    codes.clear()
+                    local.descend(every, n, own, rate)
+                    seen += int(n.sum())
             if seen:
-                yield _flat_row(np.concatenate([local.flat() * seen, np.concatenate([pace[k].ravel() for k in SHAPES]) * seen, [seen]]))
+                yield _flat_row(np.concatenate([_flat(local.p) * np.float32(seen), _flat(own) * np.float32(seen), np.array([seen], np.float32)]))
 
-        total = _summed(gathered.mapInArrow(run, "part long, flat binary"), tasks)
+        part = narrow.filter(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == step % ROUNDS).coalesce(tasks)
+        total = _summed(part.mapInArrow(run, "part long, flat binary"), tasks)
         if total is not None:
-            mean = total[:-1] / total[-1]
-            net.set_flat(mean[: len(held)])
-            squares = mean[len(held) :]
+            size = sum(int(np.prod(s)) for s in SHAPES.values())
+            net.p, pace = _named(total[:size] / total[-1], SHAPES), _named(total[size:-1] / total[-1], PACES)
     return net
 
 
 def _flat_row(flat: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "flat": pa.array([flat.astype(np.float64).tobytes()], pa.binary())})
+    return pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "flat": pa.array([flat.astype(np.float32).tobytes()], pa.binary())})
 
 
 def _own_contexts(codes: np.ndarray, docs: np.ndarray, n: np.ndarray) -> np.ndarray:

@@ -65,8 +65,8 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gathered = pseudo_likelihood.gather_windows(_table(spark, sf_dir, "documents"))
-    return _doc_id(pseudo_likelihood.score(gathered, pseudo_likelihood.train(gathered)))
+    docs = _table(spark, sf_dir, "documents")
+    return _doc_id(pseudo_likelihood.score(pseudo_likelihood.gather_windows(docs), pseudo_likelihood.train(docs)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from skyaccord.llm import decontam, langid, packing, perplexity, pseudo_likelihood, quality_fm, secrets, sharding, simhash, tokencount
+from skyaccord.llm import common, decontam, langid, packing, perplexity, pseudo_likelihood, quality_fm, secrets, sharding, simhash, tokencount
 from skyaccord.llm.common import unpacked
 
 SF = "/root/testdata/sf0.001"
@@ -117,11 +117,11 @@ def test_simhash_odd_input(odd, empty):
 
 
 def test_hot_keys_are_joined_apart(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "HOT_ROWS", 5)
-    monkeypatch.setattr(simhash, "HOT_SHARE", 20)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(common, "HOT_SHARE", 20)
     rows = spark.range(400).select("id", F.when(F.col("id") < 150, 1).when(F.col("id") < 200, 2).otherwise(F.col("id")).alias("k"))
     group = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    got = {r.id: r.least for r in simhash.join_counted(rows, group, "k").collect()}
+    got = {r.id: r.least for r in common.join_counted(rows, group, "k").collect()}
     assert got == {i: 0 if i < 150 else 150 if i < 200 else i for i in range(400)}
 
 
@@ -187,6 +187,17 @@ def test_quality_odd_input(spark, odd, empty):
     assert {r.score for r in quality_fm.score(odd, none).collect()} == {0.5}
 
 
+def test_quality_sample_is_bounded_whatever_repeats(spark, docs, monkeypatch):
+    hot = spark.range(3000).select(F.lit(77).cast("long").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 60).cast("string")).alias("text"), F.lit(9).alias("n_chars"))
+    labels = spark.createDataFrame([(77, 0), (1, 1), (2, 1)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_fm, "fit", lambda rows, labels: seen.append((len(rows), int(labels.sum()))))
+    rows = docs.filter("doc_id IN (1, 2)").select("doc_id", "text", F.col("n_chars").cast("int")).unionByName(hot)
+    quality_fm.train(rows, labels, fold=None)
+    quality_fm.train(rows, labels, fold=None, max_train=20)
+    assert seen[0] == (62, 2) and seen[1][0] == 20
+
+
 def brute_base(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -738,7 +749,7 @@ def test_network_is_a_distribution():
 def test_scores_equal_brute_force(spark, docs, rows):
     """Network and memory by their definitions, over dictionaries; a document's own windows are left out."""
     gathered = pseudo_likelihood.gather_windows(docs, blocks=5)
-    net = pseudo_likelihood.train(gathered)
+    net = pseudo_likelihood.train(docs)
     got = {r.id: r for r in pseudo_likelihood.score(gathered, net).collect()}
     assert len(got) == len(rows)
     own = {r.doc_id: Counter(brute_windows(r.text)) for r in rows}
@@ -766,7 +777,7 @@ def test_training_learns_and_copies_score_higher(spark):
         texts.append(" ".join(a))
     frame = spark.createDataFrame([*enumerate(texts), (1000, texts[3])], "doc_id long, text string")
     gathered = pseudo_likelihood.gather_windows(frame, blocks=4)
-    before, after = (pseudo_likelihood.train(gathered, rounds=k) for k in (0, 9))
+    before, after = (pseudo_likelihood.train(frame, passes=k) for k in (0, 4))
     codes = np.concatenate([pseudo_likelihood.windows(pseudo_likelihood.word_numbers(t.encode())) for t in texts])
     assert after.log_probs(codes).mean() > before.log_probs(codes).mean() + 0.1
     got = {r.id: r.mean_log_prob for r in pseudo_likelihood.score(gathered, after).collect()}
@@ -774,13 +785,13 @@ def test_training_learns_and_copies_score_higher(spark):
 
 
 def test_sums_in_a_tree(spark):
-    frame = spark.range(0, 3000, 1, 100).groupBy((F.col("id") % 1500).alias("part")).agg(F.lit(np.array([1.0, 2.5]).tobytes()).alias("flat"))
+    frame = spark.range(0, 3000, 1, 100).groupBy((F.col("id") % 1500).alias("part")).agg(F.lit(np.array([1.0, 2.5], np.float32).tobytes()).alias("flat"))
     assert pseudo_likelihood._summed(frame, 1500).tolist() == [1500.0, 3750.0]
 
 
 def test_pseudo_likelihood_odd_input(odd, empty):
     gathered = pseudo_likelihood.gather_windows(odd)
-    got = pseudo_likelihood.score(gathered, pseudo_likelihood.train(gathered, rounds=2)).collect()
+    got = pseudo_likelihood.score(gathered, pseudo_likelihood.train(odd)).collect()
     assert len(got) == len(ODD) and {(r.n_tokens, r.mean_log_prob) for r in got if r.id in (1, 2, 3)} == {(0, None)}
     nothing = pseudo_likelihood.gather_windows(empty)
-    assert pseudo_likelihood.score(nothing, pseudo_likelihood.train(nothing)).count() == 0
+    assert pseudo_likelihood.score(nothing, pseudo_likelihood.train(empty)).count() == 0
