@@ -23,7 +23,7 @@ from skyaccord.llm.common import SLICE_ROWS
 DEFAULT_MODEL = os.path.join("/opt/tokenizers", "piece_bpe_32k.model")
 BLANK = "▁"
 #: Bytes that a task's trie and counts may take, about; beyond, it starts afresh.
-CACHE_BYTES = 128 << 20
+CACHE_BYTES = 256 << 20
 #: About what a node takes, and a word's count beside its characters.
 NODE_BYTES, WORD_BYTES = 180, 120
 #: Characters of a pre-token that enters the trie; longer ones are scored by themselves.
@@ -72,41 +72,51 @@ class SharedTrie:
 
     def _step(self, word: str, end: int, best: list[float], tokens: list[int]) -> tuple[float, int]:
         """Score and tokens of word[:end] from those of its prefixes."""
-        score, n = best[end - 1] + self.model.unknown, tokens[end - 1] + len(word[end - 1].encode())
-        node = self.model.ends
-        for start in range(end - 1, -1, -1):
-            node = node.get(word[start])
+        last, node, start = word[end - 1], self.model.ends, end
+        score, n = best[-1] + self.model.unknown, tokens[-1] + (1 if last < "\x80" else len(last.encode()))
+        for c in word[end - 1 :: -1]:
+            node = node.get(c)
             if node is None:
                 break
+            start -= 1
             piece = node.get("")
             if piece is not None and best[start] + piece > score:
                 score, n = best[start] + piece, tokens[start] + 1
         return score, n
 
-    def add(self, words: Iterable[str]) -> None:
+    def add(self, words: set[str]) -> None:
         """Counts of words, which are inserted in order, so that each begins where it leaves the one before."""
         before, path, best, tokens = "", [0], [0.0], [0]
-        for word in sorted(set(words)):
+        child, all_best, all_tokens, counts, step = self.child, self.best, self.tokens, self.counts, self._step
+        nodes, characters = len(all_best), 0
+        for word in sorted(words):
             if len(word) > LONGEST_WORD:
-                self.counts[word] = self._alone(word)
-                self.held += 4 * len(word) + WORD_BYTES
+                counts[word] = self._alone(word)
+                characters += len(word)
                 continue
-            shared = len(os.path.commonprefix((before, word)))
+            shared = 0
+            for x, y in zip(before, word):
+                if x != y:
+                    break
+                shared += 1
             del path[shared + 1 :], best[shared + 1 :], tokens[shared + 1 :]
+            at = path[-1]
             for end in range(shared + 1, len(word) + 1):
-                key = path[-1] << 21 | ord(word[end - 1])
-                node = self.child.get(key)
-                if node is None:
-                    score, n = self._step(word, end, best, tokens)
-                    node = self.child[key] = len(self.best)
-                    self.best.append(score)
-                    self.tokens.append(n)
-                    self.held += NODE_BYTES
-                path.append(node)
-                best.append(self.best[node])
-                tokens.append(self.tokens[node])
-            self.counts[word], before = tokens[-1], word
-            self.held += 2 * len(word) + WORD_BYTES
+                key = at << 21 | ord(word[end - 1])
+                at = child.get(key)
+                if at is None:
+                    score, n = step(word, end, best, tokens)
+                    at = child[key] = len(all_best)
+                    all_best.append(score)
+                    all_tokens.append(n)
+                else:
+                    score, n = all_best[at], all_tokens[at]
+                path.append(at)
+                best.append(score)
+                tokens.append(n)
+            counts[word], before = tokens[-1], word
+            characters += len(word)
+        self.held += (len(all_best) - nodes) * NODE_BYTES + len(words) * WORD_BYTES + 4 * characters
 
     def _alone(self, word: str) -> int:
         best, tokens = [0.0], [0]
@@ -118,10 +128,11 @@ class SharedTrie:
 
     def count(self, texts: list[list[str]]) -> list[int]:
         """Tokens of each list of pre-tokens. A full cache starts afresh before new words come in."""
-        fresh = set().union(*texts) - self.counts.keys()
+        words = set().union(*texts)
+        fresh = words - self.counts.keys()
         if fresh and self.held > self.cache_bytes:
             self.clear()
-            fresh = set().union(*texts)
+            fresh = words
         self.add(fresh)
         return [sum(map(self.counts.__getitem__, t)) for t in texts]
 
@@ -129,7 +140,7 @@ class SharedTrie:
 def trie_counts(words: Iterable[str], model: Unigram) -> dict[str, int]:
     """Token count of each distinct word."""
     trie = SharedTrie(model)
-    trie.add(words)
+    trie.add(set(words))
     return trie.counts
 
 
