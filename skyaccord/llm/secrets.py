@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyaccord.lineage import checkpointed, stored
-from skyaccord.llm.common import SLICE_ROWS, fresh_names
+from skyaccord.llm.common import SLICE_ROWS, fresh_names, join_counted
 
 RULE_VERSION = "2"
 #: Kinds in the order in which spans with one start are listed; the first three are the base rules.
@@ -113,11 +113,15 @@ def extend_ledger(docs: DataFrame, path: str, text_col: str = "text", rule_versi
 
 
 def findings(docs: DataFrame, ledger: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule_version: str = RULE_VERSION, version_col: str | None = None) -> DataFrame:
-    """(id, blob, spans), and version where docs has a column of historical versions; a row for each row of docs: every path and version of a blob gets its findings."""
+    """(id, blob, spans), and version where docs has a column of historical versions; a row for each row of docs: every path and version of a blob gets its findings.
+
+    A blob that very many paths share is joined apart, so that no task gets all of them. Spans are null for a blob that the ledger lacks.
+    """
     version = [F.col(f"`{version_col}`").alias("version")] if version_col else []
     paths = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), *version, blob_of(text_col).alias("blob"))
     known = ledger.filter(F.col("rule_version") == rule_version).select("blob", "spans").dropDuplicates(["blob"])
-    return paths.join(known, "blob", "left")
+    counted = paths.groupBy("blob").agg(F.count("*").alias("n")).join(known, "blob", "left")
+    return join_counted(paths, counted, "blob")
 
 
 def span_text(spans: Column) -> Column:

@@ -17,15 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyaccord.lineage import checkpointed, stored
-from skyaccord.llm.common import fresh_names, map_rows, text_bytes
+from skyaccord.llm.common import fresh_names, join_counted, map_rows, text_bytes
 
 BITS, SEGMENTS, SEGMENT_BITS = 64, 2, 32
 #: Members of one key that one task compares; a fuller key is dealt out as pairs of blocks.
 MAX_RUN = 8192
 #: Rows of a helper table up to which it is broadcast (a few dozen bytes each).
 BROADCAST_ROWS = 100_000
-#: A key of more than one in HOT_SHARE rows, and of more than HOT_ROWS, is joined apart.
-HOT_SHARE, HOT_ROWS = 10_000, 1_000
 
 
 def shingle_hashes(text: bytes | None, width: int = 3, seed: int = 42) -> list[int]:
@@ -205,21 +203,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return join_counted(rows, group, "fingerprint").select("id", "fingerprint", "text_hash", "component_id")
 
 
-def join_counted(rows: DataFrame, group: DataFrame, key: str) -> DataFrame:
-    """rows with the values of their key's row in group, whose column n counts the rows of the key. Both are read twice.
-
-    Keys of more than one in HOT_SHARE rows are at most HOT_SHARE: their values are broadcast, and no task gets all their rows.
-    """
-    group = stored(group)
-    total = group.agg(F.sum("n")).first()[0] or 0
-    is_hot = F.col("n") > max(total // HOT_SHARE, HOT_ROWS)
-    hot = stored(group.filter(is_hot).drop("n"))
-    rest = rows.join(group.filter(~is_hot).drop("n"), key)
-    if not hot.limit(1).count():
-        return rest
-    return rest.unionByName(rows.join(F.broadcast(hot), key))
-
-
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 3, width: int = 3) -> DataFrame:
     """docs without all but one document (the one with the least id) of each near-duplicate group; same columns.
 
