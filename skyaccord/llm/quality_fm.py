@@ -56,7 +56,7 @@ def features(text: bytes | None, n_chars: int | None) -> tuple[np.ndarray, np.nd
         3 * _count(text, _UPPER) / size,
         1 - len(set(lines)) / max(len(lines), 1),
         max(counts.values(), default=0) / n,
-        sum(1 for b in text if b > 127) / size if size < 2 else _count(text, bytes(range(128, 256))) / size,
+        _count(text, bytes(range(128, 256))) / size,
         -1.0 if n_chars is None or n_chars < 0 else math.log2(n_chars + 1) / 24,
     )
     base = 1 << WORD_BITS
@@ -123,8 +123,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rank: int
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fold: int | None = 5, max_train: int = 4000) -> FactorisationMachine:
     """Fits on at most max_train labelled ids, the least by a hash, outside the held-out fold (crc32(id) mod fold = 0).
 
-    Ids labelled both ways or with null count as unlabelled; a repeated id is fitted as often as it stands in docs.
-    Only the features of that bounded sample reach the driver.
+    Ids labelled both ways or with null count as unlabelled; a repeated id is fitted once for each of its different
+    texts, and of all those rows again at most max_train. Only the features of that bounded sample reach the driver.
     """
     named = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).filter("id IS NOT NULL AND label IN (0, 1)")
     if fold:
@@ -133,7 +133,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = sure.select("id", "label").orderBy(F.xxhash64("id"), "id").limit(max_train)
     n_chars = F.col("`n_chars`").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_bytes(text_col).alias("text"), n_chars.alias("n_chars"))
-    picked = texts.join(F.broadcast(sample), "id")  # at most max_train rows
+    picked = texts.join(F.broadcast(sample), "id").withColumn("row", F.xxhash64("text", "n_chars"))
+    keys = picked.select("id", "row").distinct().orderBy(F.xxhash64("id", "row"), "id", "row").limit(max_train)
+    picked = picked.join(F.broadcast(keys), ["id", "row"]).dropDuplicates(["id", "row"]).select("id", "text", "n_chars", "label")  # at most max_train rows
 
     def fn(batch: pa.RecordBatch) -> dict:
         rows = [features(t, n) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
