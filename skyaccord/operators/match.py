@@ -81,27 +81,70 @@ def match_summary(left: DataFrame, right: DataFrame, matches: DataFrame, id_col:
     return one.select("n_matches", "n_1", "n_2", (F.col("n_1") - F.col("__m1")).alias("unmatched_1"), (F.col("n_2") - F.col("__m2")).alias("unmatched_2"))
 
 
-def nearest(left: DataFrame, right: DataFrame, start_arcsec: float = 4.0, factor: float = 16.0, id_col: str = "source_id", ra: str = "ra", dec: str = "dec") -> DataFrame:
+def _first_of(pairs: DataFrame, id_col: str) -> DataFrame:
+    """The closest pair of each left source, ties by the right id."""
+    w = Window.partitionBy(f"{id_col}_1").orderBy("sep_arcsec", f"{id_col}_2")
+    return pairs.withColumn("__rank", F.row_number().over(w)).filter("__rank = 1").drop("__rank")
+
+
+def nearest(left: DataFrame, right: DataFrame, start_arcsec: float = 4.0, factor: float = 16.0, rounds: int = 3, id_col: str = "source_id", ra: str = "ra", dec: str = "dec") -> DataFrame:
     """The closest right source of each left source at any distance.
 
-    The radius grows until every left source has a neighbour; only sources without one go on, so that wide and
-    costly radii see few rows. Each round is stored.
+    A few growing radii serve sources with near neighbours; only those without one go on. The rest, however far from any
+    right source, are served through cells: pairs of occupied cells are narrowed level by level to those that can hold
+    the nearest, and only the sources of those meet. Each step is stored.
     """
     todo, found, radius = valid_coords(left, ra, dec), [], start_arcsec
-    while True:
-        w = Window.partitionBy(f"{id_col}_1").orderBy("sep_arcsec", f"{id_col}_2")
-        got = pairs_within(todo, right, radius, ra=ra, dec=dec).withColumn("__rank", F.row_number().over(w)).filter("__rank = 1").drop("__rank")
-        found.append(stored(got))
+    for _ in range(rounds):
+        found.append(stored(_first_of(pairs_within(todo, right, min(radius, HALF_TURN_ARCSEC), ra=ra, dec=dec), id_col)))
         todo = stored(todo.join(found[-1].select(F.col(f"{id_col}_1").alias(id_col)), id_col, "left_anti"))
-        if radius >= HALF_TURN_ARCSEC or not todo.limit(1).count():
+        if not todo.limit(1).count():
             break
-        radius = min(radius * factor, HALF_TURN_ARCSEC)
+        radius *= factor
+    else:
+        found.append(_first_of(_pairs_by_cells(todo, valid_coords(right, ra, dec), ra, dec), id_col))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
     return out
 
 
+#: Edges of nested grid cells: 1/8, 1/64 and 1/512 of the unit, as shifts of the finest numbers.
+_FINEST, _SHIFTS = 512, (6, 3, 0)
+
+
+def _pairs_by_cells(left: DataFrame, right: DataFrame, ra: str, dec: str) -> DataFrame:
+    """Pairs of each left source with all right sources in cells that can hold its nearest; sep_arcsec as in pairs_within.
+
+    Of two cells the least and the largest distance of their points are known. A right cell stays with a left one if its
+    least distance is no more than the smallest of the largest distances. The coarsest level has at most 17^3 cells a side.
+    """
+    axes = "xyz"
+
+    def placed(df: DataFrame, side: int) -> DataFrame:
+        cells = unit_vector(F.col(f"{ra}_{side}"), F.col(f"{dec}_{side}"))
+        return suffix_columns(df, side).withColumns({f"__{a}{side}": F.floor((v + 2) * _FINEST).cast("int") for a, v in zip(axes, cells)})
+
+    a, b = placed(left, 1), placed(right, 2)
+    finest = [stored(df.select(*[f"__{x}{k}" for x in axes]).distinct()) for k, df in ((1, a), (2, b))]
+    pairs = None
+    for shift in _SHIFTS:
+        own, other = (cells.select(*[F.shiftright(f"__{x}{k}", shift).alias(f"__{x}{k}") for x in axes]).distinct() for k, cells in zip((1, 2), finest))
+        if pairs is None:
+            now = own.crossJoin(F.broadcast(other))
+        else:
+            parents = pairs.withColumnsRenamed({f"__{x}{k}": f"__p{x}{k}" for x in axes for k in (1, 2)})
+            now = parents.join(own, [F.shiftright(f"__{x}1", 3) == F.col(f"__p{x}1") for x in axes]).join(other, [F.shiftright(f"__{x}2", 3) == F.col(f"__p{x}2") for x in axes])
+        apart = [F.abs(F.col(f"__{x}1") - F.col(f"__{x}2")) for x in axes]
+        least = sum((F.pow(F.greatest(d - 1, F.lit(0)), F.lit(2)) for d in apart[1:]), F.pow(F.greatest(apart[0] - 1, F.lit(0)), F.lit(2)))
+        most = sum((F.pow(d + 1, F.lit(2)) for d in apart[1:]), F.pow(apart[0] + 1, F.lit(2)))
+        best = F.min(most).over(Window.partitionBy(*[f"__{x}1" for x in axes]))
+        pairs = stored(now.withColumns({"__least": least, "__best": best}).filter("__least <= __best").select(*[f"__{x}{k}" for k in (1, 2) for x in axes]))
+    sep = ang_sep_arcsec(F.col(f"{ra}_1"), F.col(f"{dec}_1"), F.col(f"{ra}_2"), F.col(f"{dec}_2"))
+    met = a.join(pairs, [f"__{x}1" for x in axes]).join(b, [f"__{x}2" for x in axes])
+    return met.drop(*[f"__{x}{k}" for k in (1, 2) for x in axes]).withColumn("sep_arcsec", sep)
+
+
 def calibrators_within(targets: DataFrame, calibrators: DataFrame, limit_deg: float = 16.0, name: str = "name") -> DataFrame:
     """(target, calibrator, sep_deg) within the limit, a target's own name left out."""
     pairs = pairs_within(targets, calibrators, limit_deg * 3600)

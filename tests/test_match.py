@@ -73,6 +73,19 @@ def test_nearest_at_any_distance(spark):
     assert got == {(a[0], min(right, key=lambda b: sep(a, b))[0]) for a in left}
 
 
+def test_nearest_between_disjoint_areas(spark):
+    """Most sources lie far from the other catalogue; cells must keep the nearest, and few others."""
+    rng = random.Random(4)
+    left = [(k, rng.random() * 360, math.degrees(math.asin(rng.uniform(-1, 1)))) for k in range(150)] + [(200, 0.0, 90.0), (201, 123.0, -90.0), (202, 359.9999, 0.0)]
+    right = [(k, rng.uniform(100, 103), rng.uniform(40, 43)) for k in range(150)] + [(k, rng.uniform(-1, 1) % 360, rng.uniform(-1, 1)) for k in range(300, 340)] + [(400, 10.0, 89.0)]
+    a, b = spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA)
+    want = {p[0]: min(sep(p, q) for q in right) for p in left}
+    got = {r.source_id_1: r.sep_arcsec for r in match.nearest(a, b).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+    candidates = match._pairs_by_cells(a, b, "ra", "dec").count()
+    assert len(left) <= candidates < 0.1 * len(left) * len(right)
+
+
 def test_bad_coordinates_match_nothing(spark):
     df = spark.createDataFrame([(1, None, 0.0), (2, float("nan"), 0.0), (3, 1.0, float("inf")), (4, 1.0, 1.0)], SCHEMA)
     assert ids(match.sky_match(df, df, 1.0)) == {(4, 4)}
