@@ -123,6 +123,31 @@ def _chauvenet_sql(rounds: int = 3) -> str:
     return sql(f"{text} SELECT image_id, {_CLASSIC} FROM r{rounds} GROUP BY 1", "pixels")
 
 
+def _solve(m: str, r: str) -> list[str]:
+    """Cramer's rule for a symmetric 3 x 3 system with columns {m}00 to {m}22 and {r}0 to {r}2."""
+    a, b, c, d, e, f = (f"{m}{k}" for k in ("00", "01", "02", "11", "12", "22"))
+    x, y, z = (f"{r}{k}" for k in range(3))
+    det = f"({a}*({d}*{f} - {e}*{e}) - {b}*({b}*{f} - {c}*{e}) + {c}*({b}*{e} - {c}*{d}))"
+    tops = (f"{x}*({d}*{f} - {e}*{e}) - {b}*({y}*{f} - {e}*{z}) + {c}*({y}*{e} - {d}*{z})", f"{a}*({y}*{f} - {z}*{e}) - {x}*({b}*{f} - {c}*{e}) + {c}*({b}*{z} - {y}*{c})", f"{a}*({d}*{z} - {e}*{y}) - {b}*({b}*{z} - {y}*{c}) + {x}*({b}*{e} - {c}*{d})")
+    return [f"({t})/CASE WHEN abs({det}) > 1e-300 THEN {det} END" for t in tops]
+
+
+def _curved_sql(steps: int = 6) -> str:
+    """A parabola in the logarithms, then Gauss-Newton steps, each in its own table."""
+    def sums(basis: tuple[str, str, str], right: str) -> str:
+        return ", ".join([f"sum(({basis[i]})*({basis[j]})) AS m{i}{j}" for i in range(3) for j in range(i, 3)] + [f"sum(({b})*({right})) AS r{i}" for i, b in enumerate(basis)])
+
+    x, y, z = _solve("m", "r")
+    text = f"""WITH g AS (SELECT source_id, freq_hz AS nu, i_peak AS s FROM sed_points WHERE freq_hz > 0 AND i_peak > 0), k AS (SELECT source_id, min(nu) AS nu0, count(*) AS n FROM g GROUP BY 1),
+  p AS MATERIALIZED (SELECT source_id, s, ln(nu/nu0) AS l FROM g JOIN k USING (source_id) WHERE n >= 3), s0 AS (SELECT source_id, {sums(('1.0', 'l', 'l*l'), 'ln(s)')} FROM p GROUP BY 1),
+  f0 AS MATERIALIZED (SELECT source_id, exp({x}) AS a, {y} AS b, {z} AS c, CAST(NULL AS DOUBLE) AS moved FROM s0)"""
+    for i in range(steps):
+        text += f""", q{i} AS (SELECT source_id, l, s, a, a*exp(l*(b + c*l)) AS y FROM p JOIN f{i} USING (source_id)), s{i + 1} AS (SELECT source_id, {sums(('y/a', 'y*l', 'y*l*l'), 's - y')} FROM q{i} GROUP BY 1),
+  f{i + 1} AS MATERIALIZED (SELECT source_id, a + dx AS a, b + dy AS b, c + dz AS c, abs(dx/a) AS moved FROM f{i} JOIN (SELECT source_id, {x} AS dx, {y} AS dy, {z} AS dz FROM s{i + 1}) AS d USING (source_id))"""
+    rounds = ", ".join(f"round(CASE WHEN moved < 0.01 THEN {v} END, 4) + 0.0 AS {v}" for v in "abc")
+    return sql(f"{text} SELECT source_id, n, {rounds} FROM k LEFT JOIN f{steps} USING (source_id)", "sed_points")
+
+
 _PB = "1.18896*radians((source_id % 10)*0.02)/(0.0167261*1.5e9/freq_hz)"
 
 QUERIES = {
@@ -142,7 +167,7 @@ QUERIES = {
       round(sqrt(count(*)*sum(CASE WHEN abs(u) < 1 THEN d*d*pow(1 - u*u, 4) END))/abs(sum(CASE WHEN abs(u) < 1 THEN (1 - u*u)*(1 - 5*u*u) END)), 9) + 0.0 AS sigma, round(any_value(m), 9) + 0.0 AS median FROM w GROUP BY 1""", "pixels")),
     "selected_planes": (selected_planes, sql("WITH l AS (SELECT image_id, max(plane) AS hi FROM pixels GROUP BY 1), r AS (SELECT image_id, 'low' AS role, (SELECT min(plane) FROM pixels) AS plane FROM l UNION ALL SELECT image_id, 'high', hi FROM l) SELECT image_id, role, count(*) AS n, R(sum(value)) AS total FROM pixels JOIN r USING (image_id, plane) GROUP BY 1, 2", "pixels")),
     "sed_slope": (sed_slope, sql("SELECT source_id, count(*) AS n, " + ", ".join(f"round({e}, 9) + 0.0 AS {n}" for n, e in (("median_i", "median(i_peak)"), ("std_i", "stddev_pop(i_peak)"), ("alpha", "regr_slope(log10(i_peak), log10(freq_hz))"), ("median_v", "median(v_peak)"), ("std_v", "stddev_pop(v_peak)"))) + " FROM sed_points WHERE i_peak > 0 GROUP BY 1", "sed_points")),
-    "curved_sed": (curved_sed, None),
+    "curved_sed": (curved_sed, _curved_sql()),
     "lin_pol": (lin_pol, sql("SELECT source_id, count(*) AS n, round(avg(sqrt(q_peak*q_peak+u_peak*u_peak)), 9) + 0.0 AS p, round(max(sqrt(q_peak*q_peak+u_peak*u_peak)), 9) + 0.0 AS p_max FROM sed_points GROUP BY 1", "sed_points")),
     "pol_summary": (pol_summary, sql("WITH s AS (SELECT freq_hz, round(q_peak, 6) + 0.0 AS q, round(u_peak, 6) + 0.0 AS u FROM sed_points) SELECT freq_hz, round(avg(sqrt(q*q+u*u)), 4) + 0.0 AS mean_p, round(stddev_pop(sqrt(q*q+u*u)), 4) + 0.0 AS std_p, round(avg(degrees(atan2(u, q))/2), 4) + 0.0 AS mean_pa FROM s GROUP BY 1", "sed_points")),
     "pb_corrected": (pb_corrected, sql(f"SELECT source_id, round(avg(i_peak/pow(cos(pi()*{_PB})/(1 - 4*{_PB}*{_PB}), 2)), 11) + 0.0 AS corrected FROM sed_points GROUP BY 1", "sed_points")),
