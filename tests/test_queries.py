@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from skyaccord import catalogue
 from tests.conftest import SF
 
-TABLES = ("nation", "customer", "part", "orders", "lineitem", "embeddings")
+TABLES = ("nation", "customer", "supplier", "part", "orders", "lineitem", "embeddings")
 
 
 @pytest.fixture(scope="module")
