@@ -109,8 +109,8 @@ def nearest(left: DataFrame, right: DataFrame, start_arcsec: float = 4.0, factor
     return out
 
 
-#: Edges of nested grid cells: 1/8, 1/64 and 1/512 of the unit, as shifts of the finest numbers.
-_FINEST, _SHIFTS = 512, (6, 3, 0)
+#: Nested grid cells of 1/8, 1/64 and 1/512 of the unit under one that holds all: shifts of the finest numbers, and from each to the level above.
+_FINEST, _LEVELS = 512, ((6, 5), (3, 3), (0, 3))
 
 
 def _pairs_by_cells(left: DataFrame, right: DataFrame, ra: str, dec: str) -> DataFrame:
@@ -127,14 +127,12 @@ def _pairs_by_cells(left: DataFrame, right: DataFrame, ra: str, dec: str) -> Dat
 
     a, b = placed(left, 1), placed(right, 2)
     finest = [stored(df.select(*[f"__{x}{k}" for x in axes]).distinct()) for k, df in ((1, a), (2, b))]
-    pairs = None
-    for shift in _SHIFTS:
+    pairs = left.sparkSession.range(1).select(*[F.lit(0).alias(f"__{x}{k}") for k in (1, 2) for x in axes])
+    for shift, above in _LEVELS:
         own, other = (cells.select(*[F.shiftright(f"__{x}{k}", shift).alias(f"__{x}{k}") for x in axes]).distinct() for k, cells in zip((1, 2), finest))
-        if pairs is None:
-            now = own.crossJoin(F.broadcast(other))
-        else:
-            parents = pairs.withColumnsRenamed({f"__{x}{k}": f"__p{x}{k}" for x in axes for k in (1, 2)})
-            now = parents.join(own, [F.shiftright(f"__{x}1", 3) == F.col(f"__p{x}1") for x in axes]).join(other, [F.shiftright(f"__{x}2", 3) == F.col(f"__p{x}2") for x in axes])
+        now = pairs.withColumnsRenamed({f"__{x}{k}": f"__p{x}{k}" for x in axes for k in (1, 2)})
+        for k, cells in ((1, own), (2, other)):
+            now = now.join(cells, [F.shiftright(f"__{x}{k}", above) == F.col(f"__p{x}{k}") for x in axes])
         apart = [F.abs(F.col(f"__{x}1") - F.col(f"__{x}2")) for x in axes]
         least = sum((F.pow(F.greatest(d - 1, F.lit(0)), F.lit(2)) for d in apart[1:]), F.pow(F.greatest(apart[0] - 1, F.lit(0)), F.lit(2)))
         most = sum((F.pow(d + 1, F.lit(2)) for d in apart[1:]), F.pow(apart[0] + 1, F.lit(2)))
