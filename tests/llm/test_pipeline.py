@@ -6,7 +6,8 @@ import pytest
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from skyaccord.llm import decontam, quality_fm, queries, secrets  # noqa: E402
-from tests.llm.test_llm_operators import brute_components, brute_contamination, brute_fingerprint, check_packing  # noqa: E402
+from tests.llm.test_llm_operators import brute_contamination, check_packing  # noqa: E402
+from tests.llm.test_similar import brute_groups  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,8 +28,8 @@ def test_stages_follow_their_rules(spark, tmp_path):
             assert set(now) == {r.id for r in quality_fm.score(docs, fm).collect() if r.score >= 0.3}
         elif k == 1:
             ordered = sorted(before.values(), key=lambda r: r.doc_id)
-            labels = brute_components([brute_fingerprint(r.text) for r in ordered])
-            assert set(now) == {ordered[i].doc_id for i in set(labels.tolist())}
+            groups = brute_groups([r.text for r in ordered])  # five words, similarity 0.8; the least id stays
+            assert set(now) == {ordered[i].doc_id for i in set(groups)} and len(now) < len(before)
         elif k == 2:
             items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
             want = set()
