@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyaccord.llm import decontam, langid, packing, periodic, perplexity, pseudo_likelihood, quality_fm, secrets, sharding, simhash, tokencount
+from skyaccord.llm import decontam, langid, packing, periodic, perplexity, pseudo_likelihood, quality_fm, secrets, sharding, simhash, tier_packing, tokencount
 from skyaccord.llm.common import id_crc32
 
 
@@ -69,12 +69,16 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doc_id(pseudo_likelihood.score(pseudo_likelihood.gather_windows(docs), pseudo_likelihood.train(docs)))
 
 
+def op11_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _doc_id(tier_packing.pack_tiers(_table(spark, sf_dir, "documents"), tier_packing.VOCABULARY))
+
+
 def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doc_id(periodic.digests(periodic.periodic_runs(_table(spark, sf_dir, "documents"), rewrite=periodic.planted)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_simhash, op2_sharding, op3_quality, op4_perplexity, op5_packing, op6_tokens, op7_language, op8_decontamination, op9_secrets, op10_pseudo_likelihood, op12_periodic)
+    every = (op1_simhash, op2_sharding, op3_quality, op4_perplexity, op5_packing, op6_tokens, op7_language, op8_decontamination, op9_secrets, op10_pseudo_likelihood, op11_tier_packing, op12_periodic)
     return {f.__name__: f for f in every}
 
 
