@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyaccord.llm import decontam, langid, packing, periodic, perplexity, pseudo_likelihood, quality_fm, secrets, sharding, simhash, tier_packing, tokencount
+from skyaccord.llm import decontam, langid, packing, periodic, perplexity, prefix_trie, pseudo_likelihood, quality_fm, secrets, sharding, simhash, tier_packing, tokencount
 from skyaccord.llm.common import id_crc32
 
 
@@ -77,8 +77,12 @@ def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doc_id(periodic.digests(periodic.periodic_runs(_table(spark, sf_dir, "documents"), rewrite=periodic.planted)))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.spliced(prefix_trie.turn_lists(_table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_simhash, op2_sharding, op3_quality, op4_perplexity, op5_packing, op6_tokens, op7_language, op8_decontamination, op9_secrets, op10_pseudo_likelihood, op11_tier_packing, op12_periodic)
+    every = (op1_simhash, op2_sharding, op3_quality, op4_perplexity, op5_packing, op6_tokens, op7_language, op8_decontamination, op9_secrets, op10_pseudo_likelihood, op11_tier_packing, op12_periodic, op13_prefix_trie)
     return {f.__name__: f for f in every}
 
 
@@ -107,6 +111,43 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
 FROM sharded
 """
 
+# A node's name is a digest of its turns; its subtree is found through the ancestors of each node.
+_OP13 = """
+WITH crc_table AS (
+  SELECT list(v ORDER BY k) AS t FROM (
+    SELECT k, list_reduce(list_prepend(k::UBIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+      lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS v
+    FROM range(256) AS r(k))
+), turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (SELECT DISTINCT conv_id AS c, conv_id::VARCHAR AS s FROM turns
+), convs AS (
+  SELECT c, c - c % 100 AS base, xor(list_reduce(list_prepend(4294967295::UBIGINT, [ascii(s[i])::UBIGINT for i in range(1, length(s) + 1)]),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT % 6 AS h FROM ids, crc_table
+), parts AS (
+  SELECT c, 0 AS own, k, role, text FROM convs JOIN turns ON turns.conv_id = base AND k <= h
+  UNION ALL SELECT c, 1, k, role, text FROM convs JOIN turns ON turns.conv_id = c AND k > h
+), rebuilt AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, k) AS d, role, text FROM parts
+), paths AS (
+  SELECT c, 0 AS d, '' AS node, CAST(NULL AS VARCHAR) AS parent, 0 AS chars FROM convs
+  UNION ALL
+  SELECT c, d, node, lag(node, 1, '') OVER (PARTITION BY c ORDER BY d) AS parent, chars FROM (
+    SELECT c, d, length(text) AS chars, sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY c ORDER BY d)) AS node FROM rebuilt) AS r
+), sizes AS (SELECT c, max(d) AS n FROM paths GROUP BY c
+), nodes AS (
+  SELECT node, any_value(d) AS d, any_value(parent) AS parent, min(c) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = n), '')) AS ends_sha256
+  FROM paths JOIN sizes USING (c) GROUP BY node
+), kids AS (SELECT parent, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+), below AS (
+  SELECT p.node, count(*) FILTER (kids.parent IS NULL) AS n_leaves, sum((m.n_convs - 1) * m.chars)::BIGINT AS saved_tokens
+  FROM nodes AS m JOIN paths AS p ON p.c = m.conv_id AND p.d <= m.d LEFT JOIN kids ON kids.parent = m.node GROUP BY p.node
+)
+SELECT a.conv_id, a.d::BIGINT AS depth, b.conv_id AS parent_conv_id, a.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, a.ends_sha256
+FROM nodes AS a LEFT JOIN nodes AS b ON b.node = a.parent LEFT JOIN kids ON kids.parent = a.node JOIN below ON below.node = a.node
+"""
+
 _OP8 = r"""
 WITH doc AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -162,4 +203,4 @@ FROM doc LEFT JOIN digest USING (r)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": _OP2, "op8_decontamination": _OP8, "op9_secrets": _OP9}
+    return {"op2_sharding": _OP2, "op8_decontamination": _OP8, "op9_secrets": _OP9, "op13_prefix_trie": _OP13}
