@@ -11,7 +11,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -29,8 +31,8 @@ STEP_TOKENS = 1 << 17
 END, WIDTH = 1, 4
 #: Documents and token bytes that are packed together; what does not fill a shortest window is carried to the next pack of the task.
 PACK_ROWS, PACK_BYTES = 4096, 16_000_000
-#: Words and letter runs that a Python worker remembers; only time depends on it.
-WORDS_KEPT, CORES_KEPT = 400_000, 700_000
+#: Words and stretches of them that a Python worker remembers; only time and memory depend on it.
+WORDS_KEPT, PARTS_KEPT = 1_000_000, 1_000_000
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, nth long, part long"
 
 # Latin letters that stay letters in lower case, and ASCII marks and digits without ' and < (these open contractions and special tokens).
@@ -47,43 +49,50 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.parts: dict[bytes, bytes] = {b"": b""}
 
-    def _encode(self, texts: list[str]) -> None:
-        for at in range(0, len(texts), 4096):
-            part = texts[at : at + 4096]
-            for text, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.cores[text] = b"".join([i.to_bytes(WIDTH, "little") for i in got.ids])
+    def _encode(self, parts: list[bytes]) -> None:
+        for at in range(0, len(parts), 4096):
+            some = parts[at : at + 4096]
+            for part, got in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
+                self.parts[part] = array("I", got.ids).tobytes()
 
     def _learn(self, unknown: Iterable[bytes]) -> None:
-        split: list[tuple[bytes, list[str]]] = []
+        if len(self.parts) > PARTS_KEPT:
+            self.parts = {b"": b""}
+        words, known, new = self.words, self.parts, set()
+        plain: list[tuple[bytes, bytes, bytes]] = []
+        mixed: list[tuple[bytes, list[bytes]]] = []
         for w in unknown:
             low = w.lower()  # ASCII letters only
             core = low.rstrip(b".,;:!?")
             if core.isalpha():
-                split.append((w, [core.decode(), low[len(core) :].decode()] if len(core) < len(low) else [low.decode()]))
-                continue
-            text = low.decode()
-            split.append((w, _PART.findall(text) if _SIMPLE.fullmatch(text) else [w.decode()]))
-        if len(self.words) > WORDS_KEPT:
-            self.words.clear()
-        if len(self.cores) > CORES_KEPT:
-            self.cores.clear()
-        cores = self.cores
-        self._encode(list(dict.fromkeys(p for _, parts in split for p in parts if p not in cores)))
-        for w, parts in split:
-            self.words[w] = b"".join([cores[p] for p in parts])
+                tail = low[len(core) :]
+                if core in known and tail in known:
+                    words[w] = known[core] + known[tail]
+                    continue
+                new.update((core, tail))
+                plain.append((w, core, tail))
+            else:
+                text = low.decode()
+                parts = [p.encode() for p in _PART.findall(text)] if _SIMPLE.fullmatch(text) else [w]
+                new.update(parts)
+                mixed.append((w, parts))
+        self._encode([p for p in new if p not in known])
+        for w, core, tail in plain:
+            words[w] = known[core] + known[tail]
+        for w, parts in mixed:
+            words[w] = b"".join([known[p] for p in parts])
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text, 32 bits little-endian each, with the id that ends it."""
         every = [(t or b"").split() for t in texts]  # at ASCII white space
-        ids = [list(map(self.words.get, w)) for w in every]
-        unknown = {w for words, got in zip(every, ids) if None in got for w, g in zip(words, got) if g is None}
-        if unknown:
-            self._learn(unknown)
-            ids = [[b if b is not None else self.words[w] for w, b in zip(words, got)] if None in got else got for words, got in zip(every, ids)]
-        last = END.to_bytes(WIDTH, "little")
-        return [b"".join([*got, last]) for got in ids]
+        distinct = set(chain.from_iterable(every))
+        if len(self.words) > WORDS_KEPT:
+            self.words = {}
+        self._learn(distinct.difference(self.words))
+        ids, last = self.words.__getitem__, END.to_bytes(WIDTH, "little")
+        return [b"".join(map(ids, w)) + last for w in every]
 
 
 _encoders: dict[str, WordIds] = {}

@@ -52,7 +52,7 @@ def test_every_white_space_and_mark(plain, words):
 
 def test_small_stores_change_nothing(plain, monkeypatch, spark):
     monkeypatch.setattr(tier_packing, "WORDS_KEPT", 10)
-    monkeypatch.setattr(tier_packing, "CORES_KEPT", 5)
+    monkeypatch.setattr(tier_packing, "PARTS_KEPT", 5)
     small = tier_packing.WordIds(tier_packing._found(tier_packing.VOCABULARY))
     texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(30).collect()]
     for k in range(0, 30, 5):
