@@ -36,9 +36,16 @@ def stored(df: DataFrame) -> DataFrame:
     For loops: a checkpoint hands the constraints of its plan on, which grow with every round until planning
     takes longer than the work; a table starts afresh, and its known size lets Spark broadcast small ones.
     """
-    spark = df.sparkSession
+    path = scratch(df.sparkSession)
+    df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; what stands there is removed when the application ends."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(hadoop)  # only what exists can be marked for removal
+    system.deleteOnExit(hadoop)
+    return path
