@@ -15,6 +15,7 @@ from array import array
 from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -32,12 +33,16 @@ END, WIDTH = 1, 4
 #: Documents and token bytes that are packed together; what does not fill a shortest window is carried to the next pack of the task.
 PACK_ROWS, PACK_BYTES = 4096, 16_000_000
 #: Words and stretches of them that a Python worker remembers; only time and memory depend on it.
-WORDS_KEPT, PARTS_KEPT = 1_000_000, 1_000_000
+WORDS_KEPT, PARTS_KEPT = 1_200_000, 1_000_000
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, nth long, part long"
 
 # Latin letters that stay letters in lower case, and ASCII marks and digits without ' and < (these open contractions and special tokens).
 _SIMPLE = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-įı-ɏ]+|[!-&(-;=-@\[-`{-~]+)+")
 _PART = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ɏ]+|[!-&(-;=-@\[-`{-~]+")
+_LETTERS = re.compile(r"[a-zÀ-ÖØ-öø-įı-ɏ]+")
+# The printable letter that stands for each byte in a byte-level vocabulary: its own, or one from 256 on in order.
+_OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _OWN)}
 
 
 class WordIds:
@@ -48,14 +53,27 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Ids are remembered in 16 bits where they fit.
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {b"": b""}
 
     def _encode(self, parts: list[bytes]) -> None:
-        for at in range(0, len(parts), 4096):
-            some = parts[at : at + 4096]
+        """Lower-case letters go straight to the model, in the byte letters of its vocabulary, as normalising and parting would leave them as they are."""
+        rest, tokenize, code, known = [], self.tokenizer.model.tokenize, self.code, self.parts
+        for part in parts:
+            if part.isalpha():
+                text = part.decode()
+            elif _LETTERS.fullmatch(text := part.decode()):
+                text = text.lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
+            else:
+                rest.append(part)
+                continue
+            known[part] = array(code, [t.id for t in tokenize(text)]).tobytes()
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
             for part, got in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
-                self.parts[part] = array("I", got.ids).tobytes()
+                known[part] = array(code, got.ids).tobytes()
 
     def _learn(self, unknown: Iterable[bytes]) -> None:
         if len(self.parts) > PARTS_KEPT:
@@ -86,13 +104,15 @@ class WordIds:
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text, 32 bits little-endian each, with the id that ends it."""
-        every = [(t or b"").split() for t in texts]  # at ASCII white space
+        # Words are parted at ASCII white space. Upper-case ASCII letters are made lower unless a mark that composes with them may follow.
+        every = [(t if b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in (t or b"" for t in texts)]
         distinct = set(chain.from_iterable(every))
         if len(self.words) > WORDS_KEPT:
             self.words = {}
         self._learn(distinct.difference(self.words))
-        ids, last = self.words.__getitem__, END.to_bytes(WIDTH, "little")
-        return [b"".join(map(ids, w)) + last for w in every]
+        ids, last = self.words.__getitem__, array(self.code, [END]).tobytes()
+        kind = np.uint16 if self.code == "H" else np.uint32
+        return [np.frombuffer(b"".join([*map(ids, w), last]), kind).astype("<u4").tobytes() for w in every]
 
 
 _encoders: dict[str, WordIds] = {}

@@ -50,6 +50,13 @@ def test_every_white_space_and_mark(plain, words):
                 assert ids_of(words, text) == plain(text), hex(c)
 
 
+def test_every_letter_of_the_direct_way(plain, words):
+    for c in range(0x24F + 1):
+        if chr(c).isalpha():
+            for text in (chr(c), f"a{chr(c)}b {chr(c).upper()}X{chr(c)}", f"{chr(c)}."):
+                assert ids_of(words, text) == plain(text), hex(c)
+
+
 def test_small_stores_change_nothing(plain, monkeypatch, spark):
     monkeypatch.setattr(tier_packing, "WORDS_KEPT", 10)
     monkeypatch.setattr(tier_packing, "PARTS_KEPT", 5)
