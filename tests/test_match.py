@@ -73,7 +73,7 @@ def test_nearest_at_any_distance(spark):
     assert got == {(a[0], min(right, key=lambda b: sep(a, b))[0]) for a in left}
 
 
-def test_nearest_between_disjoint_areas(spark):
+def test_nearest_between_disjoint_areas(spark, monkeypatch):
     """Most sources lie far from the other catalogue; cells must keep the nearest, and few others."""
     rng = random.Random(4)
     left = [(k, rng.random() * 360, math.degrees(math.asin(rng.uniform(-1, 1)))) for k in range(150)] + [(200, 0.0, 90.0), (201, 123.0, -90.0), (202, 359.9999, 0.0)]
@@ -82,6 +82,9 @@ def test_nearest_between_disjoint_areas(spark):
     want = {p[0]: min(sep(p, q) for q in right) for p in left}
     got = {r.source_id_1: r.sep_arcsec for r in match.nearest(a, b).collect()}
     assert got == pytest.approx(want, rel=1e-9)
+    monkeypatch.setattr(match, "ENOUGH", 20)
+    monkeypatch.setattr(match, "ENOUGH_IN_ALL", 0)
+    assert {r.source_id_1: r.sep_arcsec for r in match.nearest(a, b).collect()} == pytest.approx(want, rel=1e-9)
     candidates = match._pairs_by_cells(a, b, "ra", "dec").count()
     assert len(left) <= candidates < 0.1 * len(left) * len(right)
 
@@ -99,6 +102,63 @@ def test_jobs_do_not_mix(spark):
     assert ids(match.sky_match(df, df, 1.0, keys=["job_id"])) == {(1, 1), (2, 2)}
 
 
+@pytest.mark.parametrize("radius,spread,crowded,block", [(1.0, 4.0, 30, 1000), (1.0, 1.0, 10, 7), (5.0, 200.0, 20, 10), (30 * 3600.0, 90 * 3600.0, 15, 6)])
+def test_crowded_cells_give_the_same_pairs(spark, radius, spread, crowded, block):
+    """A crowd at RA 0, one at a pole and single sources, with two jobs; cells split, and the finest dealt to blocks."""
+    rng = random.Random(7)
+
+    def points(n):
+        out = []
+        for k in range(n):
+            ra, dec = (0.0, 10.0) if k % 3 else (50.0, 89.999)
+            if k % 10 == 0:
+                ra, dec = rng.random() * 360, rng.uniform(-80, 80)
+            out.append((k, (ra + rng.uniform(-1, 1) * spread / 3600) % 360, max(-90.0, min(90.0, dec + rng.uniform(-1, 1) * spread / 3600)), "ab"[k % 2]))
+        return out + [(n + k, 0.0, 10.0, "a") for k in range(20)]
+
+    left, right = points(150), points(200)
+    make = lambda rows: spark.createDataFrame(rows, SCHEMA + ", job string").repartition(3)
+    got = match.pairs_within(make(left), make(right), radius, ["job"], crowded=crowded, block=block).collect()
+    found = {(r.source_id_1, r.source_id_2) for r in got}
+    assert len(found) == len(got)
+    want = {(a[0], b[0]) for a in left for b in right if a[3] == b[3] and sep(a[:3], b[:3]) <= radius}
+    edge = {(a[0], b[0]) for a in left for b in right if abs(sep(a[:3], b[:3]) - radius) < 1e-6 * radius}
+    assert found - edge == want - edge and len(want) > 20
+
+
+def test_no_key_of_the_join_gets_a_crowd(spark):
+    """10^5 sources of a field inside one plain cell, and 3,000 at one point: bounded keys, and the pairs of brute force."""
+    from pyspark.sql import functions as F
+
+    field = spark.range(100_000).select(F.col("id").alias("source_id"), (F.lit(40.0) + F.rand(1) * 0.002).alias("ra"), (F.lit(-30.0) + F.rand(2) * 0.002).alias("dec"))
+    point = spark.range(3000).select((F.col("id") + 200_000).alias("source_id"), F.lit(40.001).alias("ra"), F.lit(-30.001).alias("dec"))
+    right = field.unionByName(point)
+    left = right.filter("source_id % 40 = 0")
+    crowded, block = 2_000, 500
+    a, b, meet = match.meeting(left, right, 1.0, [], "ra", "dec", crowded, block)
+    plain = match.meeting(left, right, 1.0, [], "ra", "dec", 10**9, block)[1]
+    biggest = lambda df, k, names: df.groupBy(*[f"{c}_{k}" for c in names]).count().agg(F.max("count")).first()[0]
+    assert biggest(plain, 2, ["__x", "__y", "__z"]) > 20_000
+    assert biggest(b, 2, meet) <= crowded and biggest(a, 1, meet) <= crowded
+    got = match.pairs_within(left, right, 1.0, crowded=crowded, block=block)
+    import numpy as np
+
+    rows = np.array([tuple(r) for r in right.select("source_id", "ra", "dec").collect()])
+    x = np.stack([np.cos(np.radians(rows[:, 2])) * np.cos(np.radians(rows[:, 1])), np.cos(np.radians(rows[:, 2])) * np.sin(np.radians(rows[:, 1])), np.sin(np.radians(rows[:, 2]))], axis=1)
+    limit = (2 * math.sin(math.radians(1 / 3600) / 2)) ** 2
+    mine = x[rows[:, 0] % 40 == 0]
+    want = sum(int((((m - x) ** 2).sum(axis=1) <= limit).sum()) for m in mine)
+    assert abs(got.count() - want) <= 1e-5 * want
+
+
+def test_calibrators_outside_the_limit_are_listed(spark):
+    s = "name string, source_id long, ra double, dec double"
+    targets = spark.createDataFrame([("t", 1, 10.0, 0.0), ("c1", 2, 12.0, 0.0), ("far", 3, 100.0, 0.0), ("c3", 4, 250.0, 0.0)], s)
+    cals = spark.createDataFrame([("c1", 1, 12.0, 0.0), ("c2", 2, 200.0, 0.0), ("c3", 3, 250.0, 0.0)], s)
+    got = {(r.target, r.calibrator, round(r.sep_deg, 6), r.inside) for r in match.calibrators_within(targets, cals, outside=True).collect()}
+    assert got == {("t", "c1", 2.0, True), ("c1", "c3", 122.0, False), ("far", "c1", 88.0, False), ("c3", "c2", 50.0, False), ("t", "c3", 120.0, False)}
+
+
 def test_calibrators(spark):
     s = "name string, source_id long, ra double, dec double"
     targets = spark.createDataFrame([("t", 1, 10.0, 0.0), ("c1", 2, 12.0, 0.0)], s)
