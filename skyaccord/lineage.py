@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Plan nodes that are not worth doing twice.
+_COSTLY = re.compile(r"\b(Join|Aggregate|Window|Distinct|Sort|Repartition\w*|RebalancePartitions|Intersect|Except|Deduplicate|LogicalRDD|\w*Python\w*|ArrowEval\w*|MapIn\w*|FlatMap\w*)\b")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir. Without one a local folder serves a local master only; on a cluster it is an error."""
     sc = spark.sparkContext
@@ -49,3 +54,9 @@ def scratch(spark: SparkSession) -> str:
     system.mkdirs(hadoop)  # only what exists can be marked for removal
     system.deleteOnExit(hadoop)
     return path
+
+
+def once(df: DataFrame) -> DataFrame:
+    """df for several readings: as it is where its plan only reads, selects and filters, otherwise stored."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return stored(df) if _COSTLY.search(plan) else df

@@ -9,23 +9,21 @@ from pyspark.sql import functions as F
 
 from skyaccord.functions.flux import even_poly
 from skyaccord.functions.headers import beam_arcsec, header_frequency, pixel_scale
-from skyaccord.lineage import stored
-from skyaccord.operators.stats import MAD_SCALE, attach, attach_left, exact_quantiles
+from skyaccord.lineage import once, stored
+from skyaccord.operators.stats import MAD_SCALE, attach, attach_left, exact_quantiles, quantile_table
 
 
 def image_qa(pixels: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Counts, extremes, mean, median, deviation, robust noise, percentiles and dynamic range for each image.
 
-    Percentiles are exact for images of any size. Pixels are stored once. Without noise the dynamic range is infinite.
+    Percentiles are exact for images of any size. Pixels are stored once unless they are cheap to read. Without noise the dynamic range is infinite.
     """
-    keys, rows = list(keys), stored(pixels.select(*keys, F.col("value").cast("double").alias("value")))
+    keys, rows = list(keys), once(pixels.select(*keys, F.col("value").cast("double").alias("value")))
     v = F.col("value")
-    main = rows.groupBy(*keys).agg(F.count("*").alias("n_total"), F.count(v).alias("n_finite"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
-    ranks = stored(exact_quantiles(rows, "value", {"median": 0.5, "p5": 0.05, "p95": 0.95, "p99": 0.99}, keys, ready=True))
-    main = attach(main, ranks, keys)
-    off = attach(rows.filter(v.isNotNull()), ranks.select(*keys, "median"), keys).select(*keys, F.abs(v - F.col("median")).alias("d"))
-    mad = exact_quantiles(off, "d", {"mad": 0.5}, keys, ready=True)
-    out = attach_left(main, mad, keys).withColumn("robust_rms", MAD_SCALE * F.col("mad"))
+    more = [F.count("*").alias("n_total"), F.count(v).alias("n_finite"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std")]
+    main = stored(quantile_table(rows, {"value": {"median": 0.5, "p5": 0.05, "p95": 0.95, "p99": 0.99}}, keys, more, ready=True))
+    off = attach(rows.filter(v.isNotNull()), main.select(*keys, F.col("median").alias("__m")), keys).select(*keys, F.abs(v - F.col("__m")).alias("d"))
+    out = attach_left(main, exact_quantiles(off, "d", {"mad": 0.5}, keys, ready=True), keys).withColumn("robust_rms", MAD_SCALE * F.col("mad"))
     dynamic = F.when(F.col("robust_rms") > 0, F.col("max") / F.col("robust_rms")).when(F.col("robust_rms") == 0, F.lit(float("inf")))
     return out.withColumns({"n_blank": F.col("n_total") - F.col("n_finite"), "blank_frac": (F.col("n_total") - F.col("n_finite")) / F.col("n_total"), "dynamic_range": dynamic})
 

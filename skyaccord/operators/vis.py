@@ -10,8 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyaccord.lineage import once
 from skyaccord.operators.clean import first_present
-from skyaccord.operators.stats import attach, exact_quantiles
+from skyaccord.operators.stats import attach, exact_quantiles, quantile_table
 
 PARALLEL, CROSSED = ("XX", "YY", "LL", "RR"), ("XY", "YX", "LR", "RL")
 #: Correlation codes and their labels (fixed values).
@@ -180,12 +181,9 @@ def _fitted(flags: list[bool | None] | None, n: int) -> np.ndarray:
 
 
 def _medians(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, mean, rms, flag_frac): medians of the first two, the mean of the third where the rows have it."""
-    long = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).cast("double").alias("v")) for c in ("mean", "rms")])).alias("x")).select(*keys, "x.*")
-    middle = exact_quantiles(long, "v", {"v": 0.5}, [*keys, "what"])
-    wide = [F.max(F.when(F.col("what") == c, F.col("v"))).alias(c) for c in ("mean", "rms")]
-    out = middle.groupBy(*keys).agg(*wide)
-    return attach(rows.groupBy(*keys).agg(F.avg("flag_frac").alias("flag_frac")), out, keys).select(*keys, "mean", "rms", "flag_frac") if "flag_frac" in rows.columns else out
+    """(keys, mean, rms, flag_frac): medians of the first two, the mean of the third where the rows have it, from the same passes."""
+    more = [F.avg("flag_frac").alias("flag_frac")] if "flag_frac" in rows.columns else []
+    return quantile_table(rows, {"mean": {"mean": 0.5}, "rms": {"rms": 0.5}}, keys, more).select(*keys, "mean", "rms", *(["flag_frac"] if more else []))
 
 
 def by_scan(rows: DataFrame) -> DataFrame:
@@ -194,7 +192,8 @@ def by_scan(rows: DataFrame) -> DataFrame:
 
 def by_antenna(rows: DataFrame) -> DataFrame:
     """Each baseline counts for both of its antennas (an autocorrelation twice)."""
-    return _medians(rows.select(F.explode(F.array("ant1", "ant2")).alias("ant"), "pol", "mean", "rms", "flag_frac"), ["ant", "pol"])
+    narrow = once(rows.select("ant1", "ant2", "pol", "mean", "rms", "flag_frac"))
+    return _medians(narrow.select(F.explode(F.array("ant1", "ant2")).alias("ant"), "pol", "mean", "rms", "flag_frac"), ["ant", "pol"])
 
 
 def by_baseline(rows: DataFrame) -> DataFrame:

@@ -214,6 +214,39 @@ def test_quantiles_of_any_group_equal_numpy(spark):
     assert stats.exact_quantiles(df.limit(0), "v", ps, ["g"]).count() == 0
 
 
+@pytest.mark.parametrize("margin,inside", [(3, 50_000), (-300, 20)])
+def test_ranks_are_found_in_rounds_however_bad_the_sketch(spark, monkeypatch, margin, inside):
+    """Every group goes by rounds; first brackets that miss their ranks, ties of most of a group, infinities; two columns at once."""
+    for name, v in (("IN_ONE_TASK", 0), ("MARGIN", margin), ("FEW_INSIDE", inside)):
+        monkeypatch.setattr(stats, name, v)
+    rng = np.random.default_rng(8)
+    groups = {"one": [4.0], "two": [1.0, 9.0], "ties": [5.0] * 700 + list(rng.normal(5, 1, 90)), "normal": list(rng.normal(size=1500)), "steps": list(rng.integers(0, 4, 400) * 1.0), "wide": list(np.exp(rng.normal(0, 9, 600))), "ends": [-np.inf] * 3 + list(rng.normal(size=40)) + [np.inf] * 2}
+    rows = [(g, float(v), None if k % 3 else -float(v)) for g, vs in groups.items() for k, v in enumerate(vs)]
+    df = spark.createDataFrame([*rows, ("none", None, None)], "g string, v double, w double").repartition(4)
+    ps = {"low": 0.0, "p16": 0.16, "half": 0.5, "high": 1.0}
+    got = {r.g: r for r in stats.quantile_table(df, {"v": ps, "w": {"w_half": 0.5}}, ["g"], [F.count("*").alias("n")]).collect()}
+    for g, vs in groups.items():
+        if g != "ends":
+            assert [got[g][n] for n in ps] == pytest.approx([np.quantile(vs, p) for p in ps.values()], abs=1e-12), g
+        assert got[g].w_half == pytest.approx(np.quantile([-v for k, v in enumerate(vs) if k % 3 == 0], 0.5), abs=1e-12) and got[g].n == len(vs)
+    assert got["ends"].low == -np.inf and got["ends"].high == np.inf and got["ends"].half == pytest.approx(np.quantile(groups["ends"], 0.5))
+    assert got["none"].half is None and got["none"].w_half is None
+    whole = stats.exact_quantiles(df.filter("g <> 'ends'"), "v", {"half": 0.5}).first()
+    assert whole.half == pytest.approx(np.median([v for g, vs in groups.items() if g != "ends" for v in vs]), abs=1e-12)
+
+
+def test_small_and_large_groups_side_by_side(spark, monkeypatch):
+    monkeypatch.setattr(stats, "IN_ONE_TASK", 100)
+    rng = np.random.default_rng(9)
+    groups = {None: rng.normal(size=300), "a": rng.normal(size=50), "b": rng.normal(size=500)}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, v double")
+    got = {r.g: r for r in stats.quantile_table(df, {"v": {"m": 0.5, "p": 0.84}}, ["g"], [F.avg("v").alias("mean")]).collect()}
+    for g, vs in groups.items():
+        assert (got[g].m, got[g].p, got[g]["mean"]) == pytest.approx((np.median(vs), np.quantile(vs, 0.84), vs.mean()), abs=1e-12)
+    spread = {r.g: r.nmad for r in stats.mad(df, "v", ["g"]).collect()}
+    assert spread == pytest.approx({g: 1.4826 * np.median(np.abs(vs - np.median(vs))) for g, vs in groups.items()}, abs=1e-12)
+
+
 def test_reference_antenna_goes_by_medians(spark):
     rows = spark.createDataFrame([(0, 1, 1.0, 0.5), (0, 1, 1.0, 0.5), (0, 2, 90.0, 0.1), (1, 2, 5.0, 0.2), (1, 3, 6.0, 0.4), (3, 2, 7.0, 0.3)], "ant1 int, ant2 int, mean double, rms double")
     median = {0: 1.0, 1: 3.0, 2: 7.0, 3: 6.5}  # of each antenna; above their median 4.75 are 2 and 3
