@@ -96,8 +96,8 @@ def ipc_bytes(rows: pa.Table, level: int = 6) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-#: Text bytes that are split into words at a time.
-PIECE = 1 << 20
+#: Text bytes that are split into words at a time; bytes of a word from which on it is hashed by itself.
+PIECE, LONG_WORD = 1 << 20, 128
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _BREAK = re.compile(rb"[\x20\x09-\x0D]")
 _BYTE_HASH = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -120,11 +120,15 @@ def _piece_hashes(piece: bytes) -> np.ndarray:
     power, inverse = _powers_to(len(b) + 1)
     upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE_HASH[b] * power[: len(b)])))
     h = (upto[end] - upto[start]) * inverse[start]
-    return (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    # Long words can be built whose polynomials agree modulo 2^64 for every step: they have a hash without that structure.
+    for k in np.flatnonzero(end - start >= LONG_WORD):
+        h[k] = xxhash.xxh64_intdigest(piece[start[k] : end[k]], 42)
+    return h
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word `[^\\x20\\x09-\\x0D]+` of a text, all at once: differences of a running polynomial over the bytes."""
+    """A 64-bit hash of each word `[^\\x20\\x09-\\x0D]+` of a text, all at once: differences of a running polynomial over the bytes, and XXH64 for long words."""
     parts, at = [], 0
     while at < len(text):
         cut = _BREAK.search(text, at + PIECE)

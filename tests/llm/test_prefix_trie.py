@@ -126,6 +126,17 @@ def test_query(spark):
     assert collected(queries.op13_prefix_trie(spark, sf)) == brute_trie(brute_spliced(brute_lists(rows)))
 
 
+def test_query_equals_its_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    cursor = con.execute(queries.oracle_sql()["op13_prefix_trie"])
+    names = [d[0] for d in cursor.description]
+    assert collected(queries.op13_prefix_trie(spark, sf)) == sorted((tuple(row[names.index(c)] for c in COLUMNS) for row in cursor.fetchall()), key=str)
+
+
 def test_empty_table_and_turnless(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert prefix_trie.prefix_trie(prefix_trie.turn_lists(none)).count() == 0
