@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from skyaccord.functions.sky import tangent_plane
+
 #: Header cards that may hold a frequency, in order of precedence (fixed values).
 FREQUENCY_CARDS = ("RESTFRQ", "RESTFRQ1", "FREQ", "CFREQ", "CRVAL3")
 
@@ -60,10 +62,41 @@ def inject_frequency(header: Column, hz: Column) -> Column:
     return F.when(header_frequency(header).isNotNull() | hz.isNull(), header).otherwise(F.map_concat(header, missing))
 
 
+#: Degrees in a unit of a header's axes, by the word that names it (fixed values).
+AXIS_UNITS = {"deg": 1.0, "rad": 180 / 3.141592653589793, "arcmin": 1 / 60, "arcsec": 1 / 3600}
+
+
+def pixel_scales(header: Column) -> Column:
+    """Arcsec for each pixel along both axes (x, y), from CDELT or the CD matrix.
+
+    The unit is the one that CUNIT names. Without one it is degrees, unless both steps are so small (under 1e-6) that only
+    radians make sense of them.
+    """
+    cd = {k: F.hypot(F.coalesce(card(header, f"CD{k}_1"), F.lit(0.0)), F.coalesce(card(header, f"CD{k}_2"), F.lit(0.0))) for k in (1, 2)}
+    x, y = (F.coalesce(F.abs(card(header, f"CDELT{k}")), F.when(cd[k] > 0, cd[k])) for k in (1, 2))
+    named = F.create_map(*[F.lit(v) for pair in AXIS_UNITS.items() for v in pair])
+    unit = F.try_element_at(named, F.rtrim(F.lower(F.try_element_at(header, F.lit("CUNIT1")))))
+    guessed = F.when((F.coalesce(x, y) < 1e-6) & (F.coalesce(y, x) < 1e-6), F.lit(AXIS_UNITS["rad"])).otherwise(F.lit(1.0))
+    factor = F.coalesce(unit, guessed) * 3600
+    return F.struct((x * factor).alias("x"), (y * factor).alias("y"))
+
+
 def pixel_scale(header: Column) -> Column:
-    """Arcsec for each pixel, from CDELT2, CDELT1 or the CD matrix."""
-    cd = F.hypot(card(header, "CD2_1"), card(header, "CD2_2"))
-    return F.coalesce(F.abs(card(header, "CDELT2")), F.abs(card(header, "CDELT1")), cd) * 3600
+    """Arcsec for each pixel: along y, else along x."""
+    both = pixel_scales(header)
+    return F.coalesce(both["y"], both["x"])
+
+
+def sky_to_pixel(header: Column, ra: Column, dec: Column) -> Column:
+    """(x, y) of a position in degrees in an image, counted from 0 at the middle of its first pixel; gnomonic (TAN), or orthographic (SIN) where CTYPE1 says so.
+
+    Steps come from CDELT, or from the CD matrix. Null where the header lacks a reference value or pixel.
+    """
+    xi, eta = tangent_plane(ra, dec, card(header, "CRVAL1"), card(header, "CRVAL2"), F.coalesce(F.upper(F.try_element_at(header, F.lit("CTYPE1"))).endswith("SIN"), F.lit(False)))
+    a, d = F.coalesce(card(header, "CD1_1"), card(header, "CDELT1")), F.coalesce(card(header, "CD2_2"), card(header, "CDELT2"))
+    b, c = (F.coalesce(card(header, k), F.lit(0.0)) for k in ("CD1_2", "CD2_1"))
+    det = F.when(F.abs(a * d - b * c) > 0, a * d - b * c)
+    return F.struct(((d * xi - b * eta) / det + card(header, "CRPIX1") - 1).alias("x"), ((a * eta - c * xi) / det + card(header, "CRPIX2") - 1).alias("y"))
 
 
 def beam_arcsec(header: Column) -> Column:

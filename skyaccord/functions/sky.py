@@ -114,3 +114,19 @@ def coords_from_name(name: Column) -> tuple[Column, Column]:
     ra = F.coalesce(15 * (number(long, 1) + number(long, 2) / 60 + number(long, 3) / 3600), 15 * (number(short, 1) + number(short, 2) / 60))
     dec = F.coalesce(sign(long, 4) * (number(long, 5) + number(long, 6) / 60 + number(long, 7) / 3600), sign(short, 3) * (number(short, 4) + number(short, 5) / 60))
     return ra, dec
+
+
+def tangent_plane(ra: Column, dec: Column, ra0: Column, dec0: Column, orthographic: Column | None = None) -> tuple[Column, Column]:
+    """(xi, eta) in degrees on the plane that touches the sphere at (ra0, dec0): gnomonic, or orthographic where asked. Null on the far half of the sphere."""
+    d, d0, da = F.radians(dec), F.radians(dec0), F.radians(ra - ra0)
+    east, north = F.cos(d) * F.sin(da), F.sin(d) * F.cos(d0) - F.cos(d) * F.sin(d0) * F.cos(da)
+    along = F.sin(d) * F.sin(d0) + F.cos(d) * F.cos(d0) * F.cos(da)
+    by = F.when(along > 0, along if orthographic is None else F.when(orthographic, F.lit(1.0)).otherwise(along))
+    return F.degrees(east / by), F.degrees(north / by)
+
+
+def plane_to_sky(xi: Column, eta: Column, ra0: Column, dec0: Column) -> tuple[Column, Column]:
+    """(ra, dec) of a point of the gnomonic plane, the inverse of tangent_plane."""
+    x, y, d0 = F.radians(xi), F.radians(eta), F.radians(dec0)
+    down = F.cos(d0) - y * F.sin(d0)
+    return F.pmod(ra0 + F.degrees(F.atan2(x, down)), F.lit(360.0)), F.degrees(F.atan2(F.sin(d0) + y * F.cos(d0), F.hypot(x, down)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyaccord.functions.flux import even_poly
-from skyaccord.functions.headers import beam_arcsec, header_frequency, pixel_scale
+from skyaccord.functions.headers import beam_arcsec, header_frequency, pixel_scale, pixel_scales, sky_to_pixel
 from skyaccord.lineage import once, stored
 from skyaccord.operators.stats import MAD_SCALE, attach, attach_left, exact_quantiles, quantile_table
 
@@ -149,14 +149,42 @@ def band_header(header: Column, band: Column) -> Column:
     return F.map_concat(axis, beam)
 
 
-def source_box_pixels(sources: DataFrame, pixels: DataFrame, half: int = 15, tile: int = 64) -> DataFrame:
-    """(source_id, plane, x, y, value) of the square box around each source's pixel, through a join on tiles.
+def locate_sources(sources: DataFrame, images: DataFrame) -> DataFrame:
+    """sources with xposn, yposn (from 0) and pixel_arcsec of each image (image_id, header): from ra, dec and the image's header; on sources' own image where they name one, else on every image."""
+    where = images.select(F.col("image_id").alias("__image"), F.col("header").alias("__header"))
+    if "image_id" in sources.columns:
+        joined = sources.join(where, F.col("image_id") == F.col("__image")).drop("__image")
+    else:
+        joined = sources.withColumn("__all", F.lit(0)).join(where.withColumn("__all", F.lit(0)), "__all").drop("__all").withColumnRenamed("__image", "image_id")
+    at, scales = sky_to_pixel(F.col("__header"), F.col("ra"), F.col("dec")), pixel_scales(F.col("__header"))
+    return joined.withColumns({"xposn": at["x"], "yposn": at["y"], "pixel_arcsec": F.coalesce(scales["y"], scales["x"])}).drop("__header")
+
+
+def map_values(located: DataFrame, pixels: DataFrame, plane: int = 0, out: str = "map_value") -> DataFrame:
+    """Located sources with the value of their nearest pixel in a plane; null outside the image and on blanked pixels. One equi-join on image and pixel."""
+    values = pixels.filter(F.col("plane") == plane).select(F.col("image_id").alias("__i"), F.col("x").alias("__x"), F.col("y").alias("__y"), F.col("value").alias(out))
+    on = (F.col("image_id") == F.col("__i")) & (F.round("xposn").cast("long") == F.col("__x")) & (F.round("yposn").cast("long") == F.col("__y"))
+    return located.join(values, on, "left").drop("__i", "__x", "__y")
+
+
+def source_boxes(located: DataFrame, pixels: DataFrame, box_arcsec: float = 30.0, tile: int = 64) -> DataFrame:
+    """(image_id, source_id, plane, x, y, value) of a square box of so many arcsec around each located source, in its own image."""
+    half = F.floor(F.lit(box_arcsec) / 2 / F.col("pixel_arcsec")).cast("int")
+    return source_box_pixels(located.withColumn("__half", half), pixels, F.col("__half"), tile)
+
+
+def source_box_pixels(sources: DataFrame, pixels: DataFrame, half: int | Column = 15, tile: int = 64) -> DataFrame:
+    """(source_id, plane, x, y, value) of the square box around each source's pixel, through a join on tiles; with image_id where both sides have it.
 
     A source is repeated for the few tiles that its box touches; pixels stay as they are.
     """
-    s = sources.select("source_id", F.round("xposn").cast("long").alias("__sx"), F.round("yposn").cast("long").alias("__sy"))
-    tiles = lambda c: F.sequence(F.floor((F.col(c) - half) / tile), F.floor((F.col(c) + half) / tile))
+    own = ["image_id"] if "image_id" in sources.columns and "image_id" in pixels.columns else []
+    half = F.lit(half) if isinstance(half, int) else half
+    s = sources.select(*[F.col(c).alias("__image") for c in own], "source_id", F.round("xposn").cast("long").alias("__sx"), F.round("yposn").cast("long").alias("__sy"), half.alias("__h"))
+    tiles = lambda c: F.sequence(F.floor((F.col(c) - F.col("__h")) / tile), F.floor((F.col(c) + F.col("__h")) / tile))
     s = s.withColumn("__tx", F.explode(tiles("__sx"))).withColumn("__ty", F.explode(tiles("__sy")))
     p = pixels.withColumns({"__px": F.floor(F.col("x") / tile), "__py": F.floor(F.col("y") / tile)})
-    inside = (F.abs(F.col("x") - F.col("__sx")) <= half) & (F.abs(F.col("y") - F.col("__sy")) <= half)
-    return p.join(s, (F.col("__px") == F.col("__tx")) & (F.col("__py") == F.col("__ty")) & inside).select("source_id", "plane", "x", "y", "value")
+    on = (F.col("__px") == F.col("__tx")) & (F.col("__py") == F.col("__ty")) & (F.abs(F.col("x") - F.col("__sx")) <= F.col("__h")) & (F.abs(F.col("y") - F.col("__sy")) <= F.col("__h"))
+    for _ in own:
+        on = on & (F.col("image_id") == F.col("__image"))
+    return p.join(s, on).select(*own, "source_id", "plane", "x", "y", "value")

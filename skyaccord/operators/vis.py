@@ -34,11 +34,13 @@ def pol_label(code: Column) -> Column:
 
 
 def select_field(main: DataFrame, field: DataFrame, wanted: str | None) -> DataFrame:
-    """Rows of a field: by exact name, else by its number, else (None) all. The field table has a row for each field."""
+    """Rows of a field: by exact name, else by its number, else (None) all; a name or number that no field has is an error. The field table has a row for each field."""
     if wanted is None:
         return main
     named = field.filter(F.col("name") == wanted).select("field_id")
-    if not named.limit(1).count() and wanted.lstrip("-").isdigit():
+    if not named.limit(1).count():
+        if not wanted.lstrip("-").isdigit():
+            raise ValueError(f"there is no field {wanted}")
         named = field.filter(F.col("field_id") == int(wanted)).select("field_id")
         if not named.limit(1).count():
             raise ValueError(f"field {wanted} is out of range")
@@ -269,6 +271,13 @@ def decide_bands(spw: DataFrame, bands: DataFrame) -> DataFrame:
     return rows.select("band", lo.alias("lo_hz"), hi.alias("hi_hz"))
 
 
+def refant_from_spectra(spectra: DataFrame, spw: DataFrame, amp: str = "amp") -> DataFrame:
+    """choose_refant over the middle channels (20 to 80 percent of each window) of spectra (ant1, ant2, spw, amp): mean amplitude and noise of each row come from those."""
+    limits = calibration_channels(spw).withColumnsRenamed({"first": "__first", "last": "__last"})
+    cut = spectra.join(limits, "spw").withColumn(amp, channel_slice(F.col(amp), F.col("__first"), F.col("__last"))).drop("__first", "__last")
+    return choose_refant(row_amp_stats(cut, amp))
+
+
 def choose_refant(rows: DataFrame) -> DataFrame:
     """(ant, mean, rms): of the antennas whose median amplitude is above the median of antennas, the one with the least noise (ties: the least antenna)."""
     each = rows.select(F.explode(F.array("ant1", "ant2")).alias("ant"), "mean", "rms")

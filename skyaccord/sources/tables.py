@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
+
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyaccord.functions.headers import parse_frequency
+from skyaccord.lineage import stored
 from skyaccord.operators.clean import nan_to_null
+from skyaccord.operators.match import sky_match
+from skyaccord.sources import fits
 
 #: Columns of the ASCII catalogue by position, counted from 1 (fixed values).
 ASCII_COLUMNS = {1: "source_id", 3: "ra", 4: "e_ra", 5: "dec", 6: "e_dec", 7: "total_flux", 8: "e_total_flux", 9: "peak_flux", 10: "e_peak_flux", 15: "maj", 16: "e_maj", 17: "min", 18: "e_min", 19: "pa", 20: "e_pa", 43: "isl_rms"}
@@ -86,17 +96,84 @@ def parse_filelist(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter("freq_hz IS NOT NULL").select("ord", "path", "freq_hz"), rows.filter("freq_hz IS NULL").select("ord", "value")
 
 
-def scan_glob(spark: SparkSession, glob: str, schema: str, on_error: str = "row") -> tuple[DataFrame, DataFrame]:
-    """(rows, files) of one Parquet table for each scan: rows carry scan_id, files tell how many rows were read.
+def check_tables(files: DataFrame) -> DataFrame:
+    """(path, n, error) of Parquet files (path): inside tasks each footer and then each page is read, a batch at a time; n counts the rows that could be read.
+
+    The error tells a missing file from one that is no Parquet file, and from one that breaks off. Files are reached
+    as the FITS source reaches them.
+    """
 
-    Broken files are skipped; on_error='row' still lists them with n = 0, 'skip' leaves them out.
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path in frame["path"]:
+                n, problem = 0, None
+                try:
+                    system, place = fits._system(path)
+                    with system.open_input_file(place) as raw:
+                        for batch in pq.ParquetFile(raw).iter_batches(8192):
+                            n += batch.num_rows
+                except FileNotFoundError:
+                    problem = "missing"
+                except (OSError, ValueError, pa.ArrowException) as e:
+                    problem = f"{type(e).__name__}: {e}"
+                yield pd.DataFrame({"path": [path], "n": [n], "error": [problem]})
+
+    return files.select("path").mapInPandas(run, "path string, n long, error string")
+
+
+def scan_glob(spark: SparkSession, glob: str | list[str], schema: str, on_error: str = "row") -> tuple[DataFrame, DataFrame]:
+    """(rows, files) of one Parquet table for each scan: rows carry scan_id, files tell how many rows were read and, for a broken or missing file, the reason.
+
+    Rows come from files that can be read; on_error='row' lists the others with their error and the n of rows that rows has of
+    them, 'skip' leaves them out. A list may name files that do not exist.
     """
-    rows = spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(glob).withColumn("scan_id", F.col("_metadata.file_name"))
+    if isinstance(glob, str):
+        names = list_files(spark, glob).select("path")
+    else:
+        names = spark.createDataFrame([(p,) for p in glob], "path string")
+    state = stored(check_tables(names.repartition(max(1, min(names.count(), 10_000))))).withColumn("scan_id", F.element_at(F.split("path", "/"), -1))
+    reader = spark.read.schema(schema).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    there = [glob] if isinstance(glob, str) else [r["path"] for r in state.filter("error IS NULL OR error <> 'missing'").select("path").collect()]  # named files only
+    rows = (reader.parquet(*there) if there else spark.createDataFrame([], schema)).withColumn("scan_id", F.col("_metadata.file_name") if there else F.lit(None).cast("string"))
     read = rows.groupBy("scan_id").agg(F.count("*").alias("n"))
-    if on_error == "skip":
-        return rows, read
-    names = list_files(spark, glob).select(F.element_at(F.split("path", "/"), -1).alias("scan_id")).distinct()
-    return rows, names.join(read, "scan_id", "left").select("scan_id", F.coalesce("n", F.lit(0)).alias("n"))
+    files = state.select("scan_id", "error").join(read, "scan_id", "left").select("scan_id", F.coalesce("n", F.lit(0)).alias("n"), "error")
+    return rows, files if on_error == "row" else files.filter("error IS NULL")
+
+
+def run_jobs(spark: SparkSession, jobs: Mapping[str, Callable[[], int | None]], at_once: int = 4) -> DataFrame:
+    """(job, ok, rows, error, seconds): functions that each run and write a job of their own, several at a time, each in a scheduler pool of its name.
+
+    A job that fails leaves the others alone: its row has the error. What a function returns is reported as its rows.
+    """
+
+    def one(name: str) -> tuple:
+        began = time.monotonic()
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+        try:
+            rows, error = jobs[name](), None
+        except Exception as e:  # noqa: BLE001 (a job may fail in any way)
+            rows, error = None, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+        return name, error is None, rows, error, time.monotonic() - began
+
+    with ThreadPoolExecutor(max(1, min(at_once, len(jobs)))) as pool:
+        done = list(pool.map(one, jobs))
+    return spark.createDataFrame(done, "job string, ok boolean, rows long, error string, seconds double")
+
+
+def match_catalogues(spark: SparkSession, jobs: Mapping[str, tuple[str, str]], out: str, radius_arcsec: float = 1.0, mode: str = "one_to_one", at_once: int = 4) -> DataFrame:
+    """Match jobs {name: (left path, right path)} with the results under out/name, and run_jobs' table of how each went."""
+
+    def job(name: str, left: str, right: str) -> Callable[[], int]:
+        def run() -> int:
+            found = sky_match(read_catalog(spark, left), read_catalog(spark, right), radius_arcsec, mode)
+            found.write.mode("overwrite").parquet(f"{out}/{name}")
+            return spark.read.parquet(f"{out}/{name}").count()
+
+        return run
+
+    return run_jobs(spark, {name: job(name, *paths) for name, paths in jobs.items()}, at_once)
 
 
 def union_jobs(catalogues: list[tuple[str, DataFrame]]) -> DataFrame:

@@ -165,6 +165,72 @@ def test_catalogues_scans_and_manifests(spark, tmp_path):
     assert sorted(r.job_id for r in jobs.collect()) == ["j1", "j2"]
 
 
+def test_unreadable_scans_are_listed_with_their_reason(spark, tmp_path):
+    spark.range(5000).selectExpr("id AS source_id", "id * 1.5D AS ra").coalesce(1).write.option("parquet.block.size", 4096).parquet(f"{tmp_path}/w")
+    whole = next((tmp_path / "w").glob("*.parquet")).read_bytes()
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "good.parquet").write_bytes(whole)
+    (tmp_path / "s" / "cut.parquet").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "s" / "text.parquet").write_bytes(b"nothing")
+    (tmp_path / "s" / "flipped.parquet").write_bytes(whole[:60] + bytes(200) + whole[260:])
+    rows, files = tables.scan_glob(spark, f"{tmp_path}/s/*.parquet", "source_id long, ra double")
+    got = {r.scan_id: (r.n, r.error) for r in files.collect()}
+    assert got["good.parquet"] == (5000, None) and rows.filter("scan_id = 'good.parquet'").count() == 5000
+    assert all(got[n][1] and "missing" not in got[n][1] for n in ("cut.parquet", "text.parquet", "flipped.parquet")) and len(got) == 4
+    named = [f"{tmp_path}/s/good.parquet", f"{tmp_path}/s/absent.parquet", f"{tmp_path}/s/text.parquet"]
+    rows, files = tables.scan_glob(spark, named, "source_id long, ra double")
+    got = {r.scan_id: (r.n, r.error) for r in files.collect()}
+    assert got["absent.parquet"] == (0, "missing") and got["good.parquet"] == (5000, None) and got["text.parquet"][0] == 0 and rows.count() == 5000
+    assert tables.scan_glob(spark, named[1:2], "source_id long")[1].count() == 1
+    assert [r.scan_id for r in tables.scan_glob(spark, named, "source_id long", "skip")[1].collect()] == ["good.parquet"]
+
+
+def test_a_failing_job_leaves_the_others(spark, tmp_path):
+    cat = spark.createDataFrame([(1, 10.0, 5.0), (2, 20.0, 5.0)], "source_id long, ra double, dec double")
+    cat.write.parquet(f"{tmp_path}/a")
+    cat.drop("dec").write.parquet(f"{tmp_path}/no_dec")
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "x.parquet").write_bytes(b"junk")
+    jobs = {"good": (f"{tmp_path}/a", f"{tmp_path}/a"), "absent": (f"{tmp_path}/a", f"{tmp_path}/nowhere"), "column": (f"{tmp_path}/no_dec", f"{tmp_path}/a"), "junk": (f"{tmp_path}/broken", f"{tmp_path}/a"), "again": (f"{tmp_path}/a", f"{tmp_path}/a")}
+    got = {r.job: r for r in tables.match_catalogues(spark, jobs, f"{tmp_path}/out").collect()}
+    assert {n: (r.ok, r.rows) for n, r in got.items()} == {"good": (True, 2), "again": (True, 2), "absent": (False, None), "column": (False, None), "junk": (False, None)}
+    assert "dec" in got["column"].error and all(r.error for r in got.values() if not r.ok) and spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+    assert spark.read.parquet(f"{tmp_path}/out/again").count() == 2
+
+
+def test_positions_to_pixels(spark):
+    cards = dict(CRVAL1="150.0", CRVAL2="-40.0", CRPIX1="33", CRPIX2="17", CDELT1="-0.01", CDELT2="0.01", CTYPE1="RA---TAN")
+    at = lambda ra, dec, **more: one(spark, headers.sky_to_pixel(header(**{**cards, **more}), F.lit(ra), F.lit(dec)))
+    assert tuple(at(150.0, -40.0)) == (32.0, 16.0)
+    east, north = at(149.9, -39.9), sky.tangent_plane(F.lit(149.9), F.lit(-39.9), F.lit(150.0), F.lit(-40.0))
+    xi, eta = one(spark, north[0]), one(spark, north[1])
+    assert (east.x, east.y) == (pytest.approx(32 + xi / -0.01), pytest.approx(16 + eta / 0.01)) and east.x > 32 and east.y > 16
+    back = sky.plane_to_sky(F.lit(xi), F.lit(eta), F.lit(150.0), F.lit(-40.0))
+    assert (one(spark, back[0]), one(spark, back[1])) == (pytest.approx(149.9), pytest.approx(-39.9))
+    turned = at(149.9, -39.9, CD1_1="0.0", CD1_2="0.01", CD2_1="0.01", CD2_2="0.0")
+    assert (turned.x, turned.y) == (pytest.approx(32 + eta / 0.01), pytest.approx(16 + xi / 0.01))
+    assert at(330.0, 40.0).x is None and abs(at(140.0, -40.0, CTYPE1="RA---SIN").x) < abs(at(140.0, -40.0).x)
+    scales = lambda **c: tuple(one(spark, headers.pixel_scales(header(**c))))
+    assert scales(CDELT1="-0.001", CDELT2="0.002") == (pytest.approx(3.6), pytest.approx(7.2))
+    assert scales(CD1_1="0.003", CD1_2="0.004", CD2_1="0.0", CD2_2="0.001") == (pytest.approx(18.0), pytest.approx(3.6))
+    assert scales(CDELT1="-4e-7", CDELT2="4e-7") == (pytest.approx(4e-7 * 206264.806247), pytest.approx(4e-7 * 206264.806247))
+    assert scales(CDELT1="2", CDELT2="3", CUNIT1="arcsec") == (pytest.approx(2.0), pytest.approx(3.0)) and scales(BUNIT="Jy") == (None, None)
+
+
+def test_boxes_and_map_values_from_positions(spark):
+    cards = dict(CRVAL1="10.0", CRVAL2="0.0", CRPIX1="11", CRPIX2="11", CDELT1="-0.002", CDELT2="0.002")
+    images = spark.range(2).select(F.concat(F.lit("i"), "id").alias("image_id"), header(**cards).alias("header"))
+    pixels = spark.createDataFrame([(i, 0, x, y, None if (x, y) == (13, 10) else float(100 * x + y)) for i in ("i0", "i1") for x in range(21) for y in range(21)], "image_id string, plane int, x long, y long, value double")
+    src = spark.createDataFrame([(1, "i0", 10.0, 0.0), (2, "i1", 9.9959, 0.00001), (3, "i0", 9.994, 0.0), (4, "i0", 50.0, 0.0)], "source_id int, image_id string, ra double, dec double")
+    located = image.locate_sources(src, images)
+    assert {r.source_id: r.map_value for r in image.map_values(located, pixels).collect()} == {1: 1010.0, 2: 1210.0, 3: None, 4: None}
+    boxes = image.source_boxes(located, pixels, 30.0).groupBy("image_id", "source_id").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("y").alias("y1")).collect()
+    assert {tuple(r) for r in boxes} == {("i0", 1, 25, 8, 12), ("i1", 2, 25, 10, 12), ("i0", 3, 25, 11, 12)}
+    assert image.locate_sources(src.drop("image_id"), images).count() == 8
+    good = sources.good_sources(image.map_values(located, pixels).withColumns({"peak_flux": F.lit(20.0), "isl_rms": F.lit(0.5)}), flux=1e3, at_source="map_value")
+    assert {r.source_id: r.good for r in good.collect()} == {1: True, 2: True, 3: False, 4: False}
+
+
 def test_sinks(spark, tmp_path):
     src = spark.createDataFrame([(1, 10.0, -1.0, 5.0, 4.0, 30.0, 2.0, 1.0, True), (2, 5.0, -2.0, 5.0, 4.0, 30.0, 3.0, 1.5, True), (3, 1.0, 0.0, 1.0, 1.0, 0.0, 1.0, 1.0, False)], "source_id long, ra double, dec double, maj double, min double, pa double, total_flux double, peak_flux double, good boolean")
     sinks.write_regions(src, f"{tmp_path}/reg")

@@ -264,8 +264,9 @@ def test_channels_and_fields(spark):
     main = spark.createDataFrame([(0, 5), (1, 6), (2, 7)], "field_id int, scan int")
     assert [r.scan for r in vis.select_field(main, field, "2").collect()] == [6]
     assert [r.scan for r in vis.select_field(main, field, "0").collect()] == [5]
-    with pytest.raises(ValueError):
-        vis.select_field(main, field, "7")
+    for unknown in ("7", "nobody"):
+        with pytest.raises(ValueError):
+            vis.select_field(main, field, unknown)
 
 
 def test_clipping_rules(spark):
