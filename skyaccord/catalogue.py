@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyaccord.plans import imaging, matching, reports, scalars, visibility
+from skyaccord.plans import imaging, matching, positions, reports, scalars, visibility
 
-_MODULES = (matching, visibility, imaging, reports, scalars)
+_MODULES = (matching, visibility, imaging, reports, scalars, positions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
