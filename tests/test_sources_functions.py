@@ -231,6 +231,19 @@ def test_boxes_and_map_values_from_positions(spark):
     assert {r.source_id: r.good for r in good.collect()} == {1: True, 2: True, 3: False, 4: False}
 
 
+def test_positions_beyond_any_pixel(spark):
+    """A source a quarter turn from the image's centre projects beyond the range of integers, one on the far half is mirrored where that is asked for."""
+    cards = dict(CRVAL1="31.24", CRVAL2="-44.0", CRPIX1="65", CRPIX2="65", CDELT1="-0.02", CDELT2="0.02")
+    images = spark.range(1).select(F.lit("i").alias("image_id"), header(**cards).alias("header"))
+    pixels = spark.createDataFrame([("i", 0, x, y, float(x)) for x in range(60, 70) for y in range(60, 70)], "image_id string, plane int, x long, y long, value double")
+    src = spark.createDataFrame([(1, 31.24, -44.0), (2, 31.24, 46.0), (3, 211.24, 44.0), (4, 211.24, 44.02)], "source_id int, ra double, dec double")
+    for far, held in ((False, {1: 64.0, 2: None, 3: None, 4: None}), (True, {1: 64.0, 2: None, 3: 64.0, 4: 64.0})):
+        located = image.locate_sources(src, images, far)
+        assert {r.source_id: r.map_value for r in image.map_values(located, pixels).collect()} == held
+        boxes = image.source_boxes(located, pixels, 144.0).groupBy("source_id").count()
+        assert {tuple(r) for r in boxes.collect()} == {(k, 9) for k, v in held.items() if v}
+
+
 def test_sinks(spark, tmp_path):
     src = spark.createDataFrame([(1, 10.0, -1.0, 5.0, 4.0, 30.0, 2.0, 1.0, True), (2, 5.0, -2.0, 5.0, 4.0, 30.0, 3.0, 1.5, True), (3, 1.0, 0.0, 1.0, 1.0, 0.0, 1.0, 1.0, False)], "source_id long, ra double, dec double, maj double, min double, pa double, total_flux double, peak_flux double, good boolean")
     sinks.write_regions(src, f"{tmp_path}/reg")
