@@ -266,6 +266,31 @@ def calibrators_within(targets: DataFrame, calibrators: DataFrame, limit_deg: fl
     return out.distinct()
 
 
+def calibrator_summary(targets: DataFrame, calibrators: DataFrame, limit_deg: float = 16.0, name: str = "name") -> DataFrame:
+    """(target, n, closest, farthest): how many calibrators lie within the limit of each target, and the least and largest separation in degrees; a target's own name is left out, targets without any have no row.
+
+    The figures of calibrators_within without its pairs: rows that share a position are one place with a count, and places meet places. Targets of
+    one name are one. A calibrator of the target's own name is taken off the count of its place; a place that holds no other name is left out
+    of the extremes, too, so targets of one place with the same such places are one group.
+    """
+    at = ["ra", "dec"]
+    cals = valid_coords(calibrators, *at).select(name, *at).dropna(subset=[name])
+    sites = stored(cals.groupBy(*at).agg(F.count("*").alias("n")))
+    rows = stored(valid_coords(targets, *at).dropna(subset=[name]).select(F.monotonically_increasing_id().alias("id"), name, *at))
+    same = rows.select("id", name, F.col("ra").alias("ra_1"), F.col("dec").alias("dec_1")).join(cals.groupBy(name, *at).agg(F.count("*").alias("m")), name).join(sites, at)
+    apart = ang_sep_arcsec(F.col("ra_1"), F.col("dec_1"), F.col("ra"), F.col("dec"))
+    own = same.filter(apart <= limit_deg * 3600).groupBy("id").agg(
+        F.sum(F.when(F.col("m") < F.col("n"), F.col("m")).otherwise(0)).alias("off"), F.sort_array(F.collect_list(F.when(F.col("m") == F.col("n"), F.struct("ra", "dec")))).alias("without"))
+    rows = stored(rows.join(own, "id", "left").withColumns({"off": F.coalesce("off", F.lit(0)), "without": F.coalesce("without", F.array().cast("array<struct<ra: double, dec: double>>"))}))
+    places = stored(rows.groupBy(*at, "without").agg(F.count("*").alias("targets")).withColumn("place", F.monotonically_increasing_id()))
+    met = pairs_within(places.select("place", *at, "without"), sites.select(*at, "n"), limit_deg * 3600)
+    met = met.filter(~F.array_contains("without_1", F.struct(F.col("ra_2").alias("ra"), F.col("dec_2").alias("dec"))))
+    sep = F.col("sep_arcsec") / 3600
+    found = met.groupBy(F.col("place_1").alias("place")).agg(F.sum("n_2").alias("all"), F.min(sep).alias("closest"), F.max(sep).alias("farthest"))
+    served = rows.join(places, [*at, "without"]).join(found, "place")
+    return served.groupBy(F.col(name).alias("target")).agg(F.sum(F.col("all") - F.col("off")).alias("n"), F.min("closest").alias("closest"), F.max("farthest").alias("farthest"))
+
+
 def _other_names(left: DataFrame, right: DataFrame, radius_arcsec: float, name: str) -> DataFrame:
     return pairs_within(left, right, radius_arcsec).filter(F.col(f"{name}_1") != F.col(f"{name}_2"))
 

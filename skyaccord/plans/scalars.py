@@ -124,11 +124,10 @@ def _places(df: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def calibrators_near(spark, sf_dir):
-    """Calibrators within 16 degrees of every target, by theta join on cells; names that are equal are left out."""
+    """Calibrators within 16 degrees of every target, by theta join on cells of the places that hold any; names that are equal are left out."""
     targets = _places(_read(spark, sf_dir, "customer"), "c_custkey", "s")
     calibrators = _places(_read(spark, sf_dir, "supplier"), "s_suppkey", "s")
-    near = match.calibrators_within(targets, calibrators)
-    return rounded(near.groupBy("target").agg(F.count("*").alias("n"), F.min("sep_deg").alias("closest"), F.max("sep_deg").alias("farthest")), 5)
+    return rounded(match.calibrator_summary(targets, calibrators), 5)
 
 
 def known_calibrators(spark, sf_dir):

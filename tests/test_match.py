@@ -165,3 +165,18 @@ def test_calibrators(spark):
     cals = spark.createDataFrame([("c1", 1, 12.0, 0.0), ("c2", 2, 200.0, 0.0)], s)
     got = match.calibrators_within(targets, cals).collect()
     assert [(r.target, r.calibrator) for r in got] == [("t", "c1")] and got[0].sep_deg == pytest.approx(2.0)
+
+
+def test_calibrator_summary_equals_the_pairs_without_making_them(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    k = F.col("id")
+    place = lambda n, names: spark.range(n).select(F.concat(F.lit("s"), (k % names).cast("string")).alias("name"), (k % 6 * 4.0).alias("ra"), (k % 5 * 3.0).alias("dec"))
+    targets, cals = place(300, 70), place(45, 35).unionByName(spark.createDataFrame([("s3", 90.0, 50.0), (None, 0.0, 0.0), ("s1", None, 1.0)], "name string, ra double, dec double"))
+    pairs = match.calibrators_within(targets, cals, 5.0)
+    want = {r[0]: tuple(r[1:]) for r in pairs.groupBy("target").agg(F.count("*"), F.min("sep_deg"), F.max("sep_deg")).collect()}
+    sizes = []
+    monkeypatch.setattr(match, "pairs_within", lambda a, b, r, run=match.pairs_within: sizes.append((a.count(), b.count())) or run(a, b, r))
+    got = {r.target: (r.n, r.closest, r.farthest) for r in match.calibrator_summary(targets, cals, 5.0).collect()}
+    assert got.keys() == want.keys() and all(got[t] == pytest.approx(want[t], abs=1e-9) for t in want)
+    assert sizes[0][0] < 110 and sizes[0][1] <= 31
