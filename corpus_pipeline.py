@@ -18,7 +18,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group at 5-word Jaccard similarity 0.8 or more stays, the one with the least doc_id."""
+    """One document of each group at 5-word Jaccard similarity 0.8 or more stays, the one with the least doc_id.
+
+    Candidates are op1's (SimHash fingerprints within three bits, by deletion variants) and, for what lies beyond three bits,
+    those that share a MinHash key; shingles decide.
+    """
     return similar.drop_similar(docs)
 
 

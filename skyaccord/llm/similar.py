@@ -1,8 +1,10 @@
 """Near-duplicate groups of texts by the Jaccard similarity of their word shingles.
 
-MinHash keys only name candidates: 192 minima in 32 bands of 6, so two texts at similarity 0.8 share a key with
-probability 0.9999. Texts that share keys, directly or through others, are brought together and every pair of them
-is decided by its shingles themselves. A group of very many shingles is dealt out as pairs of blocks.
+Candidates are named first by op1's method: the texts' SimHash fingerprints meet under whole segments and their
+one-wildcard variants, and every pair within three bits is linked. Texts at similarity 0.8 mostly lie at 4 to 11 bits,
+beyond any such index, so MinHash keys name the rest: 192 minima in 32 bands of 6, of which two texts at 0.8 share one
+with probability 0.9999. Linked texts, directly or through others, are brought together and every pair of them is
+decided by its shingles themselves. A group of very many shingles is dealt out as pairs of blocks.
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ from pyspark.sql.window import Window
 
 from skyaccord.lineage import stored
 from skyaccord.llm.common import SLICE_ROWS, map_rows, text_bytes
-from skyaccord.llm.simhash import connected, drop_by_groups, shingle_hashes, small
+from skyaccord.llm.simhash import connected, drop_by_groups, shingle_hashes, simhash, similarity_edges, small
 
 WIDTH, LEAST = 5, 0.8
+#: Differing bits of two fingerprints that make their texts candidates.
+NEAR_BITS = 3
 BANDS, BAND_ROWS = 32, 6
 #: Shingles of a block; a task compares two blocks at a time.
 BLOCK_SHINGLES = 200_000
@@ -30,7 +34,10 @@ _TIMES, _PLUS, _MIX = (_RNG.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64) |
 
 def shingle_set(text: bytes | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct hashes of the word shingles; a single 0 for a text without a word."""
-    hashes = shingle_hashes(text, width)
+    return _distinct(shingle_hashes(text, width))
+
+
+def _distinct(hashes: list[int]) -> np.ndarray:
     return np.unique(np.array(hashes, np.uint64)) if hashes else np.zeros(1, np.uint64)
 
 
@@ -92,22 +99,40 @@ def _edges_of_cells(least: float):
     return run
 
 
+def _stars(index: DataFrame) -> DataFrame:
+    """Edges (a, b) from the least text of each key of (text_hash, key) to the others."""
+    heads = index.select("text_hash", F.first("text_hash").over(Window.partitionBy("key").orderBy("text_hash")).alias("head"))  # a running frame: nothing of a key is held
+    return heads.filter("text_hash <> head").select(F.col("head").alias("a"), F.col("text_hash").alias("b"))
+
+
+def signature_links(prints: DataFrame, bits: int = NEAR_BITS) -> DataFrame:
+    """Edges (a, b) that connect all texts of (text_hash, fingerprint) whose fingerprints differ in at most `bits` bits.
+
+    Texts of one fingerprint form a star; fingerprints meet by op1's keys, and what links them links the heads of their stars.
+    """
+    heads = stored(prints.groupBy("fingerprint").agg(F.min("text_hash").alias("head")))
+    edges = similarity_edges(heads.select("fingerprint"), bits)
+    for end in ("a", "b"):
+        edges = edges.join(heads.select(F.col("fingerprint").alias(end), F.col("head").alias(f"{end}_head")), end)
+    return _stars(prints.select("text_hash", F.col("fingerprint").alias("key"))).unionByName(edges.select(F.col("a_head").alias("a"), F.col("b_head").alias("b")))
+
+
 def similar_texts(docs: DataFrame, text_col: str = "text", width: int = WIDTH, least: float = LEAST, block: int = BLOCK_SHINGLES) -> DataFrame:
     """(node, root): hashes of texts that have a similar one, and one of them for each connected group."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"), text_bytes(text_col).alias("text"))
 
     def keys(batch: pa.RecordBatch) -> dict:
-        sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
-        return {"text_hash": batch.column(0), "size": pa.array([len(s) for s in sets], pa.int64()), "keys": pa.array(list(band_keys(sets)), pa.list_(pa.int64()))}
+        every = [shingle_hashes(t, width) for t in batch.column(1).to_pylist()]
+        sets = [_distinct(hashes) for hashes in every]
+        return {"text_hash": batch.column(0), "size": pa.array([len(s) for s in sets], pa.int64()), "fingerprint": pa.array([simhash(hashes) for hashes in every], pa.int64()), "keys": pa.array(list(band_keys(sets)), pa.list_(pa.int64()))}
 
     def hashes(batch: pa.RecordBatch) -> dict:
         return {"text_hash": batch.column(0), "hashes": pa.array([shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())}
 
-    prints = stored(map_rows(texts, keys, "text_hash long, size long, keys array<long>").dropDuplicates(["text_hash"]))
+    prints = stored(map_rows(texts, keys, "text_hash long, size long, fingerprint long, keys array<long>").dropDuplicates(["text_hash"]))
     index = prints.select("text_hash", F.explode("keys").alias("key"))
-    heads = index.select("text_hash", F.first("text_hash").over(Window.partitionBy("key").orderBy("text_hash")).alias("head"))  # a running frame: nothing of a key is held
-    stars = heads.filter("text_hash <> head").select(F.col("head").alias("a"), F.col("text_hash").alias("b")).distinct()
+    stars = stored(signature_links(prints.select("text_hash", "fingerprint")).unionByName(_stars(index)).distinct())
     members = stored(connected(stars).join(prints.select(F.col("text_hash").alias("node"), "size"), "node"))
     blocks = members.groupBy("root").agg(F.ceil(F.sum("size") / F.lit(block)).alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks"))

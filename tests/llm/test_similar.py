@@ -1,6 +1,7 @@
 """Near-duplicate groups by shingle similarity against brute force over all pairs."""
 
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -66,3 +67,24 @@ def test_odd_input(spark):
     kept = sorted((r.doc_id is None, r.doc_id or 0) for r in similar.drop_similar(odd).collect())
     assert kept == [(False, 1), (False, 4), (False, 5), (False, 7), (False, 8), (False, 9), (True, 0)]
     assert similar.drop_similar(odd.limit(0)).count() == 0
+
+
+def test_fingerprints_within_three_bits_are_candidates(spark):
+    """The links of op1's index connect all texts within three bits, with equal fingerprints too."""
+    rng = random.Random(3)
+    prints = []
+    for _ in range(12):
+        base = rng.getrandbits(64)
+        prints += [base, base]
+        for _ in range(12):
+            base ^= sum(1 << b for b in rng.sample(range(64), rng.choice((1, 2, 3, 4, 5))))
+            prints.append(base)
+    labels = list(range(len(prints)))
+    for i, j in itertools.combinations(range(len(prints)), 2):
+        if (prints[i] ^ prints[j]).bit_count() <= 3 and labels[i] != labels[j]:
+            a, b = sorted((labels[i], labels[j]))
+            labels = [a if x == b else x for x in labels]
+    rows = [(k, p - (1 << 64) if p >> 63 else p) for k, p in enumerate(prints)]
+    links = similar.signature_links(spark.createDataFrame(rows, "text_hash long, fingerprint long"))
+    root = {r.node: r.root for r in similar.connected(links).collect()}
+    assert [root.get(k, k) for k in range(len(prints))] == labels
