@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 from skyaccord.functions.sky import ang_sep_arcsec, offsets_flat, unit_vector
 from skyaccord.lineage import stored
 from skyaccord.operators.clean import suffix_columns, valid_coords
+from skyaccord.operators.nearest import nearest_pairs
 
 HALF_TURN_ARCSEC = 180 * 3600.0
 
@@ -181,24 +182,24 @@ def _first_of(pairs: DataFrame, id_col: str) -> DataFrame:
 def nearest(left: DataFrame, right: DataFrame, start_arcsec: float | None = None, id_col: str = "source_id", ra: str = "ra", dec: str = "dec") -> DataFrame:
     """The closest right source of each left source at any distance, ties by id.
 
-    One search serves most sources; its radius is given, or follows from how densely the right sources lie where they lie.
-    The sources left, however far from any right one, are served through cells: pairs of occupied cells are narrowed
-    level by level to those that can hold the nearest, to finer cells as long as many sources would meet. Each step is stored.
+    Each source meets the right sources of the few cells that can hold its nearest (see nearest.py), or with start_arcsec all
+    within that radius. The sources left, those far from any right one, are served through a grid: pairs of occupied cells are
+    narrowed level by level to those that can hold the nearest, to finer cells as long as many sources would meet.
     """
     todo, other = valid_coords(left, ra, dec), valid_coords(right, ra, dec)
-    if start_arcsec is None:
-        cells = other.groupBy(*[F.floor((v + 2) * _DENSITY) for v in unit_vector(F.col(ra), F.col(dec))]).agg(F.count("*").alias("n")).agg(F.count("*"), F.sum("n")).first()
-        apart = math.degrees(math.sqrt(cells[0] / cells[1]) / _DENSITY) if cells[1] else 0.0
-        start_arcsec = min(max(1.5 * apart * 3600, 1e-3), HALF_TURN_ARCSEC)
-    near = stored(_first_of(pairs_within(todo, other, start_arcsec, ra=ra, dec=dec), id_col))
-    rest = stored(todo.join(near.select(F.col(f"{id_col}_1").alias(id_col)), id_col, "left_anti").select(*todo.columns))
-    if not rest.limit(1).count():
-        return near
-    return near.unionByName(_first_of(_pairs_by_cells(rest, other, ra, dec), id_col))
-
-
-#: Cells a unit in which density is counted; finest cells a unit of the nested grids, and the halvings of each level from the one below.
-_DENSITY, _FINEST, _LEVELS = 512, 1 << 18, (15, 12, 9, 6, 3, 0)
+    if start_arcsec is not None or not other.limit(1).count():
+        pairs = stored(_first_of(pairs_within(todo, other, min(start_arcsec or 1.0, HALF_TURN_ARCSEC), ra=ra, dec=dec), id_col))
+        rest = stored(todo.join(pairs.select(F.col(f"{id_col}_1").alias(id_col)), id_col, "left_anti").select(*todo.columns))
+    else:
+        pairs, rest = nearest_pairs(todo, other, id_col, ra, dec)
+        pairs = pairs.withColumn("sep_arcsec", ang_sep_arcsec(F.col(f"{ra}_1"), F.col(f"{dec}_1"), F.col(f"{ra}_2"), F.col(f"{dec}_2")))
+    if rest.limit(1).count():
+        pairs = pairs.unionByName(_pairs_by_cells(rest, other, ra, dec))
+    return _first_of(pairs, id_col)
+
+
+#: Finest cells a unit of the nested grids, and the halvings of each level from the one below.
+_FINEST, _LEVELS = 1 << 18, (15, 12, 9, 6, 3, 0)
 #: Candidates for each left source, and in all, with which no finer cells are asked for.
 ENOUGH, ENOUGH_IN_ALL = 64, 1_000_000
 

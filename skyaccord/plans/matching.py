@@ -48,7 +48,8 @@ def match_jobs(spark, sf_dir):
 
 
 def nearest_any(spark, sf_dir):
-    got = match.nearest(_cat(spark, sf_dir, "cat_ref"), _cat(spark, sf_dir, "cat_test"))
+    at = ["source_id", "ra", "dec"]
+    got = match.nearest(_cat(spark, sf_dir, "cat_ref").select(*at), _cat(spark, sf_dir, "cat_test").select(*at))
     return got.select(F.col("source_id_1"), F.round("sep_arcsec", 3).alias("sep_arcsec"))
 
 

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from skyaccord.operators import match
+from skyaccord.operators import match, nearest
 from skyaccord.operators.clean import count_skipped
 
 LEFT = [(1, 10.0, -20.0), (2, 10.00025, -20.0002), (3, 150.0, 45.0), (4, 220.0, 10.0)]
@@ -89,6 +89,28 @@ def test_nearest_between_disjoint_areas(spark, monkeypatch):
     assert len(left) <= candidates < 0.1 * len(left) * len(right)
 
 
+def test_nearest_of_crowds_forms_few_pairs(spark, monkeypatch):
+    """A crowd within one arcsecond, one at a pole, many at one position, repeated ids and sources far from all: nearest ones right, and not all pairs of a crowd."""
+    rng = random.Random(8)
+    crowd = lambda n, at: [(at + k, 10 + rng.random() * 3e-4, 10 + rng.random() * 3e-4) for k in range(n)]
+    pole = lambda n, at: [(at + k, rng.random() * 360, 90 - rng.random() * 1e-3) for k in range(n)]
+    left = crowd(200, 0) + pole(60, 300) + [(k, rng.random() * 360, rng.uniform(-90, 90)) for k in range(400, 440)] + [(0, 200.0, -40.0), (500, 40.0, 1.0)]
+    right = crowd(200, 0) + pole(60, 300) + [(k, 40.0, 1.0) for k in range(699, 599, -1)] + [(k, rng.uniform(0, 90), rng.uniform(-20, 80)) for k in range(700, 760)]
+    a, b = spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA)
+    want = {}
+    for p in left:
+        want[p[0]] = min(want.get(p[0], math.inf), min(sep(p, q) for q in right))
+    for limits in ({}, {"CELL": 30, "SAMPLED": 4, "BLOCK": 25}, {"CELL": 30, "SAMPLED": 4, "MANY": 3}):
+        for name, value in limits.items():
+            monkeypatch.setattr(nearest, name, value)
+        rows = match.nearest(a, b).collect()
+        assert {r.source_id_1: r.sep_arcsec for r in rows} == pytest.approx(want, rel=1e-7, abs=1e-9) and len(rows) == len(want)
+        assert next(r for r in rows if r.source_id_1 == 500).source_id_2 == 600
+        pairs, rest = nearest.nearest_pairs(a, b, "source_id", "ra", "dec")
+        assert pairs.count() <= 4 * len(left) and bool(rest.count()) == ("MANY" in limits)
+        monkeypatch.undo()
+
+
 def test_bad_coordinates_match_nothing(spark):
     df = spark.createDataFrame([(1, None, 0.0), (2, float("nan"), 0.0), (3, 1.0, float("inf")), (4, 1.0, 1.0)], SCHEMA)
     assert ids(match.sky_match(df, df, 1.0)) == {(4, 4)}
